@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethoframe.llm import chat, decontaminate, licenses, mixing, quality, substrings, vectors, warc
+from ethoframe.llm import chat, decontaminate, jaccard, licenses, lines, mixing, quality, substrings, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -29,6 +34,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_documents(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -62,5 +71,5 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_embedding_dedup, op4_substring_dedup, op5_decontaminate, op7_quality, op8_mix_sources, op9_chat_format, op10_warc_archive)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_embedding_dedup, op3_line_dedup, op4_substring_dedup, op5_decontaminate, op6_ngram_jaccard, op7_quality, op8_mix_sources, op9_chat_format, op10_warc_archive)}
 ORACLE_SQL: dict[str, str] = {}

@@ -130,3 +130,28 @@ def archive(pages):
         first = last[html or ""]
         out[page] = (len(body), digest, "response" if page == first else "revisit", None if page == first else first)
     return out
+
+
+def line_keepers(docs, threshold=0.75, k=10):
+    """{(doc_id, line_no): kept}: exact classes of lines by the Jaccard index of their character shingles."""
+    places, sets = defaultdict(list), {}
+    for d, t in docs:
+        for n, raw in enumerate((t or "").split("\n")):
+            if line := raw.strip(" \t\r\f\x0b"):
+                places[line].append((d, n))
+                units = line.encode("utf-16-be")
+                sets[line] = {units[2 * i : 2 * (i + k)] for i in range(max(1, len(units) // 2 - k + 1))}
+    postings = defaultdict(list)
+    for line, s in sets.items():
+        for x in s:
+            postings[x].append(line)
+    links = []
+    for line, s in sets.items():
+        overlap = Counter(e for x in s for e in postings[x] if e < line)
+        links += [(line, e) for e, n in overlap.items() if n >= threshold * (len(s) + len(sets[e]) - n)]
+    roots = _classes(sets, links)
+    first = {}
+    for line, at in places.items():
+        r = roots[line]
+        first[r] = min(at + ([first[r]] if r in first else []))
+    return {p: first[roots[line]] == p for line, at in places.items() for p in at}
