@@ -38,8 +38,6 @@ WIDTH = 35
 ANCHOR = 8
 HOT = 5_000
 SHARD_WORDS = 60_000
-_ODD = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
 def _rightmost_minimum(h: np.ndarray, width: int) -> np.ndarray:
@@ -71,10 +69,7 @@ def passages(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
     head = np.flatnonzero(fresh)
     n = np.diff(np.concatenate([head, [len(first)]]))
     at = first[head]
-    power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(h), _ODD, np.uint64))])
-    back = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(h), _INVERSE, np.uint64))])
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.mix(h) * power[:-1])])
-    digest = tokens.mix((total[at + n + width - 1] - total[at]) * back[at] + n.astype(np.uint64) * np.uint64(tokens.BASE))
+    digest = tokens.spans_hash(h, at, at + n + width - 1)
     return doc[at], at - starts[doc[at]], n, grams[low[head]].view(np.int64), digest.view(np.int64)
 
 
