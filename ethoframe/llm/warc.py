@@ -51,7 +51,7 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = 0) -> Archive:
     """Write headers and payloads as two tables of the shared folder.
 
     One shuffle of digests finds each payload's record (partial sums take up hot payloads before it); the payload bytes themselves move
-    once, from the elected rows only. A digest is verified: all rows that share a SHA-256 must agree in length and SHA-1.
+    once, copies already dropped. A digest is verified: all rows that share a SHA-256 must agree in length and SHA-1.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
@@ -68,27 +68,29 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = 0) -> Archive:
         "page_id", F.when(kind == "revisit", F.col("elected")).alias("refers_to_id"), "sha256",
         _header(kind, F.col("page_id"), F.col("url"), F.when(kind == "revisit", F.lit(0)).otherwise(F.col("payload_bytes")), F.col("sha1"), F.col("elected")).alias("header"),
     )
-    # the rows that carry a payload: the elected ones, and null ids of groups without any id
-    holders = elected.select(F.col("elected").alias("page_id"), "sha256")
-    store = rows.join(holders, rows.page_id.eqNullSafe(holders.page_id), "left_semi").select(F.sha2("payload", 256).alias("sha256"), "payload")
-    store = store.join(elected.select("sha256"), "sha256", "left_semi").groupBy("sha256").agg(F.min("payload").alias("payload"))
+    # equal digests are equal payloads, so each is kept once by an aggregate that drops copies before it shuffles
+    store = rows.select(F.sha2("payload", 256).alias("sha256"), "payload").groupBy("sha256").agg(F.first("payload").alias("payload"))
     return Archive(materialize(headers, "warc-headers"), materialize(store, "warc-payloads"))
 
 
-def read_archive(archive: Archive) -> DataFrame:
-    """Original records: header and payload joined again. A payload is checked against the digest under which it is kept."""
+def read_archive(archive: Archive, fields: dict[str, Column] | None = None) -> DataFrame:
+    """Original records: headers joined with their payloads, each checked against the digest under which it is kept.
+
+    ``fields`` (columns over ``payload``) are computed in the store and joined instead of the payload, where a reader needs no more than them.
+    """
     held = archive.payloads.where(F.sha2("payload", 256) == F.col("sha256"))
-    return archive.headers.join(held, "sha256", "left").select("page_id", "header", "payload", "sha256")
+    held = held.select("sha256", *([c.alias(name) for name, c in fields.items()] if fields else ["payload"]))
+    return archive.headers.join(held, "sha256", "left")
 
 
 def record_fields(records: DataFrame) -> DataFrame:
-    """page_id, WARC fields and payload as they stand in the records that were read."""
+    """The records with the fields of their headers: record_page, record_type, target, declared_digest, refers_to."""
     field = lambda name, pattern=r"[^\r]*": F.regexp_extract("header", rf"\r\n{name}: ({pattern})\r\n", 1)
-    urn = lambda name: F.expr("try_cast(x AS long)") if name is None else F.regexp_extract("header", rf"\r\n{name}: <urn:page:(-?\d+)>", 1)
+    page = lambda name: F.regexp_extract("header", rf"\r\n{name}: <urn:page:(-?\d+)>", 1)
     to_id = lambda c: F.when(c != "", c.cast("long"))
     return records.select(
-        to_id(urn("WARC-Record-ID")).alias("page_id"), field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("url"),
-        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("declared_digest"), to_id(urn("WARC-Refers-To")).alias("refers_to"), "payload",
+        "*", to_id(page("WARC-Record-ID")).alias("record_page"), field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("target"),
+        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("declared_digest"), to_id(page("WARC-Refers-To")).alias("refers_to"),
     )
 
 
