@@ -299,12 +299,12 @@ def get_pattern_occurrence_series(spark, sf_dir):
     return patterns.pattern_frames(events(spark, sf_dir), "event_type", [["view", "click"]], IDS)
 
 
-_FUZZY = """, n AS (SELECT user_id, start_index, run_value AS a, lead(run_value) OVER w AS b, lead(run_value, 2) OVER w AS c, lead(end_index, 2) OVER w AS last, row_number() OVER w - 1 AS at
+_FUZZY = """, n AS (SELECT user_id, start_index, run_value AS a, lead(run_value) OVER w AS b, lead(run_value, 2) OVER w AS c, lead(end_index, 2) OVER w AS last, row_number() OVER w - 1 AS pos
     FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY start_index)),
   m AS (SELECT *, (a <> 'view')::INT + (b <> 'click')::INT + (c <> 'error')::INT AS wrong FROM n WHERE c IS NOT NULL)"""
 
 
-@query(sql(RUNS, _FUZZY + " SELECT user_id, CAST(at AS INTEGER) AS match_start, wrong AS n_mismatches, start_index AS sequence_index_start, last AS sequence_index_end FROM m WHERE wrong <= 1"))
+@query(sql(RUNS, _FUZZY + " SELECT user_id, CAST(pos AS INTEGER) AS match_start, CAST(wrong AS INTEGER) AS n_mismatches, start_index AS sequence_index_start, last AS sequence_index_end FROM m WHERE wrong <= 1"))
 def get_pattern_match_df(spark, sf_dir):
     wanted = spark.createDataFrame([(["view", "click", "error"],)], "pattern array<string>")
     found = patterns.pattern_matches(patterns.run_sequences(events(spark, sf_dir), "event_type", IDS), wanted, IDS, most=1)
