@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ethoframe.llm import chat, decontaminate, jaccard, licenses, lines, mixing, quality, substrings, vectors, warc
+from ethoframe.llm.oracle import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +72,6 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_embedding_dedup, op3_line_dedup, op4_substring_dedup, op5_decontaminate, op6_ngram_jaccard, op7_quality, op8_mix_sources, op9_chat_format, op10_warc_archive)}
-ORACLE_SQL: dict[str, str] = {}
+
