@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +40,6 @@ SLACK = 1e-6
 
 
 
-def _usable(values: np.ndarray) -> bool:
-    return len(values) > 0 and bool(np.isfinite(values).all()) and bool((values != 0).any())
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1 in double precision; scaled first, so that no square leaves the range of doubles."""
     x = x.astype(np.float64)
@@ -56,16 +53,16 @@ def _usable_rows(vectors: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column("vec_id").to_pylist(), batch.column("embedding")
-            out: tuple[list, list, list] = ([], [], [])
-            for i, vec_id in enumerate(ids):
-                row = lists[i]
-                if vec_id is None or not row.is_valid or row.values.null_count:
-                    continue
-                v = row.values.to_numpy(zero_copy_only=False)
-                if _usable(v):
-                    out[0].append(vec_id), out[1].append(len(v)), out[2].append(v.astype(np.float32 if single else np.float64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["vec_id", "dim", "x"])
+            ids, lists = batch.column("vec_id"), batch.column("embedding")
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            first, values = np.asarray(lists.offsets)[:-1], lists.values.to_numpy(zero_copy_only=False)  # a null component becomes NaN
+            good = np.asarray(ids.is_valid()) & (sizes > 0)
+            for dim in map(int, np.unique(sizes[good])):
+                at = np.flatnonzero(good & (sizes == dim))
+                x = values[first[at][:, None] + np.arange(dim)].astype(np.float32 if single else np.float64)
+                kept = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                packed = pa.array([v.tobytes() for v in x[kept]], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[kept])), pa.array(np.full(int(kept.sum()), dim, np.int32)), packed], ["vec_id", "dim", "x"])
 
     typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{'float' if single else 'double'}>").alias("embedding"))
     return typed.mapInArrow(rows, "vec_id long, dim int, x binary")
