@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,17 +69,12 @@ def paste(mask: DataFrame, shape: tuple[int, int] = FRAME_SHAPE) -> DataFrame:
     return placed.where(F.col("row").between(0, shape[0] - 1) & F.col("col").between(0, shape[1] - 1))
 
 
-@F.pandas_udf("array<int>")
-def inflated_cells(text):
+def _inflated_cells(text: pd.Series) -> pd.Series:
     """Positions of set cells of a raster kept as colon-separated hexadecimal bytes of deflated row-major cells."""
-    import zlib
-
-    import numpy as np
-
     return text.map(lambda t: None if t is None else np.flatnonzero(np.frombuffer(zlib.decompress(bytes(int(b, 16) for b in t.split(":"))), np.uint8)).tolist())
 
 
 def raster_cells(df: DataFrame, ids: Sequence[str], text: str, width: str) -> DataFrame:
     """ids, row, col of compressed rasters."""
-    cells = df.select(*ids, F.col(width).alias("_w"), F.explode(inflated_cells(text)).alias("_p"))
+    cells = df.select(*ids, F.col(width).alias("_w"), F.explode(F.pandas_udf(_inflated_cells, "array<int>")(text)).alias("_p"))
     return cells.select(*ids, F.floor(F.col("_p") / F.col("_w")).cast("int").alias("row"), F.pmod("_p", "_w").cast("int").alias("col"))

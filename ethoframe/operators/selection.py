@@ -73,8 +73,8 @@ def hash_rank(keys: Sequence[str], seed: int, by: Sequence[str] = ()) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *keys), *keys))
 
 
-def split_parts(df: DataFrame, keys: Sequence[str], parts: int, seed: int = 0, by: Sequence[str] = (), name: str = "part") -> DataFrame:
-    """Rows dealt to parts whose sizes differ by one at most within each group of ``by``.
+def _with_rank(df: DataFrame, keys: Sequence[str], seed: int, by: Sequence[str]) -> DataFrame:
+    """_place: the rank from 0 of each row by a seeded hash, within its group of ``by``.
 
     Ranks are taken in 4,096 hash ranges per group and offset by the ranges before, so that no task sorts a whole group.
     """
@@ -84,19 +84,23 @@ def split_parts(df: DataFrame, keys: Sequence[str], parts: int, seed: int = 0, b
     offsets = sizes.select(*(F.col(c).alias(f"_b_{c}") for c in by), F.col("_range").alias("_r"), before.alias("_before"))
     on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by), F.col("_range") == F.col("_r"))
     ranked = hashed.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_h", *keys)))
-    out = ranked.join(offsets, on)
-    return out.withColumn(name, F.pmod(F.col("_before") + F.col("_rank") - 1, F.lit(parts)).cast("int")).select(*df.columns, name)
+    return ranked.join(offsets, on).withColumn("_place", F.col("_before") + F.col("_rank") - 1).select(*df.columns, "_place")
+
+
+def split_parts(df: DataFrame, keys: Sequence[str], parts: int, seed: int = 0, by: Sequence[str] = (), name: str = "part") -> DataFrame:
+    """Rows dealt to parts whose sizes differ by one at most within each group of ``by``."""
+    return _with_rank(df, keys, seed, by).withColumn(name, F.pmod("_place", F.lit(parts)).cast("int")).drop("_place")
 
 
 def split_sharing(df: DataFrame, keys: Sequence[str], samples: int, share: float = 0.0, share_count: int = 2, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """Samples of the rows: a share of them goes to share_count samples each, in equal parts per combination, the rest to one."""
-    cells = 10_000
-    dealt = split_parts(df, keys, cells, seed, by, "_cell")
+    dealt = _with_rank(df, keys, seed, by)
     combos = list(combinations(range(samples), share_count)) if share > 0 else []
-    shared = F.col("_cell") < int(round(share * cells))
-    one = F.array(F.pmod(F.col("_cell"), F.lit(samples)))
-    many = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in combos)), F.pmod(F.col("_cell"), F.lit(len(combos))) + 1) if combos else one
-    return dealt.withColumn("sample", F.explode(F.when(shared, many).otherwise(one))).drop("_cell")
+    so_far = F.floor(F.col("_place") * share)  # shared rows before this one
+    shared = F.floor((F.col("_place") + 1) * share) > so_far
+    one = F.array(F.pmod(F.col("_place") - so_far, F.lit(samples)).cast("int"))
+    many = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in combos)), F.pmod(so_far, F.lit(len(combos))).cast("int") + 1) if combos else one
+    return dealt.withColumn("sample", F.explode(F.when(shared, many).otherwise(one))).drop("_place")
 
 
 def split_overlaps(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
