@@ -35,9 +35,11 @@ NUMERATOR, DENOMINATOR = 75, 100
 FEW = 6
 #: N-grams in at least this many classes, as far as chunks of CHUNK n-grams show it, stand last in the order; at most HOT_LIMIT of them.
 HOT, HOT_LIMIT = 16, 1_000_000
-CHUNK = 2_000_000
-BLOCK_ROWS = 1_500_000
+CHUNK = 1_000_000
+BLOCK_ROWS = 800_000
 HOT_CENTERS = 4
+#: Share of a set on which pairs are bounded before whole sets are compared.
+PART = 0.3
 
 
 def ngram_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +56,12 @@ def ngram_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndar
     if len(short):
         whole = [xxhash.xxh3_64_intdigest(h[starts[i] : starts[i + 1]].tobytes()) for i in short]
         grams, of = np.concatenate([grams, np.array(whole, np.uint64)]), np.concatenate([of, short])
-    order = np.lexsort((grams, of))
-    grams, of = grams[order], of[order]
+        order = np.argsort(of, kind="stable")
+        grams, of = grams[order], of[order]
+    grams = grams.copy()
+    bounds = np.searchsorted(of, np.arange(len(sizes) + 1))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        grams[a:b].sort()
     fresh = np.concatenate([[True], (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, bool)
     grams, of = grams[fresh], of[fresh]
     return grams, np.searchsorted(of, np.arange(len(sizes) + 1))
@@ -134,8 +140,9 @@ def _columns(docs: DataFrame, hot: np.ndarray, width: int) -> DataFrame:
             often = np.zeros(len(flat), bool)
             if len(table):
                 often = table[np.minimum(np.searchsorted(table, flat), len(table) - 1)] == flat
-            order = np.lexsort((np.arange(len(flat)), often, of))  # sets are sorted by hash already
-            flat, often = flat[order], often[order]
+            if often.any():  # sets are sorted by hash already
+                order = np.argsort(2 * of + often, kind="stable")
+                flat, often = flat[order], often[order]
             at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = at < (sizes - -(-NUMERATOR * sizes // DENOMINATOR) + 1)[of]
             yield pa.RecordBatch.from_arrays(
@@ -154,15 +161,32 @@ def _allowed(n_a, n_b, at_a, at_b):
 
 
 def _multiply(block: DataFrame) -> DataFrame:
-    """a, b (a < b): candidates of the columns with few rows, and centre pairs of the others; s, cls, n, at of the latter."""
+    """a, b (a < b): candidates of the columns with few rows, and centre pairs of the others; s, cls, n, at, hot of the latter and of frequent columns."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[np.asarray(b.column(c)) for c in ("s", "cls", "n", "at")] for b in batches if b.num_rows]
-        if not parts:
+        names = ["a", "b", "s", "cls", "n", "at", "hot"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        held = []
+        for batch in batches:
+            often = np.asarray(batch.column("hot"))
+            if often.any():
+                passed = batch.filter(pa.array(often))
+                columns = [passed.column(c) for c in names[2:]]
+                yield pa.RecordBatch.from_arrays([pa.nulls(passed.num_rows, pa.int64())] * 2 + columns, names)
+            if not often.all():
+                held.append([np.asarray(batch.column(c))[~often] for c in ("s", "cls", "n", "at")])
+        if not held:
+            return
+        s, cls, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(s)
+        sorted_s = s[order]
+        edge = np.concatenate([[True], sorted_s[1:] != sorted_s[:-1], [True]])
+        order = order[~(edge[:-1] & edge[1:])]  # columns with one row have no product
+        if not len(order):
             return
-        s, cls, n, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((cls, n, s))
         s, cls, n, at = s[order], cls[order], n[order].astype(np.int64), at[order].astype(np.int64)
+        order = np.lexsort((cls, n, s))
+        s, cls, n, at = s[order], cls[order], n[order], at[order]
         fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (cls[1:] != cls[:-1])])
         s, cls, n, at = s[fresh], cls[fresh], n[fresh], at[fresh]
         head = np.concatenate([[True], s[1:] != s[:-1]])
@@ -180,39 +204,68 @@ def _multiply(block: DataFrame) -> DataFrame:
         good = (left != right) & _allowed(n[left], n[right], at[left], at[right])
         a, b = np.minimum(cls[left[good]], cls[right[good]]), np.maximum(cls[left[good]], cls[right[good]])
         pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        null = lambda k, t: pa.nulls(k, t)
-        names, k, m = ["a", "b", "s", "cls", "n", "at"], pairs.shape[1], len(many)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), null(k, pa.int64()), null(k, pa.int64()), null(k, pa.int32()), null(k, pa.int32())], names)
-        yield pa.RecordBatch.from_arrays([null(m, pa.int64()), null(m, pa.int64()), pa.array(s[many]), pa.array(cls[many]), pa.array(n[many].astype(np.int32)), pa.array(at[many].astype(np.int32))], names)
+        k, m = pairs.shape[1], len(many)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *(pa.nulls(k, t) for t in types[2:])], names)
+        rest = [pa.array(s[many]), pa.array(cls[many]), pa.array(n[many].astype(np.int32)), pa.array(at[many].astype(np.int32)), pa.array(np.zeros(m, bool))]
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 2 + rest, names)
 
-    return block.mapInArrow(product, "a long, b long, s long, cls long, n int, at int")
+    return block.mapInArrow(product, "a long, b long, s long, cls long, n int, at int, hot boolean")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs whose exact sets reach the threshold."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ngram-wanted")
-    n_wanted = wanted.count()
-    holders = classes.join(broadcast_up_to(wanted, n_wanted), "cls", "left_semi").select(F.col("rep").alias("holder")).distinct()
-    texts = docs.join(broadcast_up_to(holders, n_wanted), docs.doc_id == F.col("holder"), "left_semi")
+def _possible(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> bool:
+    """Whether sets of n_x and n_y elements can reach the threshold, given their first elements in hash order (all of them: whether they do).
+
+    Up to the smaller of the two last hashes both sets are known, so only what lies behind it is open.
+    """
+    known_x, known_y = len(x), len(y)
+    if len(x) < n_x or len(y) < n_y:
+        last = min(v[-1] for v, n in ((x, n_x), (y, n_y)) if len(v) < n)
+        known_x, known_y = int(np.searchsorted(x, last, side="right")), int(np.searchsorted(y, last, side="right"))
+    x, y = x[:known_x], y[:known_y]
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
+    most = shared + min(n_x - known_x, n_y - known_y)
+    return DENOMINATOR * most >= NUMERATOR * (n_x + n_y - most)
+
+
+def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, share: float) -> DataFrame:
+    """The pairs that the first ``share`` of their sets, in hash order, leaves possible; with share 1 those that reach the threshold.
+
+    A set goes to each of its pairs, so each pair is two rows of one shuffle.
+    """
+    pairs = materialize(pairs.select("a", "b", F.monotonically_increasing_id().alias("pair")), "ngram-compare")
+    sides = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls"), "pair"), "ngram-sides")
+    n_sides = sides.count()
+    sides = broadcast_up_to(sides, n_sides)
+    holders = classes.join(sides, "cls", "left_semi").select(F.col("rep").alias("holder")).distinct()
+    texts = docs.join(broadcast_up_to(holders, n_sides), docs.doc_id == F.col("holder"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, grams in _distinct_sets(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], ["cls", "grams"])
+            sizes = [len(g) for g in grams]
+            parts = [g[: int(share * len(g)) + 1].tobytes() for g in grams]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], ["cls", "size", "grams"])
 
-    rows = materialize(texts.mapInArrow(sets, "cls long, grams binary").dropDuplicates(["cls"]), "ngram-sets")
-    both = pairs.join(rows.select(F.col("cls").alias("a"), F.col("grams").alias("of_a")), "a").join(rows.select(F.col("cls").alias("b"), F.col("grams").alias("of_b")), "b")
+    dealt = texts.mapInArrow(sets, "cls long, size long, grams binary").join(sides, "cls").repartition("pair").sortWithinPartitions("pair", "cls")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, one = None, None
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                overlap = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                good.append(DENOMINATOR * overlap >= NUMERATOR * (len(x) + len(y) - overlap))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
+            for pair, cls, size, grams in zip(*(batch.column(c) for c in ("pair", "cls", "size", "grams")), strict=True):
+                pair, cls, size, grams = pair.as_py(), cls.as_py(), size.as_py(), np.frombuffer(grams.as_py(), np.uint64)
+                if pair == at and cls != one[0]:
+                    if _possible(one[2], grams, one[1], size):
+                        good.append((one[0], cls))
+                at, one = pair, (cls, size, grams)
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], ["a", "b"])
 
-    return materialize(both.mapInArrow(check, "a long, b long"), "ngram-links")
+    kept = dealt.mapInArrow(check, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return materialize(kept, "ngram-kept")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The pairs whose exact sets reach the threshold; most others fall to a bound on a part of the sets first."""
+    return _compared(docs, classes, _compared(docs, classes, pairs, width, PART), width, 1.0)
 
 
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -229,10 +282,12 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     columns = _columns(named, hot, width)
     kept = F.col("n") - F.ceil(NUMERATOR * F.col("n") / DENOMINATOR) + 1
     incidences = classes.agg(F.coalesce(F.sum(kept), F.lit(0)).alias("k")).first()["k"]
-    blocks = columns.where("not hot").select("s", "cls", "n", "at").repartition(max(1, -(-int(incidences) // BLOCK_ROWS)), "s")
+    # rows of frequent n-grams only pass through, so they are dealt by class as well
+    salt = F.when(F.col("hot"), F.pmod("cls", F.lit(997))).otherwise(0)
+    blocks = columns.withColumn("salt", salt).repartition(max(1, -(-int(incidences) // BLOCK_ROWS)), "s", "salt")
     product = materialize(_multiply(blocks), "ngram-product")
     # columns of frequent n-grams are never gathered: centres are minima and maxima, summed before the shuffle
-    often = materialize(columns.where("hot").select("s", "cls", "n", "at").distinct(), "ngram-often")
+    often = materialize(product.where("hot").select("s", "cls", "n", "at").distinct(), "ngram-often")
     near = often.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "s", "n"))), 1, HOT_CENTERS).alias("few")).select("cls", F.inline("few"))
     centre = lambda f, name: f(F.struct("n", "cls")).alias(name)
     centres = near.groupBy("s").agg(centre(F.min, "lo"), centre(F.max, "hi"))
@@ -241,7 +296,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     pairs = materialize(_distinct_pairs(product.where("a IS NOT NULL").select("a", "b").unionByName(starred)), "ngram-pairs")
     links = _verified(docs, classes, pairs, width)
     # the rest: pairs of a large column that are still in different components
-    large = product.where("cls IS NOT NULL").select("s", "cls", "n", "at").unionByName(often)
+    large = product.where("cls IS NOT NULL AND NOT hot").select("s", "cls", "n", "at").unionByName(often)
     roots = materialize(components(links), "ngram-roots")
     rooted = large.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     rooted = materialize(rooted, "ngram-rooted")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text of one slice of a batch; a longer single text is a slice of its own.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 BASE = 0x9E3779B97F4A7C15
 
