@@ -5,9 +5,11 @@ UTF-16 units (a shorter line is one shingle). Signatures are minima of a shingle
 of a band are candidates. Long lines take the minima over the quarter of shingles whose hash ends in 00, which is the same choice of
 shingles in all lines; lines near the border have both signatures, so that any two lines whose sizes allow the threshold have one of the same kind.
 
-Candidates of a bucket are its lines with the bucket's smallest and largest line, so a bucket of any size gives two per line; components join
-what several bands link. A candidate links if the exact Jaccard index of the shingle sets is at least ``threshold``. The kept line of a component is its
-first one, by doc_id and line number.
+First candidates of a bucket are its lines with the bucket's smallest and largest line, so a bucket of any size gives two per line; components
+join what several bands link. Buckets whose other lines are still in different components (templated lines) go into an exact join: lines at
+the threshold share one of the first ``n - ceil(threshold * n) + 1`` of their n shingles in any fixed order, and the order puts shingles of many
+lines last. Links inside a component cannot change any class, so no link between two lines of a bucket is lost. A candidate links if the exact
+Jaccard index of the shingle sets is at least ``threshold``. The kept line of a component is its first one, by doc_id and line number.
 
 Everything runs as DataFrame expressions. Lines are named by a 64-bit hash (two of n different lines share one with probability below
 n * n / 2**65).
@@ -33,6 +35,8 @@ SHORT = 128
 #: Masks of the permutations, an arithmetic progression on the golden ratio, so that their leading bits differ.
 MASKS = [(0x9E3779B9 * (i + 1)) % 2**32 - 2**31 for i in range(BANDS * ROWS)]
 REMOVED_LINES = 5_000_000
+#: Shingles of at least this many lines of mixed buckets stand last in the order of the exact join.
+HOT = 16
 
 
 def _trimmed(line: Column) -> Column:
@@ -66,13 +70,17 @@ def _signatures(docs: DataFrame, threshold: float) -> DataFrame:
     return taken.groupBy("id", "kind").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)))
 
 
-def _candidates(signatures: DataFrame) -> DataFrame:
+def _buckets(signatures: DataFrame) -> DataFrame:
+    """band, id, lo, hi: lines of buckets with several lines, with the smallest and largest line of the bucket."""
     keys = F.array(*(F.xxhash64(F.lit(b), "kind", *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     banded = signatures.select("id", F.explode(keys).alias("band"))
     # a hot bucket is two sums before the shuffle, and its join is one that adaptive execution can split
     buckets = banded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    pairs = banded.join(buckets, "band").select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return banded.join(buckets, "band")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _shingles(line: Column) -> Column:
@@ -85,26 +93,69 @@ def _shingles(line: Column) -> Column:
     return F.transform(F.array(F.struct(units.alias("units"), _size(units).alias("size"))), cut)[0]
 
 
-def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b: names of linked lines."""
-    pairs = materialize(_candidates(_signatures(docs, threshold)), "lines-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "lines-wanted")
-    texts = _lines(docs).withColumn("id", F.xxhash64("line")).join(broadcast_up_to(wanted, wanted.count()), "id", "left_semi")
-    texts = materialize(texts.groupBy("id").agg(F.min("line").alias("line")), "lines-texts")
+def _linked(pairs: DataFrame, texts: DataFrame, threshold: float, label: str) -> DataFrame:
+    """The pairs whose shingle sets reach the threshold."""
     side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     sizes = [F.char_length(f"line_{x}") for x in "ab"]
     both = both.where(F.least(*sizes) + SHINGLE >= threshold * (F.greatest(*sizes) - SHINGLE) - SHINGLE).select("a", "b", _shingles(F.col("line_a")).alias("x"), _shingles(F.col("line_b")).alias("y"))
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("overlap"), (F.size("x") + F.size("y")).alias("sizes"))
-    return materialize(both.where(F.col("overlap") >= threshold * (F.col("sizes") - F.col("overlap"))).select("a", "b"), "lines-links")
+    return materialize(both.where(F.col("overlap") >= threshold * (F.col("sizes") - F.col("overlap"))).select("a", "b"), label)
+
+
+def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, component: lines that are neither first nor last in a bucket where such lines are in different components."""
+    inner = rows.where("id <> lo AND id <> hi").select("band", "id").join(roots, "id", "left")
+    inner = inner.select("band", "id", F.coalesce("component", "id").alias("component"))
+    inner = materialize(inner, "lines-inner")
+    split = inner.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    return materialize(inner.join(split, "band", "left_semi").select("id", "component").distinct(), "lines-mixed")
+
+
+def _crossed(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b: lines of different components that a shared shingle, their sizes and its places allow to reach the threshold."""
+    sets = texts.join(mixed, "id").select("id", "component", _shingles(F.col("line")).alias("x"))
+    single = sets.select("id", "component", F.size("x").alias("n"), F.explode("x").alias("s"))
+    often = materialize(single.groupBy("s").agg(F.count("*").alias("often")).where(F.col("often") >= HOT), "lines-often")
+    single = single.join(broadcast_up_to(often, often.count()), "s", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "s")))
+    first = F.slice("x", 1, F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)
+    prefix = single.groupBy("id", "component", "n").agg(order.alias("x")).select("id", "component", "n", F.posexplode(first).alias("at", "x"))
+    prefix = materialize(prefix.select(F.col("x.s").alias("s"), "id", "component", "n", "at"), "lines-prefix")
+    side = lambda x: prefix.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "at")))
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    allowed = (1 + threshold) * most >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6
+    pairs = side("a").join(side("b"), "s").where((F.col("component_a") < F.col("component_b")) & allowed)
+    return materialize(_ordered(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))), "lines-crossed")
+
+
+def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """id, component: lines with a link, and the smallest line that they reach."""
+    rows = materialize(_buckets(_signatures(docs, threshold)), "lines-buckets")
+    pairs = materialize(_ordered(rows.select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))), "lines-pairs")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "lines-wanted")
+    texts = _lines(docs).withColumn("id", F.xxhash64("line")).join(broadcast_up_to(wanted, wanted.count()), "id", "left_semi")
+    texts = materialize(texts.groupBy("id").agg(F.min("line").alias("line")), "lines-texts")
+    roots = materialize(components(_linked(pairs, texts, threshold, "lines-links")), "lines-roots")
+    mixed = _mixed(rows, roots)
+    if not mixed.limit(1).count():
+        return roots
+    found = _linked(_crossed(mixed, texts, threshold), texts, threshold, "lines-crosslinks")
+    if not found.limit(1).count():
+        return roots
+    # components that the new links join are named anew; lines that had no link are components of their own
+    named = mixed.select(F.col("id").alias("a"), F.col("component").alias("x"))
+    joined = found.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+    renamed = materialize(components(joined.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("to")), "lines-renamed")
+    alone = renamed.select(F.col("component").alias("id"), "component")
+    return roots.union(alone).distinct().join(renamed, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with text shortened to the kept lines, n_lines (lines that are not blank) and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    links = similar_lines(slim, threshold)
-    roots = components(links).withColumnRenamed("component", "root")
+    roots = line_components(slim, threshold).withColumnRenamed("component", "root")
     places = materialize(_lines(slim, "doc_id").select("doc_id", "line_no", F.xxhash64("line").alias("id")), "lines-places")
     place = F.struct("doc_id", "line_no")
     known = places.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, "id", "left").where("n > 1 OR root IS NOT NULL")

@@ -72,6 +72,20 @@ def test_line_dedup_finds_near_lines_of_all_lengths(spark):
     assert all(not v[0] or not kept[(d, 0)] for d, v in got.items())
 
 
+def test_line_dedup_finds_twins_among_templated_lines(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    head, rows = text(89) + "x", []
+    for n in range(600):  # twins at 0.76, all others at 0.66
+        tail = "y" + text(19) + "y"
+        rows += [(2 * n, head + tail), (2 * n + 1, head + tail[:7] + text(13) + "z" if n < 300 else head + "z" + text(19) + "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, kept = by_id(lines.dedup_lines(df), "n_removed"), brute.line_keepers(rows)
+    gone = {d for d, v in got.items() if v[0]}
+    want = {d for (d, _), k in kept.items() if not k}
+    assert gone <= want and len(gone) >= 0.99 * len(want) > 250
+
+
 def test_substring_dedup(docs, documents):
     got = by_id(substrings.remove_repeats(docs).withColumn("sha", F.sha2("text", 256)), "n_words", "n_removed", "sha")
     assert got == brute.repeats(pairs(documents))
