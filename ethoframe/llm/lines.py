@@ -3,7 +3,8 @@
 A line is what stands between line ends, without blanks at its ends; blank lines are never judged. Its shingles are its runs of ``SHINGLE``
 UTF-16 units (a shorter line is one shingle). Signatures are minima of a shingle hash under BANDS * ROWS masks; lines that agree on all ROWS minima
 of a band are candidates. Long lines take the minima over the quarter of shingles whose hash ends in 00, which is the same choice of
-shingles in all lines; lines near the border have both signatures, so that any two lines whose sizes allow the threshold have one of the same kind.
+shingles in all lines; lines near the border, and long ones that may have few distinct shingles (rulers, repeated phrases), have both signatures, so
+that any two lines whose numbers of distinct shingles allow the threshold have one of the same kind.
 
 First candidates of a bucket are its lines with the bucket's smallest and largest line, so a bucket of any size gives two per line; components
 join what several bands link. Buckets whose other lines are still in different components (templated lines) go into an exact join: lines at
@@ -30,8 +31,10 @@ from ethoframe.llm.graph import components
 SHINGLE = 10
 BANDS, ROWS = 8, 3
 THRESHOLD = 0.75
-#: Lines with more shingles than this have a signature over every fourth; up to SHORT / THRESHOLD they have the full one, too.
+#: Lines with more shingles than this have a signature over every fourth; up to SHORT / THRESHOLD distinct ones they have the full one, too.
 SHORT = 128
+#: So many shingles more than that at the head of a line are looked at to see that it has more distinct ones.
+SPARE = 24
 #: Masks of the permutations, an arithmetic progression on the golden ratio, so that their leading bits differ.
 MASKS = [(0x9E3779B9 * (i + 1)) % 2**32 - 2**31 for i in range(BANDS * ROWS)]
 REMOVED_LINES = 5_000_000
@@ -58,11 +61,19 @@ def _size(units: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.octet_length(units) / 2).cast("int") - SHINGLE + 1)
 
 
+def _distinct_shingles(units: Column, size: Column) -> Column:
+    """Hashes of the distinct ones of the first shingles."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.xxhash64(F.substring(units, i * 2 + 1, F.lit(2 * SHINGLE)))))
+
+
 def _signatures(docs: DataFrame, threshold: float) -> DataFrame:
     """id, kind, m0 ... : minima of each distinct line, summed up before and after one shuffle."""
     rows = _lines(docs).select(F.xxhash64("line").alias("id"), _units(F.col("line")).alias("units"))
     rows = rows.withColumn("size", _size(F.col("units")))
-    kinds = F.when(F.col("size") <= SHORT, F.array(F.lit(0))).when(F.col("size") <= int(SHORT / threshold) + 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    border = int(SHORT / threshold) + 1
+    # the head has no more distinct shingles than the line: one that does not show enough gets the full signature, too
+    head = F.size(_distinct_shingles(F.col("units"), F.least("size", F.lit(border + SPARE))))
+    kinds = F.when(F.col("size") <= SHORT, F.array(F.lit(0))).when(F.col("size") <= border, F.array(F.lit(0), F.lit(1))).when(head <= border, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
     rows = rows.select("id", "units", "size", F.explode_outer(kinds).alias("kind"))
     at = rows.select("id", "kind", "units", F.explode_outer(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
     hashed = at.select("id", "kind", F.hash(F.substring(F.col("units"), F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("h"))
@@ -85,20 +96,15 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _shingles(line: Column) -> Column:
     """64-bit hashes of the distinct shingles (sets of longs are hashed, sets of binaries compared one by one); the units are computed once."""
-
-    def cut(p: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), p["size"] - 1), lambda i: F.xxhash64(F.substring(p["units"], i * 2 + 1, F.lit(2 * SHINGLE)))))
-
     units = _units(line)
-    return F.transform(F.array(F.struct(units.alias("units"), _size(units).alias("size"))), cut)[0]
+    return F.transform(F.array(F.struct(units.alias("units"), _size(units).alias("size"))), lambda p: _distinct_shingles(p["units"], p["size"]))[0]
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float, label: str) -> DataFrame:
     """The pairs whose shingle sets reach the threshold."""
     side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    sizes = [F.char_length(f"line_{x}") for x in "ab"]
-    both = both.where(F.least(*sizes) + SHINGLE >= threshold * (F.greatest(*sizes) - SHINGLE) - SHINGLE).select("a", "b", _shingles(F.col("line_a")).alias("x"), _shingles(F.col("line_b")).alias("y"))
+    both = both.select("a", "b", _shingles(F.col("line_a")).alias("x"), _shingles(F.col("line_b")).alias("y"))
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("overlap"), (F.size("x") + F.size("y")).alias("sizes"))
     return materialize(both.where(F.col("overlap") >= threshold * (F.col("sizes") - F.col("overlap"))).select("a", "b"), label)
 

@@ -86,6 +86,16 @@ def test_line_dedup_finds_twins_among_templated_lines(spark):
     assert gone <= want and len(gone) >= 0.99 * len(want) > 250
 
 
+def test_line_dedup_counts_distinct_shingles(spark):
+    phrase = " ".join(f"{i * i:03d}" for i in range(7, 32))  # 100 characters
+    shapes = ["=" * 40, "=" * 120, "-" * 200, "-" * 137, "BUY!! NOW!! " * 20, "BUY!! NOW!! " * 40, "*" * 3000, "*" * 12, (phrase + " ") * 2, (phrase + " ") * 3, (phrase + " ") * 30, "one two " * 9, "one two " * 400]
+    rows = list(enumerate(shapes))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = brute.line_keepers(rows)
+    got = by_id(lines.dedup_lines(df), "n_removed")
+    assert {d: bool(v[0]) for d, v in got.items()} == {d: not kept[(d, 0)] for d, _ in rows} and sum(not k for k in kept.values()) == 7
+
+
 def test_substring_dedup(docs, documents):
     got = by_id(substrings.remove_repeats(docs).withColumn("sha", F.sha2("text", 256)), "n_words", "n_removed", "sha")
     assert got == brute.repeats(pairs(documents))
