@@ -1,13 +1,14 @@
-"""What several operators share: tables in the shared folder, word splitting, checked broadcasts."""
+"""What several operators share: word splitting, checked broadcasts, and tables in the shared folder (from ethoframe.shared)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ethoframe.shared import materialize, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "SPACE_SEPARATORS", "TEXT_SEPARATORS", "UPPER", "ascii_lower", "bound", "broadcast_up_to", "materialize", "shared_dir", "words_of"]
+
 #: Separators of words made of ASCII letters, digits and anything beyond ASCII; upper case is kept apart by ascii_lower().
 TEXT_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Separators of words between ASCII white space.
@@ -17,25 +18,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only for local masters, where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ethoframe-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table of the shared folder and read it back: the lineage ends there, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_up_to(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast df if its counted rows are within the limit; beyond it the join shuffles."""
     return F.broadcast(df) if rows <= limit else df

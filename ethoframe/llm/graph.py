@@ -1,39 +1,5 @@
-"""Connected components of a link table: distributed union-find that moves every link to smaller roots, round by round."""
+"""Connected components, as the training-data operators use them."""
 
-from __future__ import annotations
+from ethoframe.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ethoframe.llm.common import materialize
-
-MAX_ROUNDS = 60
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, component): every id of links (a, b) with the smallest id that it reaches; ids without a link are left out.
-
-    Rounds of large-star and small-star steps: links point to the smallest neighbour until every link is one between a member and
-    its root. Each round is a minimum by id (summed before the shuffle) and a join on it, so a hot id is never gathered. All of it stays
-    distributed; only the count of links that still move comes to the driver. Null ends and self-links are dropped.
-    """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = materialize(edges, "graph-links")
-    for _ in range(MAX_ROUNDS):
-        # large star: every larger neighbour of u goes to the smallest of u and its neighbours
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: every smaller neighbour of u, and u, go to the smallest neighbour
-        large = materialize(large, "graph-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "graph-small")
-        moved = small.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(small, ["u", "v"], "left_anti").limit(1).count()
-        edges = small
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+__all__ = ["components"]

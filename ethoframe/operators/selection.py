@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ethoframe.frames import FRAME
+from ethoframe.graph import components
 from ethoframe.operators.align import neighbourhoods
 from ethoframe.operators.runs import onset_counters, run_length_encode
+from ethoframe.shared import materialize
 
 
 def filter_equal(df: DataFrame, criteria: Mapping) -> DataFrame:
@@ -136,17 +138,16 @@ def sampled_trajectories(moseq: DataFrame, track: DataFrame, label: str, ids: Se
     return named.join(starts, [*ids, "reference_frame_index"]).select(label, *ids, "occurrence_id", "label_frame", FRAME, *values)
 
 
-def joined_sets(members: DataFrame, set_id: str, member: str, rounds: int = 50) -> DataFrame:
-    """member, group: sets that share members become one group, named by their smallest set_id (iterated minima over both sides)."""
-    spread = members.select(set_id, member).distinct().withColumn("group", F.col(set_id)).checkpoint()
-    for _ in range(rounds):
-        by_member = spread.groupBy(member).agg(F.min("group").alias("_m"))
-        low = spread.join(by_member, member).groupBy(set_id).agg(F.min("_m").alias("_g"))
-        new = spread.join(low, set_id).select(set_id, member, F.least("group", "_g").alias("group"), (F.col("_g") < F.col("group")).alias("_moved")).checkpoint()
-        spread = new.drop("_moved")
-        if not new.where("_moved").limit(1).count():
-            return spread.select(member, "group").distinct()
-    raise RuntimeError("groups did not settle")
+def joined_sets(members: DataFrame, set_id: str, member: str) -> DataFrame:
+    """member, group: sets that share members become one group, named by their smallest set_id (components of the links from each set to the smallest one of each member)."""
+    spread = materialize(members.select(set_id, member).distinct(), "sets-members")
+    named = spread.where(F.col(member).isNotNull() & F.col(set_id).isNotNull())
+    first = named.groupBy(member).agg(F.min(set_id).alias("b"))
+    roots = components(named.join(first, member).select(F.col(set_id).alias("a"), "b"))
+    # a set that shares no member has no link and stays its own group
+    groups = named.select(set_id).distinct().join(roots.select(F.col("id").alias(set_id), "component"), set_id, "left")
+    groups = groups.select(set_id, F.coalesce("component", F.col(set_id)).alias("group"))
+    return spread.join(groups, set_id).select(member, "group").distinct()
 
 
 def are_disjoint(members: DataFrame, set_id: str, member: str) -> DataFrame:

@@ -175,6 +175,44 @@ def test_joined_sets(spark):
     assert {r.m: r.group for r in selection.joined_sets(members, "s", "m").collect()} == {"a": 1, "b": 1, "c": 3, "d": 3}
 
 
+def united(rows):
+    """{member: group} by union-find."""
+    root, at = {}, {}
+
+    def find(n):
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    for s, m in rows:
+        root.setdefault(s, s)
+        a, b = find(s), find(at.setdefault(m, s))
+        root[max(a, b)] = min(a, b)
+    return {m: find(s) for m, s in at.items()}
+
+
+def test_joined_sets_against_union_find(spark):
+    import random
+
+    rng = random.Random(4)
+    order = rng.sample(range(1000, 2000), 150)
+    rows = [(s, f"chain{i + k}") for i, s in enumerate(order) for k in (0, 1)]  # a long chain
+    rows += [(rng.randrange(900), f"m{rng.randrange(700)}") for _ in range(800)] + [(3000, "alone"), (3000, "alone")]
+    got = selection.joined_sets(spark.createDataFrame(rows, "s long, m string"), "s", "m").collect()
+    assert {r.m: r.group for r in got} == united(rows) and len(got) == len({m for _, m in rows})
+    assert len(set(united(rows).values())) > 20
+
+
+def test_unified_sets_takes_all_of_lineitem(spark, tmp_path):
+    from ethoframe.plans import registry
+
+    rows = [(10 * i + k, 5 * i + j, float(1 + (i + j) % 50)) for i in range(40) for k in range(3) for j in (k, k + 1)] + [(9, 0, 1.0), (5, 21, 50.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["unified_sets"](spark, str(tmp_path)).collect()
+    assert {r.l_partkey: r.group for r in got} == united([r[:2] for r in rows]) and len(got) == len({r[1] for r in rows})
+
+
 def test_tracks(spark):
     rows = [(1, f, k, float(x), float(y)) for f in range(3) for k, x, y in (("nose", 2 + f, 1), ("tail", 0 + f, 1), ("mid", 1 + f, 1))]
     track = spark.createDataFrame(rows, "id long, frame_index long, keypoint_name string, x double, y double")
