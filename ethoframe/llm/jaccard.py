@@ -7,17 +7,24 @@ threshold. As an n-gram set of size n must share ``ceil(threshold * n)`` of its
 n-grams that many documents share last, then follows the hash: boilerplate hardly ever enters the product.
 
 Columns with more than FEW rows are not multiplied out at once. Their rows are first compared with the column's smallest and largest
-document; after these links are joined to components, only pairs of different components are left to compare, and all of them are. Links inside a
-component cannot change any class, so nothing is lost. Every candidate is checked with the exact sets.
+document, and these links are joined to components. Pairs that a column of up to SMALL rows then still holds apart are compared one by one; those of
+larger columns by families: documents that share such columns. A family is dealt in tiles by component; each pair of tiles that can hold two components is one dense product of whole sets, block
+of columns by block, which adds up the overlap of every pair and keeps those that reach the threshold. A task sends back one root per document
+and not its pairs, and a set goes to a tile pair once: rows grow with the documents and the tiles of a family. Links inside a
+component cannot change any class, so nothing is lost.
+
+N-grams and sets are named by 64-bit hashes: two of k different n-grams of the table share one with probability below k * k / 2**65.
 
 Nulls and edges: null and empty texts have size 0 and link with nothing; a text with fewer words than the n-gram has its whole sequence
-as one; a null doc_id links with nothing; rows that share a doc_id are one node; ties in size go to the smaller class; an empty table gives an empty result; other columns are
+as one; every row is a node of its own, so rows that share a doc_id may be in different components; component_id is the smallest doc_id of the
+component's rows, null if none has one; ties in size go to the smaller class; an empty table gives an empty result; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +39,7 @@ from ethoframe.llm.graph import components
 WIDTH = 5
 #: The threshold is NUMERATOR / DENOMINATOR, so that no comparison rounds.
 NUMERATOR, DENOMINATOR = 75, 100
-FEW = 6
+FEW, SMALL = 6, 32
 #: N-grams in at least this many classes, as far as chunks of CHUNK n-grams show it, stand last in the order; at most HOT_LIMIT of them.
 HOT, HOT_LIMIT = 16, 1_000_000
 CHUNK = 1_000_000
@@ -40,6 +47,8 @@ BLOCK_ROWS = 800_000
 HOT_CENTERS = 4
 #: Share of a set on which pairs are bounded before whole sets are compared.
 PART = 0.3
+#: Documents and n-grams of a tile, on average, and columns of a block of its product.
+TILE, TILE_GRAMS, PRODUCT_COLUMNS = 2048, 1_000_000, 1024
 
 
 def ngram_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +85,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def document_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n (size of the set), cls (equal for equal sets; null for empty ones)."""
+    """doc_id, mark (a hash of the text), n (size of the set), cls (equal for equal sets; null for empty ones)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +93,9 @@ def document_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 grams, starts = ngram_sets(part.column("text"), width)
                 n = np.diff(starts)
                 cls = [_class(grams[a:b]) if b > a else None for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(cls, pa.int64())], ["doc_id", "n", "cls"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(n.astype(np.int64)), pa.array(cls, pa.int64())], ["doc_id", "mark", "n", "cls"])
 
-    return docs.mapInArrow(rows, "doc_id long, n long, cls long")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(rows, "doc_id long, mark long, n long, cls long")
 
 
 def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -227,6 +236,14 @@ def _possible(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> bool:
     return DENOMINATOR * most >= NUMERATOR * (n_x + n_y - most)
 
 
+def _holders(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs such that each wanted class has one (or few equal ones)."""
+    held = classes.join(wanted.select("cls").distinct(), "cls", "left_semi")
+    held = materialize(held.select(F.coalesce("holder.doc_id", F.lit(0)).alias("held_id"), F.col("holder.mark").alias("held_mark")).distinct(), "ngram-holders")
+    same = (F.coalesce("doc_id", F.lit(0)) == F.col("held_id")) & (F.xxhash64("text") == F.col("held_mark"))
+    return docs.join(broadcast_up_to(held, held.count()), same, "left_semi")
+
+
 def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, share: float) -> DataFrame:
     """The pairs that the first ``share`` of their sets, in hash order, leaves possible; with share 1 those that reach the threshold.
 
@@ -236,8 +253,7 @@ def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     sides = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls"), "pair"), "ngram-sides")
     n_sides = sides.count()
     sides = broadcast_up_to(sides, n_sides)
-    holders = classes.join(sides, "cls", "left_semi").select(F.col("rep").alias("holder")).distinct()
-    texts = docs.join(broadcast_up_to(holders, n_sides), docs.doc_id == F.col("holder"), "left_semi")
+    texts = _holders(docs, classes, sides)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, grams in _distinct_sets(batches, width):
@@ -272,14 +288,132 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _crossed(open_: DataFrame) -> DataFrame:
+    """a, b: documents of different components that share a column and may reach the threshold."""
+    side = lambda x: open_.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "at", "component")))
+    met = side("a").join(side("b"), "s").where((F.col("component_a") < F.col("component_b")) & _allowed(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b")))
+    return _distinct_pairs(met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
+
+
+def _families(open_: DataFrame) -> DataFrame:
+    """cls, n, component, family: documents that reach each other over open columns."""
+    low = open_.groupBy("s").agg(F.min("cls").alias("lo"))
+    starred = open_.join(low, "s").select(F.col("cls").alias("a"), F.col("lo").alias("b"))
+    family = components(starred).select(F.col("id").alias("cls"), F.col("component").alias("family"))
+    return materialize(open_.select("cls", "n", "component").distinct().join(family, "cls"), "ngram-families")
+
+
+def _tiles(families: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, component, tile; pair, tile): tiles of families, and the pairs of tiles that can hold two components.
+
+    A component that fills tiles has tiles of its own, and two of them need no comparison; smaller components share tiles.
+    """
+    parts = lambda docs, grams: F.greatest(F.lit(1), F.ceil(docs / TILE), F.ceil(grams / TILE_GRAMS)).cast("long")
+    sizes = families.groupBy("family", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("grams"))
+    sizes = sizes.withColumn("own", parts(F.col("docs"), F.col("grams"))).withColumn("large", F.col("own") > 1)
+    rest = sizes.where("not large").groupBy("family").agg(parts(F.sum("docs"), F.sum("grams")).alias("shared"))
+    sizes = materialize(sizes.join(rest, "family", "left").select("component", "family", "large", "own", "shared"), "ngram-parts")
+    part = F.when(F.col("large"), F.pmod(F.xxhash64("cls"), "own")).otherwise(F.pmod(F.xxhash64("component"), "shared"))
+    members = families.join(sizes, ["family", "component"]).select("cls", "component", F.struct("family", F.when(F.col("large"), F.col("component")).alias("only"), part.alias("part")).alias("tile"))
+    members = materialize(members, "ngram-tiles")
+    tiles = materialize(members.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "ngram-tile-list")
+    one, other = (tiles.select(F.col("tile.family").alias("family"), F.col("tile").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in ("x", "y"))
+    met = one.join(other, "family").where((F.col("x") <= F.col("y")) & (F.least("lo_x", "lo_y") < F.greatest("hi_x", "hi_y")))
+    met = materialize(met.select("x", "y", F.monotonically_increasing_id().alias("pair")), "ngram-tile-pairs")
+    return members, met.select("pair", F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
+
+
+def _overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], rows: tuple[int, int]) -> np.ndarray:
+    """Overlap counts of two lists of sets, each (row, n-gram) by n-gram: blocks of shared columns are multiplied and added up."""
+    total = np.zeros(rows, np.float32)
+    shared = np.intersect1d(a[1], b[1])
+    for at in range(0, len(shared), PRODUCT_COLUMNS):
+        block = shared[at : at + PRODUCT_COLUMNS]
+        sides = []
+        for (row, gram), k in zip((a, b), rows, strict=True):
+            low, high = np.searchsorted(gram, block[0]), np.searchsorted(gram, block[-1], side="right")
+            column = np.minimum(np.searchsorted(block, gram[low:high]), len(block) - 1)
+            known = block[column] == gram[low:high]
+            side = np.zeros((k, len(block)), np.float32)
+            side[row[low:high][known], column[known]] = 1
+            sides.append(side)
+        total += sides[0] @ sides[1].T
+    return total
+
+
+def _local_roots(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest id that each position reaches over the links (a, b) between positions."""
+    root = ids.copy()
+    while True:
+        low, new = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(new, a, low), np.minimum.at(new, b, low)
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _linked_in(rows: list[tuple[int, tuple, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(class, root): links of one pair of tiles; rows are (class, tile, set) by tile."""
+    ids = np.array([r[0] for r in rows])
+    size = np.array([len(r[2]) for r in rows])
+    cut = next((i for i, r in enumerate(rows) if r[1] != rows[0][1]), 0)
+    sides = []
+    for part, base in ((rows[:cut], 0), (rows[cut:], cut)) if cut else ((rows, 0),):
+        flat, of = np.concatenate([r[2] for r in part]), np.repeat(np.arange(len(part)), [len(r[2]) for r in part])
+        order = np.argsort(flat, kind="stable")
+        sides.append(((of[order], flat[order]), len(part), base))
+    (a, k_a, base_a), (b, k_b, base_b) = sides[0], sides[-1]
+    overlap = _overlaps(a, b, (k_a, k_b))
+    both = size[base_a : base_a + k_a, None] + size[None, base_b : base_b + k_b]
+    i, j = np.nonzero(DENOMINATOR * overlap.astype(np.int64) >= NUMERATOR * (both - overlap.astype(np.int64)))
+    i, j = i + base_a, j + base_b
+    i, j = i[i != j], j[i != j]
+    root = _local_roots(ids, i, j)
+    moved = root != ids
+    return ids[moved], root[moved]
+
+
+def _family_links(docs: DataFrame, classes: DataFrame, open_: DataFrame, width: int) -> DataFrame:
+    """a, b: links between components of the families, as one root per document and pair of tiles."""
+    members, pairs = _tiles(_families(open_))
+    texts = _holders(docs, classes, members.select("cls"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, grams in _distinct_sets(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], ["cls", "grams"])
+
+    dealt = texts.mapInArrow(sets, "cls long, grams binary").join(members, "cls").join(pairs, "tile").select("pair", "tile", "cls", "grams")
+    dealt = dealt.repartition("pair").sortWithinPartitions("pair", "tile", "cls")
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish(rows: list[tuple[int, tuple, np.ndarray]]) -> pa.RecordBatch:
+            a, b = _linked_in(rows)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        at, held = None, []
+        for batch in batches:
+            tiles = batch.column("tile")
+            for pair, cls, grams, *tile in zip(*(batch.column(c).to_pylist() for c in ("pair", "cls", "grams")), *(c.to_pylist() for c in tiles.flatten()), strict=True):
+                if held and pair != at:
+                    yield finish(held)
+                    held = []
+                at = pair
+                if not held or held[-1][0] != cls:
+                    held.append((cls, tuple(tile), np.frombuffer(grams, np.uint64)))
+        if held:
+            yield finish(held)
+
+    return materialize(dealt.mapInArrow(multiplied, "a long, b long").distinct(), "ngram-family-links")
+
+
+def _components_of(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(members; cls, component): the rows of docs with their classes, and the components of the classes."""
     members = materialize(document_classes(docs, width), "ngram-members")
-    classes = materialize(members.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "ngram-classes")
-    named = docs.where("doc_id IS NOT NULL")
-    hot = _frequent(named, width)
-    columns = _columns(named, hot, width)
+    named = members.where("cls IS NOT NULL")
+    holder = F.min_by(F.struct("doc_id", "mark"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark")))
+    classes = materialize(named.groupBy("cls").agg(holder.alias("holder"), F.max("n").alias("n")), "ngram-classes")
+    hot = _frequent(docs, width)
+    columns = _columns(docs, hot, width)
     kept = F.col("n") - F.ceil(NUMERATOR * F.col("n") / DENOMINATOR) + 1
     incidences = classes.agg(F.coalesce(F.sum(kept), F.lit(0)).alias("k")).first()["k"]
     # rows of frequent n-grams only pass through, so they are dealt by class as well
@@ -295,23 +429,57 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     starred = starred.where((F.least("n", "m") * DENOMINATOR >= F.greatest("n", "m") * NUMERATOR)).select("a", "b")
     pairs = materialize(_distinct_pairs(product.where("a IS NOT NULL").select("a", "b").unionByName(starred)), "ngram-pairs")
     links = _verified(docs, classes, pairs, width)
-    # the rest: pairs of a large column that are still in different components
+    # the rest: columns whose rows are still in different components
     large = product.where("cls IS NOT NULL AND NOT hot").select("s", "cls", "n", "at").unionByName(often)
     roots = materialize(components(links), "ngram-roots")
-    rooted = large.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    rooted = large.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("s", "cls", "n", "at", F.coalesce("component", "cls").alias("component"))
     rooted = materialize(rooted, "ngram-rooted")
-    split = rooted.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("s")
-    open_ = materialize(rooted.join(split, "s", "left_semi"), "ngram-open")
-    side = lambda x: open_.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "at", "component")))
-    left, right = side("a"), side("b")
-    crossed = left.join(right, "s").where((F.col("component_a") < F.col("component_b")) & _allowed(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b")))
-    crossed = _distinct_pairs(crossed.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
-    crossed = materialize(crossed.join(pairs, ["a", "b"], "left_anti"), "ngram-crossed")
+    split = rooted.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("s", "rows")
+    open_ = materialize(rooted.join(split, "s"), "ngram-open")
+    more = []
+    crossed = materialize(_crossed(open_.where(F.col("rows") <= SMALL)).join(pairs, ["a", "b"], "left_anti"), "ngram-crossed")
     if crossed.limit(1).count():
-        links = links.unionByName(_verified(docs, classes, crossed, width))
-    rep = classes.select("cls", "rep")
-    linked = links.join(rep.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b")
-    roots = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    final = rep.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
-    final = materialize(final, "ngram-components")
-    return members.join(final, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        more.append(_verified(docs, classes, crossed, width))
+    open_ = open_.where(F.col("rows") > SMALL)
+    if open_.limit(1).count():
+        more.append(_family_links(docs, classes, open_, width))
+    if more:
+        roots = materialize(components(reduce(DataFrame.unionByName, more, links)), "ngram-all-roots")
+    found = named.select("cls").distinct().join(roots.withColumnRenamed("id", "cls"), "cls", "left")
+    return members, materialize(found.select("cls", F.coalesce("component", "cls").alias("component")), "ngram-components")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    members, found = _components_of(_plain(docs), width)
+    rooted = members.join(found, "cls", "left")
+    least = materialize(rooted.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")), "ngram-least")
+    return rooted.join(least, "component", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (null last), then the smallest hash of its text; of equal rows one stays.
+
+    Rows without words stay.
+    """
+    members, found = _components_of(_plain(docs), width)
+    rooted = materialize(members.join(found, "cls").select("component", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark").alias("row")), "ngram-rooted-rows")
+    kept = materialize(rooted.groupBy("component").agg(F.min("row").alias("row"), F.count("*").alias("rows")).where("rows > 1"), "ngram-kept-rows")
+    rows = rooted.groupBy("component", "row").agg(F.count("*").alias("n")).join(kept.withColumnRenamed("row", "best"), "component")
+    fate = F.when(F.col("row") != F.col("best"), "goes").when(F.col("n") > 1, "once")
+    fates = rows.select(F.coalesce("row.doc_id", F.lit(0)).alias("fate_id"), F.col("row.unnamed").alias("fate_unnamed"), F.col("row.mark").alias("fate_mark"), fate.alias("fate")).where("fate IS NOT NULL")
+    fates = materialize(fates.distinct(), "ngram-fates")
+    doc_id, mark = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    same = (F.coalesce(doc_id, F.lit(0)) == F.col("fate_id")) & (doc_id.isNull() == F.col("fate_unnamed")) & (mark == F.col("fate_mark"))
+    judged = docs.join(broadcast_up_to(fates, fates.count()), same, "left")
+    out = judged.where("fate IS NULL").select(*(docs[c] for c in docs.columns))
+    if fates.where("fate = 'once'").limit(1).count():
+        twice = judged.where("fate = 'once'").groupBy("fate_id", "fate_unnamed", "fate_mark").agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias("row"))
+        out = out.unionByName(twice.select("row.*"))
+    return out

@@ -143,8 +143,8 @@ def test_jaccard_classes(docs, documents):
 
 
 def test_jaccard_with_frequent_ngrams_and_large_columns(docs, documents, monkeypatch):
-    for few, hot, chunk in ((2, 2, 10), (2, 3, 2_000_000), (1, 10**9, 2_000_000)):
-        monkeypatch.setattr(jaccard, "FEW", few), monkeypatch.setattr(jaccard, "HOT", hot), monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    for few, hot, chunk, tile in ((2, 2, 10, 2), (2, 3, 2_000_000, 5), (1, 10**9, 2_000_000, 2048)):
+        monkeypatch.setattr(jaccard, "FEW", few), monkeypatch.setattr(jaccard, "HOT", hot), monkeypatch.setattr(jaccard, "CHUNK", chunk), monkeypatch.setattr(jaccard, "TILE", tile), monkeypatch.setattr(jaccard, "SMALL", few)
         assert by_id(jaccard.jaccard_classes(docs), "n_shingles", "component_id") == brute.jaccard_classes(pairs(documents))
 
 
