@@ -4,11 +4,12 @@ The template marks a turn as ``<s>[role]`` + line end + text + ``</s>`` + line e
 written as ``\\e``, ``\\l``, ``\\b`` and ``\\n``; no control string of this or another template can appear in a text, and the escape is
 reversible.
 
-Windows: prefix sums of turn tokens (white-space words, at least 1) cut a conversation into turn-aligned spans. A turn starts the span
-that its prefix sum falls into, floor(tokens before it / stride), where the stride is half of what the budget leaves after the system
-turn and the history. Every window after the first begins with the leading system turn and repeats at most ``history_turns`` turns,
-each only while the tokens of the history stay within ``history_tokens``; what is repeated is outside the loss mask. A turn longer
-than the stride ends its window and may exceed the budget alone; it is never cut.
+Windows: prefix sums of turn tokens (white-space words, at least 1) cut a conversation into turn-aligned spans. Half of what the budget leaves
+after the system turn and the history is the stride. A turn longer than the stride has a window of its own; the others stand with those
+whose prefix sum falls into the same multiple of the stride, so that they take less than two strides. Every window after the first begins with the
+leading system turn and repeats at most ``history_turns`` turns, each only while the tokens of the history stay within ``history_tokens`` and the
+window within the budget; what is repeated is outside the loss mask. No turn is cut: a window exceeds the budget only if one turn, with the
+system turn, does.
 
 Nulls and edges: a null text or role is empty; turns sort by turn (null first), then role and text; repeated rows are turns of
 their own; rows with a null conv_id form one conversation; an empty table gives no windows. Extra columns are ignored.
@@ -54,21 +55,24 @@ def chat_windows(conversations: DataFrame, budget: int = 2048, history_turns: in
     lead = F.struct("role", "tokens", "head", "body")
     turns = turns.withColumn("lead", F.first(F.when(F.col("role") == "system", lead)).over(first))
     stride = F.greatest(F.lit(1), F.floor((F.lit(budget) - F.coalesce(F.col("lead.tokens"), F.lit(0)) - history_tokens) / 2))
-    turns = turns.withColumn("window", F.floor(F.col("sum_before") / stride))
+    turns = turns.withColumns({"part": F.floor(F.col("sum_before") / stride), "alone": F.col("tokens") > stride})
+    fresh = (F.col("n") == 1) | F.col("alone") | F.lag("alone").over(order) | (F.col("part") != F.lag("part").over(order))
+    turns = turns.withColumn("starts", fresh)
+    turns = turns.withColumn("window", F.sum(F.col("starts").cast("long")).over(first) - 1)
     # each turn brings the history that its window would repeat if the turn came first in it
     past = order.rowsBetween(-history_turns, -1)
     history = F.collect_list(F.struct("n", "role", "tokens", "head", "body")).over(past) if history_turns else F.array().cast("array<struct<n:int,role:string,tokens:bigint,head:string,body:string>>")
-    starts = F.col("window") != F.coalesce(F.lag("window").over(order), F.lit(-1))
-    turns = turns.select("*", F.when(starts & (F.col("n") > 1), history).alias("history"))
+    turns = turns.select("*", F.when(F.col("starts") & (F.col("n") > 1), history).alias("history"))
     piece = F.struct("n", "role", F.concat("head", "body", F.lit(CLOSE)).alias("whole"), F.char_length("head").alias("head_chars"), F.char_length("body").alias("body_chars"))
     grouped = turns.groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(piece)).alias("pieces"), F.min("n").alias("first_n"), F.min_by("history", "n").alias("history"), F.min_by("lead", "n").alias("lead")
+        F.array_sort(F.collect_list(piece)).alias("pieces"), F.min("n").alias("first_n"), F.min_by("history", "n").alias("history"), F.min_by("lead", "n").alias("lead"), F.sum("tokens").alias("new_tokens")
     )
-    # the nearest history turns whose tokens fit, without the system turn, which stands before them anyway
     system = F.col("lead").isNotNull() & (F.col("first_n") > 1)
+    left = F.least(F.lit(history_tokens), F.lit(budget) - F.col("new_tokens") - F.when(system, F.col("lead.tokens")).otherwise(0))
+    # the nearest history turns whose tokens fit, without the system turn, which stands before them anyway
     kept = F.filter(
         F.coalesce(F.col("history"), F.array()),
-        lambda h: (F.aggregate(F.filter("history", lambda g: g["n"] >= h["n"]), F.lit(0).cast("long"), lambda s, g: s + g["tokens"]) <= history_tokens) & ~(system & (h["n"] == 1)),
+        lambda h: (F.aggregate(F.filter("history", lambda g: g["n"] >= h["n"]), F.lit(0).cast("long"), lambda s, g: s + g["tokens"]) <= left) & ~(system & (h["n"] == 1)),
     )
     repeated = F.concat(
         F.when(system, F.concat("lead.head", "lead.body", F.lit(CLOSE))).otherwise(""),

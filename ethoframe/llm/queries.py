@@ -32,7 +32,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("mark")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +66,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.write_archive(_table(spark, sf_dir, "pages"))
-    fields = {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": warc.base32_sha1(F.col("payload"))}
-    records = warc.record_fields(warc.read_archive(archive, fields))
+    records = warc.replay_records(warc.write_archive(_table(spark, sf_dir, "pages")))
     return records.select(F.col("record_page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -4,8 +4,8 @@ Page rows become WARC/1.1 records. Of the records with byte-equal payloads the o
 others are ``revisit`` records that refer to it. Payloads shorter than ``min_revisit_bytes`` are always ``response`` records.
 
 Nulls: a null html is an empty payload, a null url an empty target; a null page_id is kept and never the largest of a group that has
-an id. Rows that repeat a page_id repeat its record: all of them are responses if the id is the largest. An empty table gives empty
-archives. Columns beyond page_id, url and html are ignored.
+an id. Rows that repeat a page_id are records of their own, each with its own record id: all of them are responses if the id is the largest. An
+empty table gives empty archives. Columns beyond page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ethoframe.llm.common import materialize
 
 CRLF = "\r\n"
+#: Fixed value: the profile of revisits with an identical payload in WARC 1.1.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -36,61 +38,82 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*(part(i) for i in range(4))), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def _header(kind: Column, page_id: Column, url: Column, length: Column, digest: Column, refers: Column) -> Column:
+def _header(kind: Column, record: Column, url: Column, length: Column, digest: Column, refers: Column, date: str) -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    urn = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("null")), F.lit(">"))
+    urn = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x["page_id"].cast("string"), F.lit("null")), F.lit(":"), x["row"].cast("string"), F.lit(">"))
     safe = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]", " ")
     return F.concat(
-        F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", kind), line("WARC-Record-ID", urn(page_id)), line("WARC-Target-URI", safe),
+        F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", kind), line("WARC-Record-ID", urn(record)), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", safe),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), line("Content-Type", F.lit("text/html; charset=utf-8")),
-        F.when(kind == "revisit", line("WARC-Refers-To", urn(refers))).otherwise(""), line("Content-Length", length.cast("string")), F.lit(CRLF),
+        F.when(kind == "revisit", F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", urn(refers)))).otherwise(""), line("Content-Length", length.cast("string")), F.lit(CRLF),
     )
 
 
-def write_archive(pages: DataFrame, min_revisit_bytes: int = 0) -> Archive:
-    """Write headers and payloads as two tables of the shared folder.
+def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> Archive:
+    """Write headers and payloads as two tables of the shared folder; ``date`` is the records' date, as pages has none.
 
     One shuffle of digests finds each payload's record (partial sums take up hot payloads before it); the payload bytes themselves move
     once, copies already dropped. A digest is verified: all rows that share a SHA-256 must agree in length and SHA-1.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    keyed = rows.select("page_id", "url", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("sha256"), base32_sha1(F.col("payload")).alias("sha1"))
-    keyed = materialize(keyed, "warc-keyed")
+    keyed = rows.select(F.struct("page_id", F.monotonically_increasing_id().alias("row")).alias("record"), "url", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("sha256"), base32_sha1(F.col("payload")).alias("sha1"))
+    keyed = materialize(keyed, "warc-keyed")  # rows keep their numbers from here on
     elected = keyed.groupBy("sha256").agg(
-        F.max("page_id").alias("elected"), F.min("payload_bytes").alias("lo"), F.max("payload_bytes").alias("hi"), F.min("sha1").alias("sha1_lo"), F.max("sha1").alias("sha1_hi")
+        F.max(F.when(F.col("record.page_id").isNotNull(), F.col("record"))).alias("elected"), F.min("payload_bytes").alias("lo"), F.max("payload_bytes").alias("hi"), F.min("sha1").alias("sha1_lo"), F.max("sha1").alias("sha1_hi")
     )
     sound = (F.col("lo") == F.col("hi")) & (F.col("sha1_lo") == F.col("sha1_hi"))
     elected = materialize(elected.withColumn("elected", F.when(F.assert_true(sound, F.lit("two payloads share a SHA-256")).isNull(), F.col("elected"))).select("sha256", "elected"), "warc-elected")
-    response = (F.col("payload_bytes") < min_revisit_bytes) | F.col("elected").isNull() | F.col("page_id").eqNullSafe(F.col("elected"))
+    response = (F.col("payload_bytes") < min_revisit_bytes) | F.col("elected").isNull() | F.col("record.page_id").eqNullSafe(F.col("elected.page_id"))
     kind = F.when(response, F.lit("response")).otherwise(F.lit("revisit"))
     headers = keyed.join(elected, "sha256").select(
-        "page_id", F.when(kind == "revisit", F.col("elected")).alias("refers_to_id"), "sha256",
-        _header(kind, F.col("page_id"), F.col("url"), F.when(kind == "revisit", F.lit(0)).otherwise(F.col("payload_bytes")), F.col("sha1"), F.col("elected")).alias("header"),
+        F.col("record.page_id").alias("page_id"), kind.alias("record_type"), F.when(kind == "revisit", F.col("elected.page_id")).alias("refers_to_id"), "sha256",
+        _header(kind, F.col("record"), F.col("url"), F.when(kind == "revisit", F.lit(0)).otherwise(F.col("payload_bytes")), F.col("sha1"), F.col("elected"), date).alias("header"),
     )
     # equal digests are equal payloads, so each is kept once by an aggregate that drops copies before it shuffles
     store = rows.select(F.sha2("payload", 256).alias("sha256"), "payload").groupBy("sha256").agg(F.first("payload").alias("payload"))
     return Archive(materialize(headers, "warc-headers"), materialize(store, "warc-payloads"))
 
 
-def read_archive(archive: Archive, fields: dict[str, Column] | None = None) -> DataFrame:
-    """Original records: headers joined with their payloads, each checked against the digest under which it is kept.
+def read_archive(archive: Archive) -> DataFrame:
+    """Original records: headers joined with their payloads. A payload that does not have the digest under which it is kept, or is missing, raises."""
+    held = archive.payloads.select(F.col("sha256").alias("held"), "payload")
+    sound = F.col("held").isNotNull() & (F.sha2("payload", 256) == F.col("held"))
+    checked = F.when(F.assert_true(sound, F.lit("a payload is missing, or differs from its digest")).isNull(), F.col("payload"))
+    return archive.headers.join(held, F.col("sha256") == F.col("held"), "left").withColumn("payload", checked).drop("held")
 
-    ``fields`` (columns over ``payload``) are computed in the store and joined instead of the payload, where a reader needs no more than them.
+
+def replay_records(archive: Archive) -> DataFrame:
+    """record_page, record_type, refers_to, payload_bytes and payload_digest of every record, read back from the archive.
+
+    Responses are rebuilt from header and payload, and what they declare must be what they hold. A revisit has no block of its own: it takes length
+    and digest of the response to which it refers, so a payload with very many copies is rebuilt once and not per copy.
     """
-    held = archive.payloads.where(F.sha2("payload", 256) == F.col("sha256"))
-    held = held.select("sha256", *([c.alias(name) for name, c in fields.items()] if fields else ["payload"]))
-    return archive.headers.join(held, "sha256", "left")
+    is_response = F.col("record_type") == "response"
+    whole = record_fields(read_archive(Archive(archive.headers.where(is_response), archive.payloads)))
+    record = F.concat(F.encode("header", "UTF-8"), F.col("payload"))
+    block = F.substring(record, F.octet_length("header") + 1, F.col("declared_bytes").cast("int"))
+    whole = whole.withColumn("block", block).select("record_page", "declared_digest", "declared_bytes", "sha256", F.octet_length("block").cast("long").alias("payload_bytes"), base32_sha1(F.col("block")).alias("payload_digest"))
+    sound = (F.col("declared_digest") == F.col("payload_digest")) & (F.col("declared_bytes") == F.col("payload_bytes"))
+    digest = F.when(F.assert_true(sound, F.lit("a record differs from its header")).isNull(), F.col("payload_digest"))
+    whole = materialize(whole.select("record_page", "sha256", "payload_bytes", digest.alias("payload_digest")), "warc-read")
+    first = whole.groupBy("sha256").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    revisits = record_fields(archive.headers.where(~is_response)).join(first, "sha256", "left")
+    sound = F.col("declared_digest") == F.col("payload_digest")
+    digest = F.when(F.assert_true(F.coalesce(sound, F.lit(False)), F.lit("a revisit refers to another payload")).isNull(), F.col("payload_digest"))
+    columns = ["record_page", "record_type", "refers_to", "payload_bytes", "payload_digest"]
+    responses = whole.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return responses.select(*columns).unionByName(revisits.withColumn("payload_digest", digest).select(*columns))
 
 
 def record_fields(records: DataFrame) -> DataFrame:
-    """The records with the fields of their headers: record_page, record_type, target, declared_digest, refers_to."""
+    """The records with the fields of their headers: record_page, record_type, target, declared_digest, declared_bytes, refers_to."""
     field = lambda name, pattern=r"[^\r]*": F.regexp_extract("header", rf"\r\n{name}: ({pattern})\r\n", 1)
-    page = lambda name: F.regexp_extract("header", rf"\r\n{name}: <urn:page:(-?\d+)>", 1)
+    page = lambda name: F.regexp_extract("header", rf"\r\n{name}: <urn:page:(-?\d+):\d+>", 1)
     to_id = lambda c: F.when(c != "", c.cast("long"))
-    return records.select(
+    return records.drop("record_type").select(
         "*", to_id(page("WARC-Record-ID")).alias("record_page"), field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("target"),
-        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("declared_digest"), to_id(page("WARC-Refers-To")).alias("refers_to"),
+        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("declared_digest"), field("Content-Length").cast("long").alias("declared_bytes"), to_id(page("WARC-Refers-To")).alias("refers_to"),
     )
 
 

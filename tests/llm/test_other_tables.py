@@ -69,7 +69,19 @@ def test_windows_keep_the_system_turn_and_repeat_history(spark):
     for w in windows[1:]:
         assert w.formatted.startswith("<s>[system]\nsys</s>\n") and w.new_from > len("<s>[system]\nsys</s>\n")
         assert all(s["start"] >= w.new_from for s in w.loss_spans)
-        assert len(w.formatted.split()) <= 60 + 10
+        assert budget_tokens(w) <= 60
+
+
+def budget_tokens(window):
+    return sum(max(1, len(t.partition("]\n")[2].split())) for t in window.formatted.split("</s>\n") if t)
+
+
+def test_windows_keep_the_budget(spark):
+    rng = np.random.default_rng(2)
+    rows = [(1, 0, "system", "s " * 20), (1, 1, "user", "w " * 860), (1, 2, "assistant", "w " * 1200)]
+    rows += [(c, i, ("assistant", "user")[i % 2], "w " * int(rng.choice([1, 30, 300, 900, 1500, 2048]))) for c in range(2, 6) for i in range(40)]
+    for w in chat.chat_windows(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert budget_tokens(w) <= 2048
 
 
 def test_chat_query_and_empty_table(spark, tmp_path):
@@ -92,6 +104,13 @@ def test_archive(spark, tmp_path):
     for r in records:
         assert bytes(r.payload).decode() == (dict((p, h) for p, _, h in PAGES)[r.record_page] or "") and r.declared_digest == r.d
     warc.export_warc_text(warc.read_archive(archive), f"{tmp_path}/warc")
+    assert all(r.header.count("WARC-Date: ") == 1 for r in records) and len({r.header.split("WARC-Record-ID: ")[1].split("\r")[0] for r in records}) == len(PAGES)
+    replayed = {r.record_page: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.replay_records(archive).collect()}
+    assert replayed == brute.archive([(p, h) for p, _, h in PAGES])
+    broken = archive.payloads.withColumn("payload", F.when(F.octet_length("payload") > 9, F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("payload")))
+    for read in (warc.read_archive, warc.replay_records):
+        with pytest.raises(Exception, match="differs from its digest"):
+            read(warc.Archive(archive.headers, broken)).collect()
     text = "".join(r.value for r in spark.read.text(f"{tmp_path}/warc", wholetext=True).collect())
     assert text.count("WARC-Record-ID: ") == len(PAGES)
 
