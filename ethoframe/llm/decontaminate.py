@@ -9,7 +9,7 @@ matches (at least ``near`` of the window's distinct words within the posting's w
 Token frequencies are counted over all documents. Postings are linear in the text: a token is indexed once per place, never paired.
 
 Nulls and edges: a null text has no words and no windows; windows that items share count for each of them; repeated documents and rows
-each match; doc_id names a document, so rows that share one share its hits; empty tables give no matches; extra columns are
+each match; rows are known by doc_id and a hash of the text (mark), so rows that share a doc_id, or have none, are judged each by its own text; empty tables give no matches; extra columns are
 ignored. Texts are used whole.
 """
 
@@ -37,7 +37,7 @@ def windows_of(items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def build_index(docs: DataFrame, windows: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(postings, anchors): anchors are the windows with their rarest token and its offset."""
-    texts = docs.select("doc_id", tokens(F.col("text")).alias("words"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), tokens(F.col("text")).alias("words"))
     spread = windows.select("item_id", "window", F.posexplode("window").alias("offset", "term"))
     vocabulary = materialize(spread.select("term").distinct(), "decon-terms")
     # explode_outer: with explode the optimizer would split texts a second time to test for empty arrays
@@ -50,41 +50,55 @@ def build_index(docs: DataFrame, windows: DataFrame, width: int = WIDTH) -> tupl
     # a window with a word that no document has cannot occur
     anchors = materialize(rarest.where("rare.n > 0").select("item_id", "window", F.col("rare.term").alias("term"), F.col("rare.offset").alias("offset")), "decon-anchors")
     terms = materialize(anchors.select("term").distinct(), "decon-rarest")
-    places = texts.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "term"))
+    places = texts.select("doc_id", "mark", "words", F.posexplode_outer("words").alias("pos", "term"))
     lead = F.least(F.col("pos"), F.lit(width - 1))
     postings = places.join(broadcast_up_to(terms, terms.count()), "term").select(
-        "term", "doc_id", "pos", lead.alias("lead"), F.slice("words", F.col("pos") - lead + 1, lead + width).alias("around")
+        "term", "doc_id", "mark", "pos", lead.alias("lead"), F.slice("words", F.col("pos") - lead + 1, lead + width).alias("around")
     )
     return materialize(postings, "decon-postings"), anchors
 
 
 def match_windows(postings: DataFrame, anchors: DataFrame, near: float | None = None) -> DataFrame:
-    """doc_id, item_id, start, length, match (phrase or proximity): the windows' places. Proximity places start at the rarest token."""
+    """doc_id, mark, item_id, start, length, match (phrase or proximity): the windows' places. Proximity places start at the rarest token."""
     joined = postings.join(broadcast_up_to(anchors, anchors.count()), "term")
     length = F.size("window")
     exact = (F.col("lead") >= F.col("offset")) & (F.slice("around", F.col("lead") - F.col("offset") + 1, length) == F.col("window"))
     if near is None:
-        return joined.where(exact).select("doc_id", "item_id", (F.col("pos") - F.col("offset")).alias("start"), length.alias("length"), F.lit("phrase").alias("match"))
+        return joined.where(exact).select("doc_id", "mark", "item_id", (F.col("pos") - F.col("offset")).alias("start"), length.alias("length"), F.lit("phrase").alias("match"))
     share = F.size(F.array_intersect("around", "window")) / F.size(F.array_distinct("window"))
     kind = F.when(exact, "phrase").when(share >= near, "proximity")
     start = F.when(exact, F.col("pos") - F.col("offset")).otherwise(F.col("pos"))
-    return joined.select("doc_id", "item_id", start.alias("start"), length.alias("length"), kind.alias("match")).where("match IS NOT NULL")
+    return joined.select("doc_id", "mark", "item_id", start.alias("start"), length.alias("length"), kind.alias("match")).where("match IS NOT NULL")
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and mark (the hash of its text) for every row of docs."""
     windows = materialize(windows_of(items, width), "decon-windows")
     postings, anchors = build_index(docs, windows, width)
     # the window is no longer needed once it has matched: items and covered words are summed up apart, each distinct first
-    found = materialize(match_windows(postings, anchors).select("doc_id", "item_id", "start", "length").distinct(), "decon-matches")
-    covered = found.select("doc_id", "start", "length").distinct()
-    covered = covered.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("word")).distinct()
-    hits = covered.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    hit_items = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    report = materialize(hits.join(hit_items, "doc_id"), "decon-report")
-    sizes = docs.select("doc_id", F.size(words_of(F.col("text"), TEXT_SEPARATORS)).cast("long").alias("n_words"))
+    found = materialize(match_windows(postings, anchors).select("doc_id", "mark", "item_id", "start", "length").distinct(), "decon-matches")
+    covered = found.select("doc_id", "mark", "start", "length").distinct()
+    covered = covered.select("doc_id", "mark", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("word")).distinct()
+    hits = covered.groupBy("doc_id", "mark").agg(F.count("*").alias("n_hit"))
+    hit_items = found.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    report = materialize(_by_row(hits, hit_items, "inner"), "decon-report")
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.size(words_of(F.col("text"), TEXT_SEPARATORS)).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return sizes.join(report, "doc_id", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    return _by_row(sizes, report, "left").select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "mark"
     )
+
+
+def _by_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on doc_id (null equals null) and mark."""
+    right = right.withColumnsRenamed({"doc_id": "row_id", "mark": "row_mark"})
+    return left.join(right, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("mark") == F.col("row_mark")), how).drop("row_id", "row_mark")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs in which no window of an item occurs."""
+    dirty = contamination_report(docs, items, width).where("contaminated").select(F.col("doc_id").alias("row_id"), F.col("mark").alias("row_mark")).distinct()
+    dirty = materialize(dirty, "decon-dirty")
+    same = docs["doc_id"].eqNullSafe(F.col("row_id")) & (F.xxhash64(docs["text"]) == F.col("row_mark"))
+    return docs.join(broadcast_up_to(dirty, dirty.count()), same, "left_anti")

@@ -16,7 +16,7 @@ anchor gives the same matches in one pass over the passages.
 
 Nulls and edges: a null text has no words; texts with fewer words than the window keep all; a document may repeat itself; all copies
 of a window go, the first too (the input is judged, not what is left); rows that repeat a document are occurrences of their own;
-rows that share a doc_id but not the text share their spans, cut at the text's end; an empty table gives an empty result. Columns of
+rows are known by doc_id and a hash of the text, so rows that share a doc_id, or have none, are judged each by its own text; an empty table gives an empty result. Columns of
 docs pass through, and text, n_words and n_removed are set.
 """
 
@@ -38,6 +38,8 @@ WIDTH = 35
 ANCHOR = 8
 HOT = 5_000
 SHARD_WORDS = 60_000
+#: A row is known by its doc_id and a hash of its text; rows that share both have the same windows.
+KEY = ["key", "mark"]
 
 
 def _rightmost_minimum(h: np.ndarray, width: int) -> np.ndarray:
@@ -129,10 +131,10 @@ def _runs(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in tokens.slices(batch):
                 doc, start, n, anchor, digest = passages(part.column("text"), width)
-                key = part.column("key").take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([key, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(digest)], ["key", "start", "n", "anchor", "digest"])
+                key, mark = (part.column(c).take(pa.array(doc)) for c in KEY)
+                yield pa.RecordBatch.from_arrays([key, mark, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(digest)], [*KEY, "start", "n", "anchor", "digest"])
 
-    return docs.mapInArrow(cut, "key long, start int, n int, anchor long, digest long")
+    return docs.mapInArrow(cut, "key long, mark long, start int, n int, anchor long, digest long")
 
 
 def _texts_of(joined: DataFrame, width: int) -> DataFrame:
@@ -153,7 +155,7 @@ def _texts_of(joined: DataFrame, width: int) -> DataFrame:
 
 
 def _by_automata(texts: DataFrame, width: int) -> DataFrame:
-    """anchor, digest, mask for distinct passages whose anchors are not hot."""
+    """anchor, digest, bits for distinct passages whose anchors are not hot."""
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(rows: list[tuple[int, int, int, int, list[bytes]]]) -> pa.RecordBatch:
@@ -161,7 +163,7 @@ def _by_automata(texts: DataFrame, width: int) -> DataFrame:
             sequences = [[codes.setdefault(w, len(codes)) for w in words] for *_, words in rows]
             automaton = Automaton(sequences)
             masks = [(1 << n) - 1 if times > 1 else automaton.repeated(s, width) for (_, _, n, times, _), s in zip(rows, sequences, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(masks, pa.int64())], ["anchor", "digest", "mask"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(masks, pa.int64())], ["anchor", "digest", "bits"])
 
         held, size = [], 0
         for batch in batches:
@@ -174,11 +176,11 @@ def _by_automata(texts: DataFrame, width: int) -> DataFrame:
         if held:
             yield finish(held)
 
-    return texts.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(matched, "anchor long, digest long, mask long")
+    return texts.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(matched, "anchor long, digest long, bits long")
 
 
 def _by_windows(texts: DataFrame, width: int) -> DataFrame:
-    """anchor, digest, mask for distinct passages of hot anchors: windows counted by their digest."""
+    """anchor, digest, bits for distinct passages of hot anchors: windows counted by their digest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,27 +193,27 @@ def _by_windows(texts: DataFrame, width: int) -> DataFrame:
 
     windows = materialize(texts.mapInArrow(cut, "anchor long, digest long, i int, times long, window binary"), "repeat-hot")
     often = windows.groupBy("window").agg(F.sum("times").alias("all")).where("all > 1").select("window")
-    return windows.join(often, "window").groupBy("anchor", "digest").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+    return windows.join(often, "window").groupBy("anchor", "digest").agg(F.expr("bit_or(shiftleft(1L, i))").alias("bits"))
 
 
 def repeated_entries(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """key and entries (start, mask: bit i marks the window at start + i), for documents with repeated windows; docs has key and text."""
+    """key, mark and entries (start, bits: bit i marks the window at start + i), for rows with repeated windows; docs has key, mark and text."""
     runs = _runs(docs, width)
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("times"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("times > 1")
     anchors = materialize(anchors.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), (F.col("times") > HOT).alias("hot")), "repeat-anchors")
     entry = F.struct("start", "n", "anchor", "digest", "mixed", "hot")
-    found = runs.join(anchors, "anchor").groupBy("key").agg(F.collect_list(entry).alias("entries"))
+    found = runs.join(anchors, "anchor").groupBy(*KEY).agg(F.collect_list(entry).alias("entries"))
     found = materialize(found, "repeat-entries")
     needy = found.where(F.exists("entries", lambda e: e["mixed"]))
-    texts = _texts_of(docs.join(needy, "key").select("text", "entries"), width)
+    texts = _texts_of(docs.join(needy, KEY).select("text", "entries"), width)
     texts = texts.groupBy("anchor", "digest").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("hot").alias("hot"), F.first("words").alias("words"))
     texts = materialize(texts, "repeat-texts")
     masks = _by_automata(texts.where("not hot"), width).unionByName(_by_windows(texts.where("hot"), width))
-    masks = materialize(masks.where("mask <> 0"), "repeat-masks")
-    each = found.select("key", F.inline("entries"))
-    sure = each.where("not mixed").select("key", "start", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))
-    judged = each.where("mixed").join(masks, ["anchor", "digest"]).select("key", "start", "mask")
-    return sure.unionByName(judged).groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("entries"))
+    masks = materialize(masks.where("bits <> 0"), "repeat-masks")
+    each = found.select(*KEY, F.inline("entries"))
+    sure = each.where("not mixed").select(*KEY, "start", (F.expr("shiftleft(1L, n)") - 1).alias("bits"))
+    judged = each.where("mixed").join(masks, ["anchor", "digest"]).select(*KEY, "start", "bits")
+    return sure.unionByName(judged).groupBy(*KEY).agg(F.collect_list(F.struct("start", "bits")).alias("entries"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -220,10 +222,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         raise ValueError(f"width must be above {ANCHOR} and at most {ANCHOR + 62}")  # a passage's windows are bits of a long
     docs = docs.drop("n_words", "n_removed")
     key: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    keyed = docs.withColumn("repeat_key", key)
-    slim = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
-    entries = repeated_entries(slim, width).withColumnRenamed("key", "repeat_key").withColumnRenamed("entries", "repeat_entries")
-    joined = keyed.join(entries, "repeat_key", "left").drop("repeat_key")
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"repeat_key": key, "repeat_mark": F.xxhash64(text)})
+    slim = docs.select(key.alias("key"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    entries = repeated_entries(slim, width).withColumnsRenamed({"key": "repeat_key", "mark": "repeat_mark", "entries": "repeat_entries"})
+    joined = keyed.join(entries, ["repeat_key", "repeat_mark"], "left").drop("repeat_key", "repeat_mark")
     passed = [c for c in docs.columns if c != "text"]
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +237,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     words = (text or "").encode().split()
                     edges = np.zeros(len(words) + 1, np.int64)
                     for m in marks or ():
-                        bits = np.flatnonzero([m["mask"] >> i & 1 for i in range(m["mask"].bit_length())]) + m["start"]
+                        bits = np.flatnonzero([m["bits"] >> i & 1 for i in range(m["bits"].bit_length())]) + m["start"]
                         bits = bits[bits < len(words)]
                         np.add.at(edges, bits, 1)
                         np.add.at(edges, np.minimum(bits + width, len(words)), -1)

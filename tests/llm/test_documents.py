@@ -225,3 +225,50 @@ def test_null_ids(spark):
     rows = spark.createDataFrame([(None, "alpha beta gamma delta " * 20, "a"), (1, "alpha beta gamma delta " * 20, "a"), (None, None, None)], "doc_id long, text string, source string")
     for df in (licenses.license_report(rows), lines.dedup_lines(rows), substrings.remove_repeats(rows), jaccard.jaccard_classes(rows), mixing.mix_sources(rows)):
         assert df.count() == 3, df.columns
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_each(spark):
+    word = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    p, q = word("p", 50), word("q", 50)
+    rows = [(1, p), (2, p), (1, q), (4, q + " tail"), (None, p + " end"), (None, word("z", 40)), (7, word("u", 60)), (7, q), (7, q), (8, ""), (8, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    by_row = lambda found: sorted((repr(rows[i][0]), *v) for i, v in found.items())
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = substrings.remove_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()
+    assert sorted((repr(r[0]), *r[1:]) for r in got) == by_row(brute.repeats(numbered))
+    items = [(0, p), (1, word("z", 12))]
+    report = decontaminate.contamination_report(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((repr(r[0]), *r[1:]) for r in report.drop("mark").collect()) == by_row(brute.leaks(numbered, items))
+    clean = decontaminate.drop_contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in clean))) == sorted(repr(rows[i]) for i, v in brute.leaks(numbered, items).items() if not v[4])
+    got = jaccard.jaccard_classes(df).collect()
+    roots, ids = brute.jaccard_classes(numbered), [d for d, _ in rows]
+    least = {c: min((ids[i] for i, v in roots.items() if v[1] == c and ids[i] is not None), default=None) for _, c in roots.values()}
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(repr((ids[i], v[0], least[v[1]])) for i, v in roots.items())
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(df).collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, [(1, p), (1, q), (None, word("z", 40)), (7, word("u", 60)), (8, ""), (8, None), (None, None)]))
+
+
+def test_jaccard_of_one_large_group_of_near_copies(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(jaccard, "TILE", 64)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for n in range(400):
+        words = list(base)
+        for i in rng.integers(150, size=int(rng.integers(1, 14))):
+            words[int(i)] = f"x{rng.integers(10**6)}"
+        rows.append((n, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    compared = []
+    real = jaccard.materialize
+
+    def counted(df, label):
+        out = real(df, label)
+        if label in ("ngram-compare", "ngram-tile-pairs"):
+            compared.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    assert by_id(jaccard.jaccard_classes(df), "n_shingles", "component_id") == brute.jaccard_classes(rows)
+    assert sum(n for label, n in compared if label == "ngram-compare") < 16 * len(rows)  # of 79,800 pairs
+    assert sum(n for label, n in compared if label == "ngram-tile-pairs") <= 40
