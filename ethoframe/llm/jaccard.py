@@ -7,11 +7,11 @@ threshold. As an n-gram set of size n must share ``ceil(threshold * n)`` of its
 n-grams that many documents share last, then follows the hash: boilerplate hardly ever enters the product.
 
 Columns with more than FEW rows are not multiplied out at once. Their rows are first compared with the column's smallest and largest
-document, and these links are joined to components. Pairs that a column of up to SMALL rows then still holds apart are compared one by one; those of
-larger columns by families: documents that share such columns. A family is dealt in tiles by component; each pair of tiles that can hold two components is one dense product of whole sets, block
-of columns by block, which adds up the overlap of every pair and keeps those that reach the threshold. A task sends back one root per document
-and not its pairs, and a set goes to a tile pair once: rows grow with the documents and the tiles of a family. Links inside a
-component cannot change any class, so nothing is lost.
+document, and these links are joined to components. What a column then still holds apart is screened in full, tile by tile, by sketches: BINS
+parities of the n-grams' hashes. Every n-gram that only one of two sets has flips one parity, so sets whose sketches differ in more bins than the
+threshold allows n-grams of one side only can not link, and unlike documents are dropped without a row. Of those left, each document's
+nearest partners are verified first; once their components are joined, all that are still apart are. Links inside a component cannot change any
+class, so nothing is lost.
 
 N-grams and sets are named by 64-bit hashes: two of k different n-grams of the table share one with probability below k * k / 2**65.
 
@@ -24,7 +24,6 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from ethoframe.llm.graph import components
 WIDTH = 5
 #: The threshold is NUMERATOR / DENOMINATOR, so that no comparison rounds.
 NUMERATOR, DENOMINATOR = 75, 100
-FEW, SMALL = 6, 32
+FEW = 6
 #: N-grams in at least this many classes, as far as chunks of CHUNK n-grams show it, stand last in the order; at most HOT_LIMIT of them.
 HOT, HOT_LIMIT = 16, 1_000_000
 CHUNK = 1_000_000
@@ -47,8 +46,8 @@ BLOCK_ROWS = 800_000
 HOT_CENTERS = 4
 #: Share of a set on which pairs are bounded before whole sets are compared.
 PART = 0.3
-#: Documents and n-grams of a tile, on average, and columns of a block of its product.
-TILE, TILE_GRAMS, PRODUCT_COLUMNS = 2048, 1_000_000, 1024
+#: Bins of a sketch, rows of a tile, and pairs screened at once.
+BINS, TILE, PAIRS = 1024, 4096, 200_000
 
 
 def ngram_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -288,122 +287,84 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _crossed(open_: DataFrame) -> DataFrame:
-    """a, b: documents of different components that share a column and may reach the threshold."""
-    side = lambda x: open_.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "at", "component")))
-    met = side("a").join(side("b"), "s").where((F.col("component_a") < F.col("component_b")) & _allowed(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b")))
-    return _distinct_pairs(met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
+def _sketches(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """cls, sketch: the parity of a set's n-grams in each of BINS bins, as packed bits."""
 
-
-def _families(open_: DataFrame) -> DataFrame:
-    """cls, n, component, family: documents that reach each other over open columns."""
-    low = open_.groupBy("s").agg(F.min("cls").alias("lo"))
-    starred = open_.join(low, "s").select(F.col("cls").alias("a"), F.col("lo").alias("b"))
-    family = components(starred).select(F.col("id").alias("cls"), F.col("component").alias("family"))
-    return materialize(open_.select("cls", "n", "component").distinct().join(family, "cls"), "ngram-families")
-
-
-def _tiles(families: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cls, component, tile; pair, tile): tiles of families, and the pairs of tiles that can hold two components.
-
-    A component that fills tiles has tiles of its own, and two of them need no comparison; smaller components share tiles.
-    """
-    parts = lambda docs, grams: F.greatest(F.lit(1), F.ceil(docs / TILE), F.ceil(grams / TILE_GRAMS)).cast("long")
-    sizes = families.groupBy("family", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("grams"))
-    sizes = sizes.withColumn("own", parts(F.col("docs"), F.col("grams"))).withColumn("large", F.col("own") > 1)
-    rest = sizes.where("not large").groupBy("family").agg(parts(F.sum("docs"), F.sum("grams")).alias("shared"))
-    sizes = materialize(sizes.join(rest, "family", "left").select("component", "family", "large", "own", "shared"), "ngram-parts")
-    part = F.when(F.col("large"), F.pmod(F.xxhash64("cls"), "own")).otherwise(F.pmod(F.xxhash64("component"), "shared"))
-    members = families.join(sizes, ["family", "component"]).select("cls", "component", F.struct("family", F.when(F.col("large"), F.col("component")).alias("only"), part.alias("part")).alias("tile"))
-    members = materialize(members, "ngram-tiles")
-    tiles = materialize(members.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "ngram-tile-list")
-    one, other = (tiles.select(F.col("tile.family").alias("family"), F.col("tile").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in ("x", "y"))
-    met = one.join(other, "family").where((F.col("x") <= F.col("y")) & (F.least("lo_x", "lo_y") < F.greatest("hi_x", "hi_y")))
-    met = materialize(met.select("x", "y", F.monotonically_increasing_id().alias("pair")), "ngram-tile-pairs")
-    return members, met.select("pair", F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
-
-
-def _overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], rows: tuple[int, int]) -> np.ndarray:
-    """Overlap counts of two lists of sets, each (row, n-gram) by n-gram: blocks of shared columns are multiplied and added up."""
-    total = np.zeros(rows, np.float32)
-    shared = np.intersect1d(a[1], b[1])
-    for at in range(0, len(shared), PRODUCT_COLUMNS):
-        block = shared[at : at + PRODUCT_COLUMNS]
-        sides = []
-        for (row, gram), k in zip((a, b), rows, strict=True):
-            low, high = np.searchsorted(gram, block[0]), np.searchsorted(gram, block[-1], side="right")
-            column = np.minimum(np.searchsorted(block, gram[low:high]), len(block) - 1)
-            known = block[column] == gram[low:high]
-            side = np.zeros((k, len(block)), np.float32)
-            side[row[low:high][known], column[known]] = 1
-            sides.append(side)
-        total += sides[0] @ sides[1].T
-    return total
-
-
-def _local_roots(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest id that each position reaches over the links (a, b) between positions."""
-    root = ids.copy()
-    while True:
-        low, new = np.minimum(root[a], root[b]), root.copy()
-        np.minimum.at(new, a, low), np.minimum.at(new, b, low)
-        if (new == root).all():
-            return root
-        root = new
-
-
-def _linked_in(rows: list[tuple[int, tuple, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(class, root): links of one pair of tiles; rows are (class, tile, set) by tile."""
-    ids = np.array([r[0] for r in rows])
-    size = np.array([len(r[2]) for r in rows])
-    cut = next((i for i, r in enumerate(rows) if r[1] != rows[0][1]), 0)
-    sides = []
-    for part, base in ((rows[:cut], 0), (rows[cut:], cut)) if cut else ((rows, 0),):
-        flat, of = np.concatenate([r[2] for r in part]), np.repeat(np.arange(len(part)), [len(r[2]) for r in part])
-        order = np.argsort(flat, kind="stable")
-        sides.append(((of[order], flat[order]), len(part), base))
-    (a, k_a, base_a), (b, k_b, base_b) = sides[0], sides[-1]
-    overlap = _overlaps(a, b, (k_a, k_b))
-    both = size[base_a : base_a + k_a, None] + size[None, base_b : base_b + k_b]
-    i, j = np.nonzero(DENOMINATOR * overlap.astype(np.int64) >= NUMERATOR * (both - overlap.astype(np.int64)))
-    i, j = i + base_a, j + base_b
-    i, j = i[i != j], j[i != j]
-    root = _local_roots(ids, i, j)
-    moved = root != ids
-    return ids[moved], root[moved]
-
-
-def _family_links(docs: DataFrame, classes: DataFrame, open_: DataFrame, width: int) -> DataFrame:
-    """a, b: links between components of the families, as one root per document and pair of tiles."""
-    members, pairs = _tiles(_families(open_))
-    texts = _holders(docs, classes, members.select("cls"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, grams in _distinct_sets(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], ["cls", "grams"])
-
-    dealt = texts.mapInArrow(sets, "cls long, grams binary").join(members, "cls").join(pairs, "tile").select("pair", "tile", "cls", "grams")
-    dealt = dealt.repartition("pair").sortWithinPartitions("pair", "tile", "cls")
-
-    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(rows: list[tuple[int, tuple, np.ndarray]]) -> pa.RecordBatch:
-            a, b = _linked_in(rows)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        at, held = None, []
+            bits = [np.packbits(np.bincount((g % np.uint64(BINS)).astype(np.int64), minlength=BINS) & 1 > 0).tobytes() for g in grams]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(bits, pa.binary())], ["cls", "sketch"])
+
+    made = _holders(docs, classes, wanted).mapInArrow(rows, "cls long, sketch binary")
+    return materialize(made.groupBy("cls").agg(F.first("sketch").alias("sketch")), "ngram-sketches")
+
+
+def _screen(column: pa.Table, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, differing bins) of pairs of one column or of two of its tiles that may link: of all, or of each row's nearest ones."""
+    cls, n, at, component, tile = (np.asarray(column[c], dtype=np.int64) for c in ("cls", "n", "at", "component", "tile"))
+    sketch = np.frombuffer(b"".join(column["sketch"].to_pylist()), np.uint64).reshape(len(cls), -1)
+    one = np.flatnonzero(tile == tile.min())
+    other = one if tile.min() == tile.max() and column["p"][0] == column["q"][0] else np.flatnonzero(tile != tile.min())
+    found = []
+    step = max(1, PAIRS // max(1, len(other)))
+    for k in range(0, len(one), step):
+        i, j = np.meshgrid(one[k : k + step], other, indexing="ij")
+        i, j = i.ravel(), j.ravel()
+        good = (component[i] != component[j]) & _allowed(n[i], n[j], at[i], at[j])
+        if other is one:
+            good &= i < j
+        i, j = i[good], j[good]
+        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        # at the threshold, (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR) of both sizes stand on one side only
+        good = apart * (DENOMINATOR + NUMERATOR) <= (DENOMINATOR - NUMERATOR) * (n[i] + n[j])
+        found.append((i[good], j[good], apart[good]))
+    i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    if best and len(i):
+        picked = []
+        for side in (i, j):
+            order = np.lexsort((apart, side))
+            picked.append(order[np.concatenate([[True], side[order][1:] != side[order][:-1]])])
+        i, j = i[np.concatenate(picked)], j[np.concatenate(picked)]
+    return np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), apart
+
+
+def _screened(open_: DataFrame, best: bool) -> DataFrame:
+    """a, b: pairs of different components that the columns of open_ (with sketches) leave possible. A column of more than TILE rows is dealt as pairs of tiles."""
+    tiles = F.ceil(F.col("rows") / TILE)
+    dealt = open_.withColumn("tile", F.pmod(F.xxhash64("cls"), tiles)).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    dealt = dealt.select("s", F.least("tile", "mate").alias("p"), F.greatest("tile", "mate").alias("q"), "tile", "cls", "n", "at", "component", "sketch")
+    dealt = dealt.repartition("s", "p", "q").sortWithinPartitions("s", "p", "q")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            a, b, _ = _screen(pa.Table.from_batches(held), best)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held, at = [], None
         for batch in batches:
-            tiles = batch.column("tile")
-            for pair, cls, grams, *tile in zip(*(batch.column(c).to_pylist() for c in ("pair", "cls", "grams")), *(c.to_pylist() for c in tiles.flatten()), strict=True):
-                if held and pair != at:
+            keys = np.stack([np.asarray(batch.column(c)) for c in ("s", "p", "q")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if first == last:
+                    continue
+                key = tuple(keys[:, first].tolist())
+                if held and key != at:
                     yield finish(held)
                     held = []
-                at = pair
-                if not held or held[-1][0] != cls:
-                    held.append((cls, tuple(tile), np.frombuffer(grams, np.uint64)))
+                held.append(batch.slice(first, last - first))
+                at = key
         if held:
             yield finish(held)
 
-    return materialize(dealt.mapInArrow(multiplied, "a long, b long").distinct(), "ngram-family-links")
+    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+
+
+def _open(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (s, cls, ...) of columns whose rows are in several components, with component and the column's number of rows."""
+    roots = materialize(components(links), "ngram-roots").withColumnRenamed("id", "cls")
+    rooted = materialize(rows.drop("component", "rows").join(roots, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "ngram-rooted")
+    split = rooted.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("s", "rows")
+    return materialize(rooted.join(split, "s"), "ngram-open")
 
 
 def _components_of(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -431,20 +392,16 @@ def _components_of(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     links = _verified(docs, classes, pairs, width)
     # the rest: columns whose rows are still in different components
     large = product.where("cls IS NOT NULL AND NOT hot").select("s", "cls", "n", "at").unionByName(often)
-    roots = materialize(components(links), "ngram-roots")
-    rooted = large.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("s", "cls", "n", "at", F.coalesce("component", "cls").alias("component"))
-    rooted = materialize(rooted, "ngram-rooted")
-    split = rooted.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("s", "rows")
-    open_ = materialize(rooted.join(split, "s"), "ngram-open")
-    more = []
-    crossed = materialize(_crossed(open_.where(F.col("rows") <= SMALL)).join(pairs, ["a", "b"], "left_anti"), "ngram-crossed")
-    if crossed.limit(1).count():
-        more.append(_verified(docs, classes, crossed, width))
-    open_ = open_.where(F.col("rows") > SMALL)
+    open_ = _open(large, links)
     if open_.limit(1).count():
-        more.append(_family_links(docs, classes, open_, width))
-    if more:
-        roots = materialize(components(reduce(DataFrame.unionByName, more, links)), "ngram-all-roots")
+        open_ = open_.join(_sketches(docs, classes, open_, width), "cls")
+        for best in (True, False):
+            left = materialize(_screened(open_, best).join(pairs, ["a", "b"], "left_anti"), "ngram-screened")
+            if left.limit(1).count():
+                links, pairs = links.unionByName(_verified(docs, classes, left, width)), pairs.unionByName(left)
+            if best:
+                open_ = _open(open_, links)
+    roots = materialize(components(links), "ngram-all-roots")
     found = named.select("cls").distinct().join(roots.withColumnRenamed("id", "cls"), "cls", "left")
     return members, materialize(found.select("cls", F.coalesce("component", "cls").alias("component")), "ngram-components")
 

@@ -7,16 +7,16 @@ shingles in all lines; lines near the border, and long ones that may have few di
 that any two lines whose numbers of distinct shingles allow the threshold have one of the same kind.
 
 First candidates of a bucket are its lines with the bucket's smallest and largest line, so a bucket of any size gives two per line; components
-join what several bands link. Buckets whose other lines are still in different components (templated lines) go into an exact join: lines at
+join what several bands link. In large buckets a round of centres follows, lines of the largest component with which all others are compared. Buckets whose other lines are still in different components (templated lines) go into an exact join: lines at
 the threshold share one of the first ``n - ceil(threshold * n) + 1`` of their n shingles in any fixed order, and the order puts shingles of many
 lines last. Links inside a component cannot change any class, so no link between two lines of a bucket is lost. A candidate links if the exact
-Jaccard index of the shingle sets is at least ``threshold``. The kept line of a component is its first one, by doc_id and line number.
+Jaccard index of the shingle sets is at least ``threshold``. The kept line of a component is its first one, by doc_id, hash of the text, and line number.
 
 Everything runs as DataFrame expressions. Lines are named by a 64-bit hash (two of n different lines share one with probability below
 n * n / 2**65).
 
-Nulls and edges: a null text has no lines and stays null; a null doc_id sorts first; equal lines are one node; copies of a row compete
-by doc_id and line number, so rows that share both keep their lines together; lines of any length are compared whole; an empty table gives an
+Nulls and edges: a null text has no lines and stays null; a null doc_id sorts first; equal lines are one node; rows are known by doc_id and a hash of the text, so
+rows that share a doc_id, or have none, are cut each by its own lines, and rows that share both keep their lines together; lines of any length are compared whole; an empty table gives an
 empty result. Columns of docs pass through; n_lines and n_removed are set.
 """
 
@@ -40,6 +40,10 @@ MASKS = [(0x9E3779B9 * (i + 1)) % 2**32 - 2**31 for i in range(BANDS * ROWS)]
 REMOVED_LINES = 5_000_000
 #: Shingles of at least this many lines of mixed buckets stand last in the order of the exact join.
 HOT = 16
+#: Longs of a sketch: 64 parities each.
+SKETCH = 8
+#: Buckets with more lines than LARGE have ROUNDS rounds (a second one found 3 links where the first found 291) in which their lines are compared with CENTRES lines of the bucket's largest component.
+LARGE, ROUNDS, CENTRES = 32, 1, 3
 
 
 def _trimmed(line: Column) -> Column:
@@ -122,60 +126,85 @@ def _crossed(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """a, b: lines of different components that a shared shingle, their sizes and its places allow to reach the threshold."""
     sets = texts.join(mixed, "id").select("id", "component", _shingles(F.col("line")).alias("x"))
     single = sets.select("id", "component", F.size("x").alias("n"), F.explode("x").alias("s"))
+    bit = F.expr("shiftleft(1L, cast(shiftright(s, 6) & 63 AS int))")
+    parities = [F.bit_xor(F.when(F.pmod("s", F.lit(SKETCH)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(SKETCH)]
+    sketches = single.groupBy("id").agg(*parities).select("id", F.array(*(f"p{k}" for k in range(SKETCH))).alias("sketch"))
+    sketches = materialize(sketches, "lines-sketches")
     often = materialize(single.groupBy("s").agg(F.count("*").alias("often")).where(F.col("often") >= HOT), "lines-often")
     single = single.join(broadcast_up_to(often, often.count()), "s", "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "s")))
     first = F.slice("x", 1, F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)
     prefix = single.groupBy("id", "component", "n").agg(order.alias("x")).select("id", "component", "n", F.posexplode(first).alias("at", "x"))
     prefix = materialize(prefix.select(F.col("x.s").alias("s"), "id", "component", "n", "at"), "lines-prefix")
-    side = lambda x: prefix.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "at")))
+    same = F.struct(F.count("*").alias("lines"), F.bit_xor(F.xxhash64("id")).alias("which"))
+    columns = prefix.groupBy("s").agg(same.alias("column"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("s", "column")
+    columns = prefix.join(columns, "s").groupBy("column", "id", "component", "n").agg(F.min("at").alias("at"))
+    prefix = materialize(columns.join(sketches, "id"), "lines-columns")
+    side = lambda x: prefix.select("column", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "at", "sketch")))
+    sizes = F.col("n_a") + F.col("n_b")
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    allowed = (1 + threshold) * most >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6
-    pairs = side("a").join(side("b"), "s").where((F.col("component_a") < F.col("component_b")) & allowed)
+    allowed = (1 + threshold) * most >= threshold * sizes - 1e-6
+    apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
+    alike = (1 + threshold) * apart <= (1 - threshold) * sizes + 1e-6
+    pairs = side("a").join(side("b"), "column").where((F.col("component_a") < F.col("component_b")) & allowed & alike)
     return materialize(_ordered(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))), "lines-crossed")
 
 
+def _centred(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: lines of large buckets with CENTRES lines of the component that has most of the bucket's lines, if they are in other ones."""
+    named = rows.select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    named = materialize(named, "lines-named")
+    centres = [F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)]
+    parts = named.groupBy("band", "component").agg(F.count("*").alias("n"), *centres)
+    leads = parts.groupBy("band").agg(F.sum("n").alias("rows"), F.count("*").alias("parts"), F.max_by(F.struct("component", *(f"c{k}" for k in range(CENTRES))), F.struct("n", "component")).alias("lead"))
+    leads = leads.where((F.col("parts") > 1) & (F.col("rows") > LARGE)).select("band", "lead")
+    others = named.join(leads, "band").where(F.col("component") != F.col("lead.component"))
+    return materialize(_ordered(others.select(F.col("id").alias("a"), F.explode(F.array(*(f"lead.c{k}" for k in range(CENTRES)))).alias("b"))), "lines-centred")
+
+
 def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, component: lines with a link, and the smallest line that they reach."""
     rows = materialize(_buckets(_signatures(docs, threshold)), "lines-buckets")
     pairs = materialize(_ordered(rows.select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))), "lines-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "lines-wanted")
+    wanted = materialize(rows.select("id").distinct(), "lines-wanted")
     texts = _lines(docs).withColumn("id", F.xxhash64("line")).join(broadcast_up_to(wanted, wanted.count()), "id", "left_semi")
     texts = materialize(texts.groupBy("id").agg(F.min("line").alias("line")), "lines-texts")
-    roots = materialize(components(_linked(pairs, texts, threshold, "lines-links")), "lines-roots")
+    links = _linked(pairs, texts, threshold, "lines-links")
+    roots = materialize(components(links), "lines-roots")
+    for _ in range(ROUNDS):
+        centred = _centred(rows, roots)
+        if not centred.limit(1).count():
+            break
+        links = links.unionByName(_linked(centred, texts, threshold, "lines-centrelinks"))
+        roots = materialize(components(links), "lines-roots")
     mixed = _mixed(rows, roots)
-    if not mixed.limit(1).count():
-        return roots
-    found = _linked(_crossed(mixed, texts, threshold), texts, threshold, "lines-crosslinks")
-    if not found.limit(1).count():
-        return roots
-    # components that the new links join are named anew; lines that had no link are components of their own
-    named = mixed.select(F.col("id").alias("a"), F.col("component").alias("x"))
-    joined = found.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
-    renamed = materialize(components(joined.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("to")), "lines-renamed")
-    alone = renamed.select(F.col("component").alias("id"), "component")
-    return roots.union(alone).distinct().join(renamed, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    if mixed.limit(1).count():
+        found = _linked(_crossed(mixed, texts, threshold), texts, threshold, "lines-crosslinks")
+        if found.limit(1).count():
+            return materialize(components(links.unionByName(found)), "lines-all-roots")
+    return roots
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with text shortened to the kept lines, n_lines (lines that are not blank) and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    slim = docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
     roots = line_components(slim, threshold).withColumnRenamed("component", "root")
-    places = materialize(_lines(slim, "doc_id").select("doc_id", "line_no", F.xxhash64("line").alias("id")), "lines-places")
-    place = F.struct("doc_id", "line_no")
+    places = materialize(_lines(slim, "doc_id", "mark").select("doc_id", "mark", "line_no", F.xxhash64("line").alias("id")), "lines-places")
+    place = F.struct("doc_id", "mark", "line_no")
     known = places.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, "id", "left").where("n > 1 OR root IS NOT NULL")
     known = materialize(known.select("id", F.coalesce("root", "id").alias("root"), "first"), "lines-known")
     keep = materialize(known.groupBy("root").agg(F.min("first").alias("keep")), "lines-keep")
     keep = materialize(known.join(keep, "root").select("id", "keep"), "lines-kept")
-    gone = places.join(keep, "id").where(~place.eqNullSafe(F.col("keep"))).select("doc_id", "line_no")
-    gone = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = places.join(keep, "id").where(~place.eqNullSafe(F.col("keep"))).select("doc_id", "mark", "line_no")
+    gone = gone.groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("gone"))
     gone = materialize(gone, "lines-gone")
     rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     if numbers <= REMOVED_LINES:
         gone = broadcast_up_to(gone, rows, BROADCAST_ROWS)
-    gone = gone.select(F.col("doc_id").alias("line_doc"), F.col("gone").alias("line_gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("line_doc")), "left")
+    gone = gone.select(F.col("doc_id").alias("line_doc"), F.col("mark").alias("line_mark"), F.col("gone").alias("line_gone"))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("line_doc")) & (F.xxhash64(text) == F.col("line_mark")), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("line_gone"), i))
     text = F.when(F.col("line_gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))

@@ -144,7 +144,7 @@ def test_jaccard_classes(docs, documents):
 
 def test_jaccard_with_frequent_ngrams_and_large_columns(docs, documents, monkeypatch):
     for few, hot, chunk, tile in ((2, 2, 10, 2), (2, 3, 2_000_000, 5), (1, 10**9, 2_000_000, 2048)):
-        monkeypatch.setattr(jaccard, "FEW", few), monkeypatch.setattr(jaccard, "HOT", hot), monkeypatch.setattr(jaccard, "CHUNK", chunk), monkeypatch.setattr(jaccard, "TILE", tile), monkeypatch.setattr(jaccard, "SMALL", few)
+        monkeypatch.setattr(jaccard, "FEW", few), monkeypatch.setattr(jaccard, "HOT", hot), monkeypatch.setattr(jaccard, "CHUNK", chunk), monkeypatch.setattr(jaccard, "TILE", tile)
         assert by_id(jaccard.jaccard_classes(docs), "n_shingles", "component_id") == brute.jaccard_classes(pairs(documents))
 
 
@@ -246,6 +246,8 @@ def test_rows_that_share_an_id_or_have_none_are_judged_each(spark):
     least = {c: min((ids[i] for i, v in roots.items() if v[1] == c and ids[i] is not None), default=None) for _, c in roots.values()}
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(repr((ids[i], v[0], least[v[1]])) for i, v in roots.items())
     kept = [(r.doc_id, r.text) for r in jaccard.keep_one(df).collect()]
+    cut = [(r.doc_id, r.text) for r in lines.dedup_lines(df).collect()]
+    assert sorted(map(repr, cut)) == sorted(map(repr, [(1, p), (2, ""), (1, q), (4, ""), (None, ""), (None, word("z", 40)), (7, word("u", 60)), (7, ""), (7, ""), (8, ""), (8, None), (None, None)]))
     assert sorted(map(repr, kept)) == sorted(map(repr, [(1, p), (1, q), (None, word("z", 40)), (7, word("u", 60)), (8, ""), (8, None), (None, None)]))
 
 
@@ -264,11 +266,10 @@ def test_jaccard_of_one_large_group_of_near_copies(spark, monkeypatch):
 
     def counted(df, label):
         out = real(df, label)
-        if label in ("ngram-compare", "ngram-tile-pairs"):
+        if label == "ngram-compare":
             compared.append((label, out.count()))
         return out
 
     monkeypatch.setattr(jaccard, "materialize", counted)
     assert by_id(jaccard.jaccard_classes(df), "n_shingles", "component_id") == brute.jaccard_classes(rows)
     assert sum(n for label, n in compared if label == "ngram-compare") < 16 * len(rows)  # of 79,800 pairs
-    assert sum(n for label, n in compared if label == "ngram-tile-pairs") <= 40
