@@ -40,8 +40,10 @@ MASKS = [(0x9E3779B9 * (i + 1)) % 2**32 - 2**31 for i in range(BANDS * ROWS)]
 REMOVED_LINES = 5_000_000
 #: Shingles of at least this many lines of mixed buckets stand last in the order of the exact join.
 HOT = 16
+#: Sketches (of about 100 bytes) that may be broadcast.
+SKETCH_ROWS = 100_000
 #: Longs of a sketch: 64 parities each.
-SKETCH = 8
+SKETCH = 12
 #: Buckets with more lines than LARGE have ROUNDS rounds (a second one found 3 links where the first found 291) in which their lines are compared with CENTRES lines of the bucket's largest component.
 LARGE, ROUNDS, CENTRES = 32, 1, 3
 
@@ -126,7 +128,7 @@ def _crossed(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """a, b: lines of different components that a shared shingle, their sizes and its places allow to reach the threshold."""
     sets = texts.join(mixed, "id").select("id", "component", _shingles(F.col("line")).alias("x"))
     single = sets.select("id", "component", F.size("x").alias("n"), F.explode("x").alias("s"))
-    bit = F.expr("shiftleft(1L, cast(shiftright(s, 6) & 63 AS int))")
+    bit = F.expr("shiftleft(1L, cast(shiftright(s, 20) & 63 AS int))")
     parities = [F.bit_xor(F.when(F.pmod("s", F.lit(SKETCH)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(SKETCH)]
     sketches = single.groupBy("id").agg(*parities).select("id", F.array(*(f"p{k}" for k in range(SKETCH))).alias("sketch"))
     sketches = materialize(sketches, "lines-sketches")
@@ -139,7 +141,7 @@ def _crossed(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     same = F.struct(F.count("*").alias("lines"), F.bit_xor(F.xxhash64("id")).alias("which"))
     columns = prefix.groupBy("s").agg(same.alias("column"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("s", "column")
     columns = prefix.join(columns, "s").groupBy("column", "id", "component", "n").agg(F.min("at").alias("at"))
-    prefix = materialize(columns.join(sketches, "id"), "lines-columns")
+    prefix = materialize(columns, "lines-columns").join(broadcast_up_to(sketches, sketches.count(), SKETCH_ROWS), "id")
     side = lambda x: prefix.select("column", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "at", "sketch")))
     sizes = F.col("n_a") + F.col("n_b")
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
