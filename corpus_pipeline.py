@@ -1,4 +1,8 @@
-"""A corpus pipeline over the table documents: each stage calls one operator and works on all that the stage before it kept."""
+"""A corpus pipeline over the table documents: each stage calls one operator and works on all that the stage before it kept.
+
+Rows are known by doc_id and text, so null or shared ids change no decision; null and empty texts pass all stages but the last, which takes no copies
+of what has no words; empty tables give empty results; columns other than COLUMNS are left out at the start.
+"""
 
 from __future__ import annotations
 
@@ -24,15 +28,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest doc_id."""
-    losers = jaccard.jaccard_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(materialize(losers, "pipeline-near"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of linked ones: that with the smallest doc_id; of rows that repeat each other one stays. Rows without words stay."""
+    return jaccard.keep_one(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
-    report = decontaminate.contamination_report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(materialize(report.where("contaminated").select("doc_id").distinct(), "pipeline-hit"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows without any passage of the benchmark, each judged by its own text, with or without a doc_id."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
