@@ -44,10 +44,12 @@ def alphanumeric(text: Column, permitted: str = "._- ", replacement: str = "") -
 
 
 def readable_bytes(size: Column, digits: int = 2) -> Column:
-    """A size with its 1024-based unit."""
-    units = F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB", "PB", "EB")))
-    power = F.when(size > 0, F.least(F.lit(6), F.floor(F.log2(size.cast("double")) / 10).cast("int"))).otherwise(F.lit(0))
-    return F.concat(F.round(size / F.pow(F.lit(1024.0), power), digits).cast("string"), F.lit(" "), F.element_at(units, power + 1))
+    """A size with its 1024-based unit; nothing is 0B."""
+    names = ("B", "KB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB")
+    units = F.array(*map(F.lit, names))
+    power = F.when(size > 0, F.least(F.lit(len(names) - 1), F.floor(F.log2(size.cast("double")) / 10).cast("int"))).otherwise(F.lit(0))
+    shown = F.concat(F.round(size / F.pow(F.lit(1024.0), power), digits).cast("string"), F.lit(" "), F.element_at(units, power + 1))
+    return F.when(size == 0, F.lit("0B")).otherwise(shown)
 
 
 def nearest_multiple(value: Column, of: Column) -> Column:
@@ -64,12 +66,12 @@ def inch_to_cm(value: Column) -> Column:
 
 
 def duration_text(seconds: Column, template: str = "{D} days {H}:{M}:{S}") -> Column:
-    """A duration in the template's fields: days, and hours, minutes and seconds of the rest."""
+    """A duration in the template's fields: days, and hours, minutes and seconds of the rest in two digits."""
     whole = F.floor(seconds).cast("long")
     fields = {"{D}": F.floor(whole / 86400), "{H}": F.floor(F.pmod(whole, F.lit(86400)) / 3600), "{M}": F.floor(F.pmod(whole, F.lit(3600)) / 60), "{S}": F.pmod(whole, F.lit(60))}
     out = F.lit(template)
     for mark, value in fields.items():
-        out = F.replace(out, F.lit(mark), value.cast("long").cast("string"))
+        out = F.replace(out, F.lit(mark), value.cast("long").cast("string") if mark == "{D}" else F.lpad(value.cast("long").cast("string"), 2, "0"))
     return out
 
 
