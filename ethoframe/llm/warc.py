@@ -10,12 +10,13 @@ empty table gives empty archives. Columns beyond page_id, url and html are ignor
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ethoframe.llm.common import materialize
+from ethoframe.llm.common import materialize, shared_dir
 
 CRLF = "\r\n"
 #: Fixed value: the profile of revisits with an identical payload in WARC 1.1.
@@ -72,7 +73,15 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "197
     )
     # equal digests are equal payloads, so each is kept once by an aggregate that drops copies before it shuffles
     store = rows.select(F.sha2("payload", 256).alias("sha256"), "payload").groupBy("sha256").agg(F.first("payload").alias("payload"))
-    return Archive(materialize(headers, "warc-headers"), materialize(store, "warc-payloads"))
+    return Archive(_bucketed(headers, "warc_headers"), _bucketed(store, "warc_payloads"))
+
+
+def _bucketed(df: DataFrame, label: str) -> DataFrame:
+    """df as a table of the shared folder, bucketed by digest like its partner, so that joining them again moves no payload."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, "sha256").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def read_archive(archive: Archive) -> DataFrame:
