@@ -3,8 +3,8 @@
 A line is what stands between line ends, without blanks at its ends; blank lines are never judged. Its shingles are its runs of ``SHINGLE``
 UTF-16 units (a shorter line is one shingle). Signatures are minima of a shingle hash under BANDS * ROWS masks; lines that agree on all ROWS minima
 of a band are candidates. Long lines take the minima over the quarter of shingles whose hash ends in 00, which is the same choice of
-shingles in all lines; lines near the border, and long ones that may have few distinct shingles (rulers, repeated phrases), have both signatures, so
-that any two lines whose numbers of distinct shingles allow the threshold have one of the same kind.
+shingles in all lines; lines near the border, and long ones whose sample shows few distinct shingles (rulers, repeated phrases), have both signatures, so
+that two lines whose numbers of distinct shingles allow the threshold have one of the same kind.
 
 First candidates of a bucket are its lines with the bucket's smallest and largest line, so a bucket of any size gives two per line; components
 join what several bands link. In large buckets a round of centres follows, lines of the largest component with which all others are compared. Buckets whose other lines are still in different components (templated lines) go into an exact join: lines at
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ethoframe.llm.common import BROADCAST_ROWS, broadcast_up_to, materialize
+from ethoframe.llm.common import BROADCAST_ROWS, bound, broadcast_up_to, materialize
 from ethoframe.llm.graph import components
 
 SHINGLE = 10
@@ -33,7 +33,9 @@ BANDS, ROWS = 8, 3
 THRESHOLD = 0.75
 #: Lines with more shingles than this have a signature over every fourth; up to SHORT / THRESHOLD distinct ones they have the full one, too.
 SHORT = 128
-#: So many shingles more than that at the head of a line are looked at to see that it has more distinct ones.
+#: SHORT / THRESHOLD distinct shingles leave 43 in the sample, which set 37 of 128 bits on average, and more than this in less than one line of 1,000.
+FEW_BITS = 50
+#: So many shingles more than that at the head of such a line are looked at to see that it has more distinct ones.
 SPARE = 24
 #: Masks of the permutations, an arithmetic progression on the golden ratio, so that their leading bits differ.
 MASKS = [(0x9E3779B9 * (i + 1)) % 2**32 - 2**31 for i in range(BANDS * ROWS)]
@@ -67,30 +69,47 @@ def _size(units: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.octet_length(units) / 2).cast("int") - SHINGLE + 1)
 
 
-def _distinct_shingles(units: Column, size: Column) -> Column:
-    """Hashes of the distinct ones of the first shingles."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.xxhash64(F.substring(units, i * 2 + 1, F.lit(2 * SHINGLE)))))
+def _places(size: Column) -> Column:
+    """Where the shingles begin in a line's units, in bytes from 1."""
+    return F.sequence(F.lit(1), size * 2 - 1, F.lit(2))
+
+
+def _shingle(units: Column, place: Column) -> Column:
+    return F.substring(units, place, F.lit(2 * SHINGLE))
+
+
+def _minima(rows: DataFrame, *more: Column) -> DataFrame:
+    """id, kind, bands (a key for each band; null if no shingle is in the sample) and more, summed up before and after one shuffle; rows: id, units, size, kinds."""
+    rows = rows.select("id", "units", "size", F.explode_outer("kinds").alias("kind"))
+    at = rows.select("id", "kind", "units", F.explode_outer(_places(F.col("size"))).alias("i"))
+    hashed = at.select("id", "kind", "i", F.hash(_shingle(F.col("units"), F.col("i"))).alias("h"))
+    taken = hashed.withColumn("h", F.when((F.col("kind") == 0) | (F.col("h").bitwiseAND(3) == 0), F.col("h"))).where("h IS NOT NULL OR i = 1")
+    minima = taken.groupBy("id", "kind").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)), *more)
+    keys = F.array(*(F.xxhash64(F.lit(b), "kind", *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
+    return minima.select("id", "kind", F.when(F.col("m0").isNotNull(), keys).alias("bands"), *(c for c in minima.columns if c.startswith("seen")))
 
 
 def _signatures(docs: DataFrame, threshold: float) -> DataFrame:
-    """id, kind, m0 ... : minima of each distinct line, summed up before and after one shuffle."""
-    rows = _lines(docs).select(F.xxhash64("line").alias("id"), _units(F.col("line")).alias("units"))
-    rows = rows.withColumn("size", _size(F.col("units")))
+    """id, bands of each distinct line and kind. Long lines whose sample sets few of 128 bits, and whose head shows few distinct shingles, get the full signature, too."""
+    named = _lines(docs).select(F.xxhash64("line").alias("id"), "line")
+    sized = lambda lines: lines.select("id", _units(F.col("line")).alias("units")).withColumn("size", _size(F.col("units")))
+    rows = sized(named)
     border = int(SHORT / threshold) + 1
-    # the head has no more distinct shingles than the line: one that does not show enough gets the full signature, too
-    head = F.size(_distinct_shingles(F.col("units"), F.least("size", F.lit(border + SPARE))))
-    kinds = F.when(F.col("size") <= SHORT, F.array(F.lit(0))).when(F.col("size") <= border, F.array(F.lit(0), F.lit(1))).when(head <= border, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    rows = rows.select("id", "units", "size", F.explode_outer(kinds).alias("kind"))
-    at = rows.select("id", "kind", "units", F.explode_outer(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
-    hashed = at.select("id", "kind", F.hash(F.substring(F.col("units"), F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("h"))
-    taken = hashed.where((F.col("kind") == 0) | (F.col("h").bitwiseAND(3) == 0))
-    return taken.groupBy("id", "kind").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)))
+    kinds = F.when(F.col("size") <= SHORT, F.array(F.lit(0))).when(F.col("size") <= border, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    bit = F.expr("shiftleft(1L, shiftrightunsigned(h, 3) & 63)")
+    seen = [F.bit_or(F.when(F.col("h").bitwiseAND(4) == 4 * k, bit).otherwise(F.lit(0).cast("long"))).alias(f"seen{k}") for k in range(2)]
+    first = materialize(_minima(rows.withColumn("kinds", kinds), *seen), "lines-signatures")
+    few = materialize(first.where((F.col("kind") == 1) & (F.bit_count("seen0") + F.bit_count("seen1") <= FEW_BITS)).select("id"), "lines-few")
+    # a table, so that heads are looked at after the join
+    again = materialize(named.join(broadcast_up_to(few, few.count()), "id", "left_semi"), "lines-again")
+    again = sized(again.where(F.size(_shingles(F.col("line"), border + SPARE)) <= border)).where(F.col("size") > border)
+    full = materialize(_minima(again.withColumn("kinds", F.array(F.lit(0)))).select("id", "bands"), "lines-full")
+    return first.select("id", "bands").unionByName(full)
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
     """band, id, lo, hi: lines of buckets with several lines, with the smallest and largest line of the bucket."""
-    keys = F.array(*(F.xxhash64(F.lit(b), "kind", *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    banded = signatures.select("id", F.explode(keys).alias("band"))
+    banded = signatures.select("id", F.explode("bands").alias("band"))
     # a hot bucket is two sums before the shuffle, and its join is one that adaptive execution can split
     buckets = banded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     return banded.join(buckets, "band")
@@ -100,10 +119,24 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _shingles(line: Column) -> Column:
-    """64-bit hashes of the distinct shingles (sets of longs are hashed, sets of binaries compared one by one); the units are computed once."""
-    units = _units(line)
-    return F.transform(F.array(F.struct(units.alias("units"), _size(units).alias("size"))), lambda p: _distinct_shingles(p["units"], p["size"]))[0]
+def _shingles(line: Column, most: int | None = None) -> Column:
+    """64-bit hashes of the distinct ones of the first ``most`` shingles (sets of longs are hashed, sets of binaries compared one by one)."""
+    size = (lambda u: _size(u)) if most is None else (lambda u: F.least(_size(u), F.lit(most)))
+    return bound(_units(line), lambda u: F.array_distinct(F.transform(_places(size(u)), lambda i: F.xxhash64(_shingle(u, i)))))
+
+
+def _single(texts: DataFrame) -> DataFrame:
+    """id, s: the distinct shingles of each line. Lines are dealt by id first, so shingles are not shuffled."""
+    rows = texts.select("id", _units(F.col("line")).alias("units")).repartition("id")
+    at = rows.select("id", "units", F.explode(_places(_size(F.col("units")))).alias("i"))
+    return at.select("id", F.xxhash64(_shingle(F.col("units"), F.col("i"))).alias("s")).distinct()
+
+
+def _alike(threshold: float) -> Column:
+    """Whether sizes and sketches of lines a and b allow the threshold."""
+    sizes = F.col("n_a") + F.col("n_b")
+    apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
+    return (1 + threshold) * apart <= (1 - threshold) * sizes + 1e-6
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float, label: str) -> DataFrame:
@@ -125,30 +158,27 @@ def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _crossed(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b: lines of different components that a shared shingle, their sizes and its places allow to reach the threshold."""
-    sets = texts.join(mixed, "id").select("id", "component", _shingles(F.col("line")).alias("x"))
-    single = sets.select("id", "component", F.size("x").alias("n"), F.explode("x").alias("s"))
+    """a, b: lines of different components that a shared shingle, their sizes, its places and their sketches allow to reach the threshold."""
+    some = mixed.count()
+    single = _single(materialize(texts.join(broadcast_up_to(mixed, some), "id", "left_semi"), "lines-open"))
+    often = materialize(single.groupBy("s").agg(F.count("*").alias("often")).where(F.col("often") >= HOT), "lines-often")
+    known = single.join(broadcast_up_to(often, often.count()), "s", "left")
+    # rare shingles are negative and come first by hash; the others follow by frequency, then hash
+    place = F.when(F.col("often").isNull(), F.col("s").bitwiseOR(-(2**63))).otherwise(F.shiftleft(F.least("often", F.lit(2**20)), 42).bitwiseOR(F.col("s").bitwiseAND(2**42 - 1)))
     bit = F.expr("shiftleft(1L, cast(shiftright(s, 20) & 63 AS int))")
     parities = [F.bit_xor(F.when(F.pmod("s", F.lit(SKETCH)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(SKETCH)]
-    sketches = single.groupBy("id").agg(*parities).select("id", F.array(*(f"p{k}" for k in range(SKETCH))).alias("sketch"))
-    sketches = materialize(sketches, "lines-sketches")
-    often = materialize(single.groupBy("s").agg(F.count("*").alias("often")).where(F.col("often") >= HOT), "lines-often")
-    single = single.join(broadcast_up_to(often, often.count()), "s", "left")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "s")))
+    sets = known.groupBy("id").agg(F.sort_array(F.collect_list(place)).alias("x"), *parities).withColumn("n", F.size("x"))
     first = F.slice("x", 1, F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)
-    prefix = single.groupBy("id", "component", "n").agg(order.alias("x")).select("id", "component", "n", F.posexplode(first).alias("at", "x"))
-    prefix = materialize(prefix.select(F.col("x.s").alias("s"), "id", "component", "n", "at"), "lines-prefix")
+    sets = materialize(sets.select("id", "n", first.alias("x"), F.array(*(f"p{k}" for k in range(SKETCH))).alias("sketch")).join(broadcast_up_to(mixed, some), "id"), "lines-sets")
+    prefix = sets.select("id", "component", F.posexplode("x").alias("at", "s"))
     same = F.struct(F.count("*").alias("lines"), F.bit_xor(F.xxhash64("id")).alias("which"))
     columns = prefix.groupBy("s").agg(same.alias("column"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("s", "column")
-    columns = prefix.join(columns, "s").groupBy("column", "id", "component", "n").agg(F.min("at").alias("at"))
-    prefix = materialize(columns, "lines-columns").join(broadcast_up_to(sketches, sketches.count(), SKETCH_ROWS), "id")
+    columns = prefix.join(columns, "s").groupBy("column", "id", "component").agg(F.min("at").alias("at"))
+    prefix = materialize(columns, "lines-columns").join(broadcast_up_to(sets.select("id", "n", "sketch"), some, SKETCH_ROWS), "id")
     side = lambda x: prefix.select("column", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "at", "sketch")))
-    sizes = F.col("n_a") + F.col("n_b")
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    allowed = (1 + threshold) * most >= threshold * sizes - 1e-6
-    apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
-    alike = (1 + threshold) * apart <= (1 - threshold) * sizes + 1e-6
-    pairs = side("a").join(side("b"), "column").where((F.col("component_a") < F.col("component_b")) & allowed & alike)
+    allowed = (1 + threshold) * most >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6
+    pairs = side("a").join(side("b"), "column").where((F.col("component_a") < F.col("component_b")) & allowed & _alike(threshold))
     return materialize(_ordered(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))), "lines-crossed")
 
 
