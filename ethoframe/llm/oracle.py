@@ -47,4 +47,14 @@ SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = elected THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> elected THEN elected END AS refers_to
 FROM h JOIN e USING (strong)"""
 
-ORACLE_SQL = {"op2_embedding_dedup": OP2, "op4_substring_dedup": OP4, "op5_decontaminate": OP5, "op6_ngram_jaccard": OP6, "op10_warc_archive": OP10}
+_HASH = lambda i: f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS UBIGINT)"
+OP12 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST({_HASH(0)} % (len(u) + 1) AS BIGINT) AS x, CAST({_HASH(1)} % (len(u) + 1) AS BIGINT) AS y,
+        body = '' OR regexp_matches(body, '<[PSM]>') OR {_HASH(2)} % 100 >= 50 AS plain, {_HASH(3)} % 100 < 80 AS swap FROM d),
+p AS (SELECT doc_id, body, n, CASE WHEN plain THEN 'plain' WHEN swap THEN 'spm' ELSE 'psm' END AS form, array_to_string(u[1 : least(x, y)], '') AS a, array_to_string(u[least(x, y) + 1 : greatest(x, y)], '') AS b,
+        array_to_string(u[greatest(x, y) + 1 : n], '') AS e FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body WHEN 'spm' THEN concat('<S>', e, '<P>', a, '<M>', b) ELSE concat('<P>', a, '<S>', e, '<M>', b) END) AS output_sha256, sha256(body) AS restored_sha256
+FROM p"""
+
+ORACLE_SQL = {"op2_embedding_dedup": OP2, "op4_substring_dedup": OP4, "op5_decontaminate": OP5, "op6_ngram_jaccard": OP6, "op10_warc_archive": OP10, "op12_fill_in_middle": OP12}
