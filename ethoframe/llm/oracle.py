@@ -47,6 +47,24 @@ SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = elected THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> elected THEN elected END AS refers_to
 FROM h JOIN e USING (strong)"""
 
+#: CRC-32 of a text of ASCII characters, bit by bit.
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT),
+        lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+_STEP = lambda p: f"pow(10, -round(-log10({p}) * 4096) / 4096)"
+OP11 = f"""WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS k, list_append({_SPACED_LOWER}, '') AS w FROM documents),
+h AS (SELECT doc_id, w, {_CRC32} % 7 = 2 AS held_out FROM d),
+t AS (SELECT doc_id, held_out, i, w[i] AS w, CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS v, CASE WHEN i = 2 THEN '' WHEN i > 2 THEN w[i - 2] END AS u FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM h)),
+c1 AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c1),
+c2 AS (SELECT v, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY v, w), k2 AS (SELECT v, sum(c) AS c, count(*) AS types FROM c2 GROUP BY v),
+c3 AS (SELECT u, v, w, count(*) AS c FROM t WHERE NOT held_out AND u IS NOT NULL GROUP BY u, v, w), k3 AS (SELECT u, v, sum(c) AS c, count(*) AS types FROM c3 GROUP BY u, v),
+p AS (SELECT t.doc_id, t.held_out, c1.c AS known, n.n, (coalesce(c1.c, 0) + 1) / (n.n + n.v + 1) AS p1,
+        CASE WHEN c2.c IS NULL THEN 0 ELSE {_STEP("(c2.c - 0.75) / k2.c")} END AS own2, CASE WHEN k2.c IS NULL THEN 1 ELSE {_STEP("0.75 * k2.types / k2.c")} END AS rest2,
+        CASE WHEN c3.c IS NULL THEN 0 ELSE {_STEP("(c3.c - 0.75) / k3.c")} END AS own3, CASE WHEN k3.c IS NULL THEN 1 ELSE {_STEP("0.75 * k3.types / k3.c")} END AS rest3
+      FROM t CROSS JOIN n LEFT JOIN c1 ON c1.w = t.w LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w LEFT JOIN k2 ON k2.v = t.v
+      LEFT JOIN c3 ON c3.u = t.u AND c3.v = t.v AND c3.w = t.w LEFT JOIN k3 ON k3.u = t.u AND k3.v = t.v)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(known) AS n_known, n AS train_tokens, round(fsum(log10(p1)), 6) AS base_score, round(fsum(log10(own3 + rest3 * (own2 + rest2 * p1))), 6) AS score
+FROM p GROUP BY doc_id, held_out, n"""
+
 _HASH = lambda i: f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS UBIGINT)"
 OP12 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
 c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST({_HASH(0)} % (len(u) + 1) AS BIGINT) AS x, CAST({_HASH(1)} % (len(u) + 1) AS BIGINT) AS y,
@@ -57,4 +75,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT)
        sha256(CASE form WHEN 'plain' THEN body WHEN 'spm' THEN concat('<S>', e, '<P>', a, '<M>', b) ELSE concat('<P>', a, '<S>', e, '<M>', b) END) AS output_sha256, sha256(body) AS restored_sha256
 FROM p"""
 
-ORACLE_SQL = {"op2_embedding_dedup": OP2, "op4_substring_dedup": OP4, "op5_decontaminate": OP5, "op6_ngram_jaccard": OP6, "op10_warc_archive": OP10, "op12_fill_in_middle": OP12}
+ORACLE_SQL = {"op2_embedding_dedup": OP2, "op4_substring_dedup": OP4, "op5_decontaminate": OP5, "op6_ngram_jaccard": OP6, "op10_warc_archive": OP10, "op11_lm_scoring": OP11, "op12_fill_in_middle": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethoframe.llm import alignment, chat, decontaminate, fim, jaccard, licenses, lines, mixing, quality, substrings, vectors, warc
+from ethoframe.llm import alignment, chat, decontaminate, fim, jaccard, licenses, lines, mixing, ngrams, quality, substrings, vectors, warc
 from ethoframe.llm.oracle import ORACLE_SQL
 
 
@@ -70,6 +70,12 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of logarithms to six digits after the point: what lies beyond depends on the order of the sum."""
+    scored = ngrams.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = fim.restored(F.col("output"), F.col("form"))
@@ -81,5 +87,5 @@ def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_embedding_dedup, op3_line_dedup, op4_substring_dedup, op5_decontaminate, op6_ngram_jaccard, op7_quality, op8_mix_sources, op9_chat_format, op10_warc_archive, op12_fill_in_middle, op13_align_tokenizers)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_embedding_dedup, op3_line_dedup, op4_substring_dedup, op5_decontaminate, op6_ngram_jaccard, op7_quality, op8_mix_sources, op9_chat_format, op10_warc_archive, op11_lm_scoring, op12_fill_in_middle, op13_align_tokenizers)}
 
