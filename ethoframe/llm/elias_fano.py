@@ -38,17 +38,28 @@ def _bits_at(data: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
     return ((words[place >> 3] >> (place & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
+def _byte_table() -> np.ndarray:
+    """Place of the k-th one of each byte, by 8 * byte + k; 0 where there is none."""
+    table = np.zeros((256, 8), np.int64)
+    for byte in range(256):
+        places = [i for i in range(8) if byte >> i & 1]
+        table[byte, : len(places)] = places
+    return table.ravel()
+
+
+_IN_BYTE = _byte_table()
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
 def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the rank-th one (from 0) of each word."""
-    place = np.zeros(len(word), np.int64)
-    rank = rank.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-        over = rank >= ones
-        rank -= np.where(over, ones, 0)
-        place += np.where(over, width, 0)
-        word = np.where(over, word >> np.uint64(width), word)
-    return place
+    """Place of the rank-th one (from 0) of each word: running counts of its bytes in one product, then a table for the byte."""
+    rank = rank.astype(np.uint64)
+    ones = word - ((word >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    ones = (ones & np.uint64(0x3333333333333333)) + ((ones >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    ones = ((ones + (ones >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH
+    byte = (((((rank * _EACH) | _TOP) - ones) & _TOP) >> np.uint64(7)) * _EACH >> np.uint64(56) << np.uint64(3)
+    rank -= (ones << np.uint64(8)) >> byte & np.uint64(0xFF)
+    return (byte + _IN_BYTE[((word >> byte & np.uint64(0xFF)) << np.uint64(3)) + rank].astype(np.uint64)).astype(np.int64)
 
 
 @dataclass
@@ -92,25 +103,29 @@ class EliasFano:
         return (upper << self.width) | _bits_at(self.low, at * self.width, self.width)
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The first position of each value, or -1: the bucket of its high part begins after a zero, and its few members are compared in turn."""
+        """The first position of each value, or -1: zeros bound the bucket of its high part, whose low parts are searched by halves."""
         found = np.full(len(values), -1, np.int64)
         upper = values >> self.width
         todo = np.flatnonzero((values >= 0) & (upper < self._last_zeros())) if self.n else np.zeros(0, np.int64)
         if not len(todo):
             return found
-        upper = upper[todo]
-        place = np.zeros(len(todo), np.int64)
+        upper, want = upper[todo], values[todo] & ((1 << self.width) - 1)
+        high = self._select(self.zeros, upper, True) - upper
+        low = np.zeros(len(todo), np.int64)
         later = upper > 0
-        place[later] = self._select(self.zeros, upper[later] - 1, True) + 1
-        position = place - upper
-        want = values[todo] & ((1 << self.width) - 1)
-        while len(todo):
-            inside = (self.high[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-            todo, place, position, want = todo[inside], place[inside], position[inside], want[inside]
-            got = _bits_at(self.low, position * self.width, self.width)
-            found[todo[got == want]] = position[got == want]
-            less = got < want
-            todo, place, position, want = todo[less], place[less] + 1, position[less] + 1, want[less]
+        low[later] = self._select(self.zeros, upper[later] - 1, True) + 1 - upper[later]
+        some = low < high
+        todo, low, high, want = todo[some], low[some], high[some], want[some]
+        last = high
+        while len(open_ := np.flatnonzero(low < high)):
+            middle = (low[open_] + high[open_]) >> 1
+            less = _bits_at(self.low, middle * self.width, self.width) < want[open_]
+            low[open_] = np.where(less, middle + 1, low[open_])
+            high = high.copy() if high is last else high
+            high[open_] = np.where(less, high[open_], middle)
+        inside = np.flatnonzero(low < last)
+        hit = inside[_bits_at(self.low, low[inside] * self.width, self.width) == want[inside]]
+        found[todo[hit]] = low[hit]
         return found
 
     def _last_zeros(self) -> int:

@@ -43,9 +43,9 @@ from ethoframe.llm.elias_fano import EliasFano, read, write
 DISCOUNT = 0.75
 #: Steps of a quantised logarithm in a unit.
 STEPS = 4096
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 #: Tokens of a block that is sorted and sent; a longer text is a block of its own. Below 2**21 three ranks fit into a long, which sorts faster.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
 SLICE_BYTES = 4_000_000
 HASH_BITS = 63
 MOST_PARTS = 4096
@@ -299,8 +299,10 @@ class Model:
             own2[hit] = plain(file.own[2][got])
             more = file.pointers[3].values(got + 1) > file.pointers[3].values(got)
             rest3[hit[more]] = plain(file.rest[3][got[more]])
-        for i in np.flatnonzero(wide_word):
-            rest2[i] = plain(quantised(np.array(self.discount * self.words.get(int(ia[i]), 0) / count[a[i]]))) if int(ia[i]) in self.words else 1.0
+        wide = np.flatnonzero(wide_word)
+        many, back = np.unique(a[wide], return_inverse=True)
+        types = np.array([self.words[i] for i in ids[many].tolist()], np.int64)
+        rest2[wide] = plain(quantised(self.discount * types / count[many]))[back]
         for i in np.flatnonzero(wide_pair):
             pair, context, types = self.pairs.get((int(ia[i]), int(ib[i])), (0, 0, 0))
             own2[i] = plain(quantised(np.array((pair - self.discount) / count[a[i]]))) if pair else 0.0
