@@ -37,8 +37,8 @@ B_BITS = 15
 #: Most pairs that are broadcast.
 HOT = 400_000
 SLICE_BYTES = 1_000_000
-#: Pairs held before their counts are summed and sent.
-BLOCK_PAIRS = 4_000_000
+#: Pairs that a task works on at a time.
+BLOCK_PAIRS = 2_000_000
 #: A group with more token pairs is counted by its distinct ids.
 LARGE_GROUP = 4096
 ROWS = "row_id long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary"
@@ -84,7 +84,7 @@ def side_a(path: str) -> Side:
 
 
 #: Words whose pieces a task remembers.
-KNOWN_WORDS, LONG_WORD = 200_000, 40
+KNOWN_WORDS, LONG_WORD = 500_000, 32
 _WORDS = re.compile(" +[^ ]+")
 
 
@@ -160,18 +160,18 @@ class Transducer:
     def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
         """How many tokens of A and of B end with each group; None if the sequences differ."""
         s = empty = self.empty
-        i = j = 0
+        j = 0
         ends_a, ends_b = [], []
+        close_a, close_b = ends_a.append, ends_b.append
         try:
-            for t in a:
+            for i, t in enumerate(a, 1):
                 s = s[t]
-                i += 1
                 while s.b_reads:
                     s = s[b[j]]
                     j += 1
                 if s is empty:
-                    ends_a.append(i)
-                    ends_b.append(j)
+                    close_a(i)
+                    close_b(j)
         except IndexError:  # B has ended
             return None
         return (ends_a, ends_b) if s is empty and j == len(b) else None
@@ -236,6 +236,24 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return pairs, links
 
 
+def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row ids, pairs of each, pairs, links) of packed rows, about BLOCK_PAIRS at a time."""
+    ids, held, size = [], [], 0
+    for row, data in zip(batch.column("row_id").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+        ids.append(row)
+        held.append(unpack(data))
+        size += len(held[-1][0])
+        if size >= BLOCK_PAIRS:
+            yield _block(ids, held)
+            ids, held, size = [], [], 0
+    if held:
+        yield _block(ids, held)
+
+
+def _block(ids: list[int], held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.array(ids, np.int64), np.array([len(p) for p, _ in held]), np.concatenate([p for p, _ in held]), np.concatenate([n for _, n in held])
+
+
 @cache
 def _sides(folder: str) -> tuple[Side, Side, Transducer]:
     a, b = side_a(f"{folder}/{A_FILE}"), side_b(f"{folder}/{B_FILE}")
@@ -285,22 +303,12 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     """(pair, n): in how many documents each pair is linked; blocks of documents are summed before the shuffle."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def summed(held: list[np.ndarray]) -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int32)), pa.array(n)], ["pair", "n"])
-
-        held, size = [], 0
         for batch in batches:
-            for data in batch.column("pairs"):
-                held.append(unpack(data.as_py())[0])
-                size += len(held[-1])
-                if size >= BLOCK_PAIRS:
-                    yield summed(held)
-                    held, size = [], 0
-        if held:
-            yield summed(held)
-
-    part = rows.where("pairs IS NOT NULL").select("pairs").mapInArrow(counted, "pair int, n long")
+            for _, _, pairs, _ in blocks(batch):
+                pairs, n = np.unique(pairs, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int32)), pa.array(n)], ["pair", "n"])
+
+    part = rows.where("pairs IS NOT NULL").select("row_id", "pairs").mapInArrow(counted, "pair int, n long")
     return part.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
@@ -320,16 +328,18 @@ def align_tokenizers(docs: DataFrame, folder: str = TOKENIZERS, hot: int = HOT)
         """One row per document with the sums over its frequent pairs (pair null), and a row for each other pair."""
         pair, n, is_best = shared.value
         for batch in batches:
-            for row, data in zip(batch.column("row_id").to_pylist(), batch.column("pairs"), strict=True):
-                pairs, links = unpack(data.as_py())
-                at = np.searchsorted(pair, pairs)
-                hit = np.zeros(len(pairs), bool)
-                inside = at < len(pair)
-                hit[inside] = pair[at[inside]] == pairs[inside]
-                sums, lost = links[hit], pairs[~hit]
+            for ids, sizes, pairs, links in blocks(batch):
+                at = np.minimum(np.searchsorted(pair, pairs), max(len(pair) - 1, 0))
+                hit = pair[at] == pairs if len(pair) else np.zeros(len(pairs), bool)
+                row = np.repeat(np.arange(len(ids)), sizes)
+                sums = [np.zeros(len(ids), np.int64) for _ in range(2)]
+                for total, weight in zip(sums, (is_best[at[hit]], n[at[hit]]), strict=True):
+                    np.add.at(total, row[hit], links[hit] * weight)
+                lost = ~hit
+                none = np.zeros(lost.sum(), np.int64)
                 columns = [
-                    pa.array(np.full(len(lost) + 1, row)), pa.array([None, *lost.tolist()], pa.int32()), pa.array(np.concatenate([[0], links[~hit]]).astype(np.int64)),
-                    pa.array([int((sums * is_best[at[hit]]).sum()), *[0] * len(lost)], pa.int64()), pa.array([int((sums * n[at[hit]]).sum()), *[0] * len(lost)], pa.int64()),
+                    pa.array(np.concatenate([ids, ids[row[lost]]])), pa.array(np.concatenate([np.zeros(len(ids), np.int32), pairs[lost].astype(np.int32)]), mask=np.arange(len(ids) + len(none)) < len(ids)),
+                    pa.array(np.concatenate([np.zeros(len(ids), np.int64), links[lost]])), *(pa.array(np.concatenate([total, none])) for total in sums),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["row_id", "pair", "links", "n_best", "count_sum"])
 
