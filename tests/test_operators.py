@@ -230,7 +230,7 @@ def test_tracks(spark):
 def test_text(spark):
     fields = text.extract_fields(F.lit("mouse_12_day3_mouse.csv"), {"animal": r"mouse_(\d+)", "day": r"day(\d)"})
     r = one(spark, *(c.alias(k) for k, c in fields.items()), text.readable_bytes(F.lit(1536)).alias("size"), text.duration_text(F.lit(93784)).alias("d"), text.json_at(F.lit('{"a": [1, {"b c": 5}]}'), ["a", 1, "b c"]).alias("j"))
-    assert (r.animal, r.day, r["size"], r.d, r.j) == ("12", "3", "1.5 KB", "1 days 2:3:4", "5")
+    assert (r.animal, r.day, r["size"], r.d, r.j) == ("12", "3", "1.5 KB", "1 days 02:03:04", "5")
     r = one(spark, text.int_synonym(F.array(F.lit(0), F.lit(25))).alias("s"), text.synonym_ints(F.lit("az")).alias("i"), text.nearest_multiple(F.lit(7.5), F.lit(5)).alias("n"))
     assert (r.s, r.i, r.n) == ("az", [0, 25], 10.0)
 
