@@ -18,9 +18,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +59,9 @@ def byte_alphabet() -> dict[str, int]:
 class Side:
     """An encoder without special tokens and the bytes of each id."""
 
-    encode: object
+    encode: Callable[[str], list[int]]
     bytes_of: list[bytes]
+    joined: Callable[[list[int]], bytes] | None = None
 
 
 @cache
@@ -80,7 +83,7 @@ def side_a(path: str) -> Side:
     for b, i in ranks.items():
         names[i] = b
     encoding = tiktoken.Encoding("a", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-    return Side(encoding.encode_ordinary, names)
+    return Side(encoding.encode_ordinary, names, encoding.decode_bytes)
 
 
 #: Words whose pieces a task remembers.
@@ -96,25 +99,24 @@ def side_b(path: str) -> Side:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     names = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    whole = lambda text: model.encode(text, num_threads=1)
+    whole = lambda texts: model.encode(texts, num_threads=1)
     if any("▁" in p.lstrip("▁") for p in pieces):
         return Side(whole, names)
-    known: dict[str, list[int]] = {}
+    known: dict[str, tuple[int, ...]] = {}
 
     def encode(text: str) -> list[int]:
         if text[-1:] in ("", " ") or "▁" in text:
             return whole(text)
         if len(known) > KNOWN_WORDS:
             known.clear()
-        out: list[int] = []
-        for word in _WORDS.findall(" " + text):
-            ids = known.get(word)
-            if ids is None:
-                ids = whole(word[1:])
-                if len(word) < LONG_WORD:
-                    known[word] = ids
-            out += ids
-        return out
+        words = _WORDS.findall(" " + text)
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        known.update(zip(new, map(tuple, whole([w[1:] for w in new])), strict=True))
+        ids = list(chain.from_iterable(map(known.__getitem__, words)))
+        for w in new:
+            if len(w) >= LONG_WORD:
+                del known[w]
+        return ids
 
     return Side(encode, names)
 
@@ -157,11 +159,11 @@ class Transducer:
             self.states[key] = State(self, b_reads, suffix)
         return self.states[key]
 
-    def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
+    def cuts(self, a: list[int], b: list[int]) -> tuple[array, array] | None:
         """How many tokens of A and of B end with each group; None if the sequences differ."""
         s = empty = self.empty
         j = 0
-        ends_a, ends_b = [], []
+        ends_a, ends_b = array("q"), array("q")
         close_a, close_b = ends_a.append, ends_b.append
         try:
             for i, t in enumerate(a, 1):
@@ -267,11 +269,11 @@ def align_text(text: str | None, folder: str = TOKENIZERS) -> tuple[np.ndarray,
     one, two, walk = _sides(folder)
     spaced = " " + text
     a = one.encode(spaced)
-    if b"".join([one.bytes_of[i] for i in a]) != spaced.encode():
+    if one.joined(a) != spaced.encode():
         return None
     b = two.encode(text)
     ends = walk.cuts(a, b)
-    return ends and (np.array(a), np.array(b), np.array(ends[0]), np.array(ends[1]))
+    return ends and (np.array(a), np.array(b), np.frombuffer(ends[0], np.int64), np.frombuffer(ends[1], np.int64))
 
 
 def aligned_rows(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
