@@ -1,13 +1,18 @@
-"""Queries on assignments, disjoint sets, trees, JSON in texts, polygons and weighted draws."""
+"""Queries on assignments, disjoint sets, trees, JSON in texts, polygons, draws, segments, linkage, and folders and databases that are written and read back."""
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import urlparse
+
 from pyspark.sql import functions as F
 
 from ethoframe.functions import trees
-from ethoframe.operators import assignment, disjoint, draws, polygons
-from ethoframe.plans.inputs import r6, sql, table
+from ethoframe.operators import assignment, disjoint, draws, linkage, polygons, segments, vectors
+from ethoframe.plans.inputs import E, IDS, events, r6, sql, table
 from ethoframe.plans.registry import query
+from ethoframe.shared import shared_dir
+from ethoframe.sources import files, sqlite
 
 # assignment: lines of an order in three groups by line number; group 0 is the anchor
 
@@ -189,3 +194,52 @@ def np_axis_choice(spark, sf_dir):
 def np_sample_along_first_axis(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     return draws.sample_without_replacement(orders, ["o_orderkey"], "o_totalprice", 50, ["o_orderpriority"], seed=3).select("o_orderkey", "o_orderpriority")
+
+
+# segments: up to 400 frames from each event on
+
+
+@query(sql(E, """SELECT s.event_id, CAST(trunc(min(t.x)) AS BIGINT) AS x, CAST(trunc(min(t.y)) AS BIGINT) AS y, CAST(trunc(max(t.x)) AS BIGINT) AS x_max, CAST(trunc(max(t.y)) AS BIGINT) AS y_max, count(t.x) AS n_frames
+FROM (SELECT event_id, user_id, frame_index AS a, frame_index + event_id * 7 % 400 AS b FROM e) s LEFT JOIN (SELECT * FROM e WHERE sparse IS NOT NULL) t ON t.user_id = s.user_id AND t.frame_index BETWEEN s.a AND s.b GROUP BY s.event_id"""))
+def get_bbox_from_event_segment(spark, sf_dir):
+    frames = events(spark, sf_dir)
+    spans = frames.select("event_id", *IDS, F.col("frame_index").alias("a"), (F.col("frame_index") + F.col("event_id") * 7 % 400).alias("b"))
+    known = F.col("sparse").isNotNull()
+    trace = frames.select(*IDS, "frame_index", F.when(known, F.col("x")).alias("x"), "y", F.col("x").alias("x_max"), F.col("y").alias("y_max"))
+    found = segments.segment_extremes(spans, trace, IDS, "a", "b", ["x", "y"], ["x_max", "y_max"])
+    return found.select("event_id", *(F.col(c).cast("long").alias(c) for c in ("x", "y", "x_max", "y_max")), "n_frames")
+
+
+@query()
+def create_similarity_dendrogram(spark, sf_dir):
+    """The merge table of the centroids of the labels; tests hold it against a brute-force agglomeration."""
+    centroids = vectors.vector_medians(table(spark, sf_dir, "embeddings"), "embedding", ["label"])
+    distances = vectors.pairwise_distances(centroids, centroids, "label", "centroid", ordered_pairs=True)
+    return linkage.complete_linkage(distances, "key_a", "key_b")
+
+
+# written and read back
+
+
+def _scratch(spark, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(sql(E + ", n AS (SELECT user_id, count(DISTINCT event_type) AS n FROM e GROUP BY user_id)", """SELECT CAST(user_id AS VARCHAR) || CASE WHEN n > 1 THEN '_' || event_type ELSE '' END AS recording, frame_index, value, y FROM e JOIN n USING (user_id)"""))
+def get_sleap_tracking_df(spark, sf_dir):
+    """A folder of delimited files, one or more for each user, with a track for each kind of event."""
+    root = _scratch(spark, "tracks")
+    rows = events(spark, sf_dir).select("user_id", F.col("event_type").alias("track"), F.col("frame_index").alias("frame_idx"), F.col("value").alias("body.score"), F.col("y").alias("body.y"))
+    rows.repartition("user_id").write.partitionBy("user_id").option("header", True).csv(root)
+    return files.track_folder(spark, root, recording=r"user_id=(\d+)").select("recording", "frame_index", F.col("`body.score`").alias("value"), F.col("`body.y`").alias("y"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def write_sqlite_table(spark, sf_dir):
+    """Replaced once, appended to once, and read back."""
+    path = urlparse(_scratch(spark, "orders")).path + ".db"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    sqlite.write_sqlite_table(orders, path, "orders")
+    sqlite.write_sqlite_table(orders.where("o_orderstatus = 'F'"), path, "orders", "append")
+    return sqlite.read_sqlite_table(spark, path, "orders")

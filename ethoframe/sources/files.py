@@ -125,6 +125,35 @@ def long_to_label_columns(points: DataFrame, ids: Sequence[str], keypoints: Sequ
     return points.groupBy(*ids).agg(*(pick(i, k, c) for i, k in cells for c in "xy"))
 
 
+def read_delimited_folder(spark: SparkSession, root: str, header_start: str, separator: str = ",", glob: str = "*.csv") -> DataFrame:
+    """file_path and, as texts, the union of the columns of all files below a folder, in one scan and one plan whatever the number of files.
+
+    Each file has its own header, the line that begins with ``header_start``; its names go to the file's lines by a join on the path. A column that a file lacks,
+    or an empty field, is null. Fields don't contain the separator. The driver gets the distinct column names only.
+    """
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(root).select("value", F.col("_metadata.file_path").alias("file_path"))
+    fields = lambda c: F.split(F.regexp_replace(c, "\\r$", ""), "\\Q" + separator + "\\E", -1)
+    is_header = F.col("value").startswith(header_start)
+    headers = lines.where(is_header).groupBy("file_path").agg(F.first("value").alias("_names")).withColumn("_names", fields("_names"))
+    names = [r.name for r in headers.select(F.explode("_names").alias("name")).distinct().orderBy("name").collect()]
+    rows = lines.where(~is_header & (F.col("value") != "")).join(headers, "file_path").withColumn("_values", fields("value"))
+    at = lambda name: F.nullif(F.get("_values", F.array_position("_names", name).cast("int") - 1), F.lit(""))
+    return rows.select("file_path", *(at(name).alias(name) for name in names))
+
+
+def track_folder(spark: SparkSession, root: str, track: str = "track", frame: str = "frame_idx", recording: str = r"([^/]*?)(?:\.[^./]*)?$", glob: str = "*.csv") -> DataFrame:
+    """recording, frame_index and the features, as doubles, of all track files below a folder.
+
+    A recording is the first group of the pattern on the file's path (its name without ending), and, where a file has several tracks, the track's name without underscores.
+    """
+    rows = read_delimited_folder(spark, root, f"{track},", glob=glob)
+    several = rows.groupBy("file_path").agg(F.countDistinct(track).alias("_n"))
+    named = rows.join(several, "file_path").withColumn("_stem", F.regexp_extract("file_path", recording, 1))
+    name = F.when(F.col("_n") > 1, F.concat("_stem", F.lit("_"), F.replace(F.col(track), F.lit("_"), F.lit("")))).otherwise(F.col("_stem"))
+    features = [c for c in rows.columns if c not in ("file_path", track, frame)]
+    return named.select(name.alias("recording"), F.col(frame).cast("long").alias("frame_index"), *(F.col(f"`{c}`").cast("double").alias(c) for c in features))
+
+
 def frame_image_name(frame: Column) -> Column:
     return F.concat(F.lit("img"), F.lpad(frame.cast("string"), 6, "0"), F.lit(".png"))
 
