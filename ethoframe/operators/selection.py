@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ethoframe.frames import FRAME
 from ethoframe.graph import components
 from ethoframe.operators.align import neighbourhoods
+from ethoframe.operators.quantiles import quantiles
 from ethoframe.operators.runs import onset_counters, run_length_encode
 from ethoframe.shared import materialize
 
@@ -51,10 +52,10 @@ def categorical_histogram(df: DataFrame, column: str, alphabetical: bool = False
 
 def quantile_pairs(a: DataFrame, b: DataFrame, column: str, n: int = 100) -> DataFrame:
     """n evenly spaced quantiles of two samples, side by side."""
-    at = F.array(*(F.lit(i / (n - 1)) for i in range(n)))
-    one = lambda d, name: d.agg(F.percentile(F.col(column).cast("double"), at).alias(name))
+    at = [i / (n - 1) for i in range(n)]
+    one = lambda d, name: quantiles(d, [], [column], at).select(F.col(column).alias(name))
     both = one(a, "sample_a").crossJoin(one(b, "sample_b"))
-    zipped = F.arrays_zip(F.transform(at, lambda q: q).alias("q"), "sample_a", "sample_b")
+    zipped = F.arrays_zip("sample_a", "sample_b")
     return both.select(F.posexplode(zipped).alias("i", "z")).select((F.col("i") / (n - 1)).alias("q"), F.col("z.sample_a").alias("sample_a"), F.col("z.sample_b").alias("sample_b"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ethoframe.frames import FRAME, ordered
 from ethoframe.functions.angles import delta_angle
+from ethoframe.operators.quantiles import medians
 
 FPS = 30.00003
 _STATS = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum}
@@ -46,10 +47,10 @@ def interpolate(df: DataFrame, column: str, ids: Sequence[str], order: str = FRA
 def modified_zscore(df: DataFrame, column: str, by: Sequence[str] = (), name: str = "zscore") -> DataFrame:
     """0.6745 (x - median) / MAD over the rows of a group (or all); null where MAD is 0."""
     keys = list(by)
-    center = df.groupBy(*keys).agg(F.percentile(column, F.lit(0.5)).alias("_median"))
-    joined = df.join(F.broadcast(center), keys) if keys else df.crossJoin(F.broadcast(center))
-    spread = joined.groupBy(*keys).agg(F.percentile(F.abs(F.col(column) - F.col("_median")), F.lit(0.5)).alias("_mad"))
-    joined = joined.join(F.broadcast(spread), keys) if keys else joined.crossJoin(F.broadcast(spread))
+    center = medians(df, keys, [column]).withColumnRenamed(column, "_median")
+    joined = df.join(center, keys) if keys else df.crossJoin(F.broadcast(center))
+    spread = medians(joined.select(*keys, F.abs(F.col(column) - F.col("_median")).alias("_mad")), keys, ["_mad"])
+    joined = joined.join(spread, keys) if keys else joined.crossJoin(F.broadcast(spread))
     return joined.withColumn(name, F.try_divide(0.6745 * (F.col(column) - F.col("_median")), F.col("_mad"))).drop("_median", "_mad")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ethoframe.frames import FRAME, ordered
 from ethoframe.functions.angles import affine, polar, rotate
+from ethoframe.operators.quantiles import medians, quantiles
 
 KEYPOINT = "keypoint_name"
 
@@ -24,7 +25,7 @@ def centroids(track: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def keypoint_medians(track: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    return track.groupBy(*groups, KEYPOINT).agg(median("x").alias("x"), median("y").alias("y"))
+    return medians(track, [*groups, KEYPOINT], ["x", "y"])
 
 
 def region_of_interest(track: DataFrame, ids: Sequence[str], quantile: float = 0.99, factor: float = 1.05, size: float | None = None) -> DataFrame:
@@ -35,7 +36,8 @@ def region_of_interest(track: DataFrame, ids: Sequence[str], quantile: float = 0
         boxed = middle
     else:
         near = track.join(middle, [*ids, FRAME])
-        spread = near.groupBy(KEYPOINT).agg(*(F.percentile(F.abs(F.col(c) - F.col(f"_c{c}")), F.lit(quantile)).alias(c) for c in "xy"))
+        away = near.select(KEYPOINT, *(F.abs(F.col(c) - F.col(f"_c{c}")).alias(c) for c in "xy"))
+        spread = quantiles(away, [KEYPOINT], ["x", "y"], (quantile,)).select(*(F.col(c)[0].alias(c) for c in "xy"))
         boxed = middle.crossJoin(F.broadcast(spread.agg((F.greatest(F.max("x"), F.max("y")) * factor).alias("_side"))))
         side = F.col("_side")
     return boxed.select(*ids, FRAME, (F.col("_cx") - F.floor(side / 2)).alias("x"), (F.col("_cy") - F.floor(side / 2)).alias("y"), side.alias("w"), side.alias("h"))

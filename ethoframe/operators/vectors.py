@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ethoframe.functions.arrays import cosine_distance, euclidean_distance
+from ethoframe.operators.quantiles import medians
 
 METRICS = {"cosine": cosine_distance, "euclidean": euclidean_distance}
 
@@ -18,17 +19,19 @@ def group_sizes(df: DataFrame, groups: Sequence[str], samples: Sequence[str]) ->
     return df.select(*groups, *samples).distinct().groupBy(*groups).agg(F.count("*").alias("n"))
 
 
-def group_aggregate(df: DataFrame, groups: Sequence[str], columns: Sequence[str], stat: str = "median") -> DataFrame:
+def group_aggregate(df: DataFrame, groups: Sequence[str], columns: Sequence[str], stat: str = "median", small: bool = False) -> DataFrame:
+    """Statistics of each group. With small, each group's values surely fit into a task, and the median is one aggregate."""
+    if stat == "median" and not small:
+        return medians(df, groups, columns)
     pick = {"median": lambda c: F.percentile(c, F.lit(0.5)), "mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "std": F.stddev_samp}[stat]
     return df.groupBy(*groups).agg(*(pick(F.col(c)).alias(c) for c in columns))
 
 
 def vector_medians(df: DataFrame, vector: str, groups: Sequence[str], name: str = "centroid") -> DataFrame:
-    """The coordinate-wise median of each group. Coordinates are rows of one aggregate, so a group is never gathered."""
-    cells = df.select(*groups, F.posexplode(vector).alias("_i", "_x"))
-    medians = cells.groupBy(*groups, "_i").agg(F.percentile(F.col("_x").cast("double"), F.lit(0.5)).alias("_m"))
+    """The coordinate-wise median of each group. Coordinates are rows, and a group is never gathered."""
+    middle = medians(df.select(*groups, F.posexplode(vector).alias("_i", "_m")), [*groups, "_i"], ["_m"])
     items = F.array_sort(F.collect_list(F.struct("_i", "_m")))
-    return medians.groupBy(*groups).agg(F.transform(items, lambda x: x["_m"]).alias(name))
+    return middle.groupBy(*groups).agg(F.transform(items, lambda x: x["_m"]).alias(name))
 
 
 def glass_delta(df: DataFrame, value: str, is_test: Column, groups: Sequence[str] = ()) -> DataFrame:
@@ -50,7 +53,7 @@ def pairwise_distances(a: DataFrame, b: DataFrame, key: str, vector: str, metric
 def distances_by_group(distances: DataFrame, groups: DataFrame, key: str, group: str, stat: str = "median") -> DataFrame:
     """Per row key, the distances to each group of column keys, aggregated."""
     named = distances.join(groups.select(F.col(key).alias("key_b"), F.col(group)), "key_b")
-    return group_aggregate(named, ["key_a", group], ["distance"], stat)
+    return group_aggregate(named, ["key_a", group], ["distance"], stat, small=True)
 
 
 def closest_centroids(df: DataFrame, vector: str, group: str, metric: str = "cosine", max_groups: int = 10_000) -> DataFrame:

@@ -18,14 +18,14 @@ from ethoframe.sources import files, sqlite
 
 
 def _objects(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 3).alias("g"), "l_quantity", (F.col("l_extendedprice") / 1000).alias("p"))
-    item = F.concat_ws("|", F.format_string("%08.2f", F.col("l_quantity")), F.format_string("%012.5f", F.col("p")))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 3).alias("g"), "l_quantity", F.round(F.col("l_extendedprice") * 100).alias("p"))
+    item = F.concat_ws("|", F.format_string("%08.2f", F.col("l_quantity")), F.format_string("%012.0f", F.col("p")))
     return lines.select("l_orderkey", "g", item.alias("item"), F.array("l_quantity", "p").alias("v"))
 
 
 def _matched(pick: str) -> str:
     """Every matching of the smaller side into the larger one, a row at a time."""
-    return f"""WITH RECURSIVE l AS (SELECT l_orderkey AS k, l_linenumber % 3 AS g, l_quantity AS q, l_extendedprice / 1000 AS p FROM lineitem),
+    return f"""WITH RECURSIVE l AS (SELECT l_orderkey AS k, l_linenumber % 3 AS g, l_quantity AS q, round(l_extendedprice * 100) AS p FROM lineitem),
 n AS (SELECT *, row_number() OVER (PARTITION BY k, g ORDER BY q, p) AS i, count(*) OVER (PARTITION BY k, g) AS n FROM l),
 c AS (SELECT b.k, b.g, CASE WHEN a.n <= b.n THEN a.i ELSE b.i END AS r, CASE WHEN a.n <= b.n THEN b.i ELSE a.i END AS c, ((a.q - b.q) * (a.q - b.q) + (a.p - b.p) * (a.p - b.p)) / 2 AS cost, least(a.n, b.n) AS n
       FROM n a JOIN n b ON a.k = b.k AND a.g = 0 AND b.g <> 0),
