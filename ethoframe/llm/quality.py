@@ -109,11 +109,13 @@ def vote(model: Model, x: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarra
         latent = _unit(_unit(x[at : at + BLOCK] * model.idf) @ model.axes)
         cosine = latent @ model.vectors.T
         k = min(neighbours, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64)
+        least = np.partition(cosine, -k, axis=1)[:, -k, None]
+        nearer, tied = cosine > least, cosine == least
+        chosen = nearer | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - nearer.sum(axis=1, keepdims=True)))  # ties by position
+        weight = np.where(chosen, np.maximum(cosine, 0), 0).astype(np.float64)
         total = weight.sum(axis=1)
         good = (total > 1e-9) & (np.abs(latent).sum(axis=1) > 0)
-        score[at : at + BLOCK][good] = ((weight * model.labels[near]).sum(axis=1)[good] / total[good]).clip(0, 1)
+        score[at : at + BLOCK][good] = ((weight @ model.labels.astype(np.float64))[good] / total[good]).clip(0, 1)
     return score
 
 

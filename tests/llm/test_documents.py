@@ -273,3 +273,21 @@ def test_jaccard_of_one_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "materialize", counted)
     assert by_id(jaccard.jaccard_classes(df), "n_shingles", "component_id") == brute.jaccard_classes(rows)
     assert sum(n for label, n in compared if label == "ngram-compare") < 16 * len(rows)  # of 79,800 pairs
+
+
+@pytest.mark.parametrize("n", [3, 16, 1000, 4096])
+def test_quality_votes_break_ties_by_position(n):
+    """More neighbours at one cosine than votes: those first in the sample vote."""
+    rng = np.random.default_rng(n)
+    vectors = np.zeros((n, quality.DIMENSIONS), np.float32)
+    vectors[np.arange(n), rng.integers(0, 3, n)] = 1
+    labels = rng.integers(0, 2, n).astype(np.float32)
+    axes = np.eye(quality.FEATURES, quality.DIMENSIONS, dtype=np.float32)
+    model = quality.Model(np.ones(quality.FEATURES, np.float32), axes, vectors, labels)
+    x = np.zeros((40, quality.FEATURES), np.float32)
+    x[np.arange(40), rng.integers(0, 5, 40)] = 1
+    for row, score in zip(x, quality.vote(model, x), strict=True):
+        cosine = vectors @ row[: quality.DIMENSIONS]
+        near = sorted(range(n), key=lambda i: (-cosine[i], i))[: quality.NEIGHBOURS]
+        total = sum(cosine[i] for i in near)
+        assert score == pytest.approx(sum(cosine[i] * labels[i] for i in near) / total if total else model.prior)
