@@ -202,7 +202,8 @@ def repeated_entries(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("times"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("times > 1")
     anchors = materialize(anchors.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), (F.col("times") > HOT).alias("hot")), "repeat-anchors")
     entry = F.struct("start", "n", "anchor", "digest", "mixed", "hot")
-    found = runs.join(anchors, "anchor").groupBy(*KEY).agg(F.collect_list(entry).alias("entries"))
+    # rows that repeat key and mark have the same entries: a set holds them once, while anchors and texts below count all rows
+    found = runs.join(anchors, "anchor").groupBy(*KEY).agg(F.collect_set(entry).alias("entries"))
     found = materialize(found, "repeat-entries")
     needy = found.where(F.exists("entries", lambda e: e["mixed"]))
     texts = _texts_of(docs.join(needy, KEY).select("text", "entries"), width)

@@ -1,5 +1,7 @@
 """The operators on documents against plain Python, with nulls, empty and long texts, copies, ties, empty tables and clashing columns."""
 
+import random
+
 import brute
 import numpy as np
 import pyarrow as pa
@@ -291,3 +293,23 @@ def test_quality_votes_break_ties_by_position(n):
         near = sorted(range(n), key=lambda i: (-cosine[i], i))[: quality.NEIGHBOURS]
         total = sum(cosine[i] for i in near)
         assert score == pytest.approx(sum(cosine[i] * labels[i] for i in near) / total if total else model.prior)
+
+
+def test_repeated_rows_have_their_passages_once_each(spark, monkeypatch):
+    rng = random.Random(3)
+    text = " ".join(str(rng.randrange(50_000)) for _ in range(150))
+    shipped, cut = [], substrings._texts_of
+
+    def counted(joined, width):
+        shipped.append(cut(joined, width))
+        return shipped[-1]
+
+    monkeypatch.setattr(substrings, "_texts_of", counted)
+    sizes = []
+    for times in (100, 200, 400):
+        variant = text.rsplit(" ", 10)[0] + " other words at the end"
+        df = spark.createDataFrame([(None, text)] * times + [(1, variant)], "doc_id long, text string").repartition(3)
+        got = {(r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(df).collect()}
+        assert got == {(None, 150, 150), (1, 145, 140)}
+        sizes.append(shipped[-1].count())
+    assert sizes[2] - sizes[1] == 2 * (sizes[1] - sizes[0])
