@@ -91,7 +91,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 x = term_counts(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("at"), part.column("doc_id"), part.column("quality"), pa.array([v.tobytes() for v in x], pa.binary())], ["at", "doc_id", "quality", "x"])
 
-    got = sorted(known.mapInArrow(counts, "at long, doc_id long, quality int, x binary").collect(), key=lambda r: (r["at"], r["doc_id"], r["quality"], r["x"]))[:sample]
+    # rows may repeat a doc_id, so they are cut before they reach the driver
+    got = known.mapInArrow(counts, "at long, doc_id long, quality int, x binary").orderBy("at", "doc_id", "quality", "x").limit(sample).collect()
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in got]) if got else np.zeros((0, FEATURES), np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
     weighed = _unit(x * idf)

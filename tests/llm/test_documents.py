@@ -313,3 +313,9 @@ def test_repeated_rows_have_their_passages_once_each(spark, monkeypatch):
         assert got == {(None, 150, 150), (1, 145, 140)}
         sizes.append(shipped[-1].count())
     assert sizes[2] - sizes[1] == 2 * (sizes[1] - sizes[0])
+
+
+def test_quality_sample_is_cut_before_it_is_collected(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), sample=8)
+    assert len(model.labels) == 8 and model.labels.all()
