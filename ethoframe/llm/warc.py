@@ -26,7 +26,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 @dataclass
 class Archive:
-    """headers: one row per record (record_id, refers_to_id, header, sha256); payloads: one row per distinct payload (sha256, payload)."""
+    """headers: one row per record (page_id, record_type, refers_to_id, header, sha256; holds marks one record of each digest); payloads: one row per distinct payload (sha256, payload)."""
 
     headers: DataFrame
     payloads: DataFrame
@@ -51,37 +51,56 @@ def _header(kind: Column, record: Column, url: Column, length: Column, digest: C
 
 
 def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> Archive:
-    """Write headers and payloads as two tables of the shared folder; ``date`` is the records' date, as pages has none.
+    """Write headers and payloads as tables of the shared folder; ``date`` is the records' date, as pages has none.
 
-    One shuffle of digests finds each payload's record (partial sums take up hot payloads before it); the payload bytes themselves move
-    once, copies already dropped. A digest is verified: all rows that share a SHA-256 must agree in length and SHA-1.
+    One shuffle of digests finds each payload's record, its holder (partial sums take up hot payloads before it); the payload bytes themselves
+    move once, copies already dropped. Holders and payloads, one row per digest each, are bucketed alike, so that joining them moves no payload;
+    all other records stand in a plain table, whose joins adaptive execution may split. A digest is verified: all rows that share a SHA-256
+    must agree in length and SHA-1.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    keyed = rows.select(F.struct("page_id", F.monotonically_increasing_id().alias("row")).alias("record"), "url", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("sha256"), base32_sha1(F.col("payload")).alias("sha1"))
+    record = F.struct("page_id", F.monotonically_increasing_id().alias("row"))
+    keyed = rows.select(record.alias("record"), "url", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("sha256"), base32_sha1(F.col("payload")).alias("sha1"))
     keyed = materialize(keyed, "warc-keyed")  # rows keep their numbers from here on
-    elected = keyed.groupBy("sha256").agg(
-        F.max(F.when(F.col("record.page_id").isNotNull(), F.col("record"))).alias("elected"), F.min("payload_bytes").alias("lo"), F.max("payload_bytes").alias("hi"), F.min("sha1").alias("sha1_lo"), F.max("sha1").alias("sha1_hi")
-    )
+    # the largest page_id, and the last row of those; nulls are smallest
+    holder = F.max(F.struct("record.page_id", "record.row", "url")).alias("holder")
+    holders = keyed.groupBy("sha256").agg(holder, F.min("payload_bytes").alias("lo"), F.max("payload_bytes").alias("hi"), F.min("sha1").alias("sha1_lo"), F.max("sha1").alias("sha1_hi"))
     sound = (F.col("lo") == F.col("hi")) & (F.col("sha1_lo") == F.col("sha1_hi"))
-    elected = materialize(elected.withColumn("elected", F.when(F.assert_true(sound, F.lit("two payloads share a SHA-256")).isNull(), F.col("elected"))).select("sha256", "elected"), "warc-elected")
-    response = (F.col("payload_bytes") < min_revisit_bytes) | F.col("elected").isNull() | F.col("record.page_id").eqNullSafe(F.col("elected.page_id"))
+    holders = holders.withColumn("holder", F.when(F.assert_true(sound, F.lit("two payloads share a SHA-256")).isNull(), F.col("holder")))
+    held = F.col("holder")
+    columns = ["page_id", "record_type", "refers_to_id", "sha256", "header"]
+    first = holders.select(
+        held["page_id"].alias("page_id"), held["row"].alias("row"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to_id"), "sha256",
+        _header(F.lit("response"), held, held["url"], F.col("lo"), F.col("sha1_lo"), held, date).alias("header"),
+    )
+    first, plain = _bucketed(first, "warc_holders")
+    known = plain.select("sha256", F.struct("page_id", "row").alias("holder"))
+    response = (F.col("payload_bytes") < min_revisit_bytes) | held["page_id"].isNull() | F.col("record.page_id").eqNullSafe(held["page_id"])
     kind = F.when(response, F.lit("response")).otherwise(F.lit("revisit"))
-    headers = keyed.join(elected, "sha256").select(
-        F.col("record.page_id").alias("page_id"), kind.alias("record_type"), F.when(kind == "revisit", F.col("elected.page_id")).alias("refers_to_id"), "sha256",
-        _header(kind, F.col("record"), F.col("url"), F.when(kind == "revisit", F.lit(0)).otherwise(F.col("payload_bytes")), F.col("sha1"), F.col("elected"), date).alias("header"),
+    others = keyed.join(known, "sha256").where(F.col("record.row") != held["row"]).select(
+        F.col("record.page_id").alias("page_id"), kind.alias("record_type"), F.when(kind == "revisit", held["page_id"]).alias("refers_to_id"), "sha256",
+        _header(kind, F.col("record"), F.col("url"), F.when(kind == "revisit", F.lit(0)).otherwise(F.col("payload_bytes")), F.col("sha1"), held, date).alias("header"),
     )
+    others = materialize(others, "warc-others")
     # equal digests are equal payloads, so each is kept once by an aggregate that drops copies before it shuffles
-    store = rows.select(F.sha2("payload", 256).alias("sha256"), "payload").groupBy("sha256").agg(F.first("payload").alias("payload"))
-    return Archive(_bucketed(headers, "warc_headers"), _bucketed(store, "warc_payloads"))
+    store, _ = _bucketed(rows.select(F.sha2("payload", 256).alias("sha256"), "payload").groupBy("sha256").agg(F.first("payload").alias("payload")), "warc_payloads")
+    headers = first.select(*columns, F.lit(True).alias("holds")).unionByName(others.select(*columns, F.lit(False).alias("holds")))
+    return Archive(headers, store)
+
 
+def _bucketed(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """df as a table of the shared folder, bucketed by digest like its partner, so that joining them again moves no payload; and the same rows as plain files.
 
-def _bucketed(df: DataFrame, label: str) -> DataFrame:
-    """df as a table of the shared folder, bucketed by digest like its partner, so that joining them again moves no payload."""
+    Spark writes buckets only into tables of the catalog. The table's entry goes as soon as it is read, its files stay.
+    """
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, "sha256").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    df.write.bucketBy(buckets, "sha256").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table, spark.read.schema(table.schema).parquet(path)
 
 
 def read_archive(archive: Archive) -> DataFrame:
@@ -95,24 +114,23 @@ def read_archive(archive: Archive) -> DataFrame:
 def replay_records(archive: Archive) -> DataFrame:
     """record_page, record_type, refers_to, payload_bytes and payload_digest of every record, read back from the archive.
 
-    Responses are rebuilt from header and payload, and what they declare must be what they hold. A revisit has no block of its own: it takes length
-    and digest of the response to which it refers, so a payload with very many copies is rebuilt once and not per copy.
+    The record that holds a payload is rebuilt from header and payload, and what it declares must be what it holds. The other records of that digest,
+    revisits without a block of their own and responses, take length and digest of the rebuilt one, which their headers must declare too; so a payload
+    with very many copies is rebuilt once and not per copy.
     """
-    is_response = F.col("record_type") == "response"
-    whole = record_fields(read_archive(Archive(archive.headers.where(is_response), archive.payloads)))
+    whole = record_fields(read_archive(Archive(archive.headers.where("holds"), archive.payloads)))
     record = F.concat(F.encode("header", "UTF-8"), F.col("payload"))
     block = F.substring(record, F.octet_length("header") + 1, F.col("declared_bytes").cast("int"))
     whole = whole.withColumn("block", block).select("record_page", "declared_digest", "declared_bytes", "sha256", F.octet_length("block").cast("long").alias("payload_bytes"), base32_sha1(F.col("block")).alias("payload_digest"))
     sound = (F.col("declared_digest") == F.col("payload_digest")) & (F.col("declared_bytes") == F.col("payload_bytes"))
     digest = F.when(F.assert_true(sound, F.lit("a record differs from its header")).isNull(), F.col("payload_digest"))
     whole = materialize(whole.select("record_page", "sha256", "payload_bytes", digest.alias("payload_digest")), "warc-read")
-    first = whole.groupBy("sha256").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
-    revisits = record_fields(archive.headers.where(~is_response)).join(first, "sha256", "left")
-    sound = F.col("declared_digest") == F.col("payload_digest")
-    digest = F.when(F.assert_true(F.coalesce(sound, F.lit(False)), F.lit("a revisit refers to another payload")).isNull(), F.col("payload_digest"))
+    others = record_fields(archive.headers.where("NOT holds")).join(whole.drop("record_page"), "sha256", "left")
+    sound = (F.col("declared_digest") == F.col("payload_digest")) & ((F.col("record_type") == "revisit") | (F.col("declared_bytes") == F.col("payload_bytes")))
+    digest = F.when(F.assert_true(F.coalesce(sound, F.lit(False)), F.lit("a record differs from the payload of its digest")).isNull(), F.col("payload_digest"))
     columns = ["record_page", "record_type", "refers_to", "payload_bytes", "payload_digest"]
-    responses = whole.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    return responses.select(*columns).unionByName(revisits.withColumn("payload_digest", digest).select(*columns))
+    holders = whole.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return holders.select(*columns).unionByName(others.withColumn("payload_digest", digest).select(*columns))
 
 
 def record_fields(records: DataFrame) -> DataFrame:

@@ -124,3 +124,22 @@ def test_archive_minimum_repeats_and_empty(spark):
     assert warc.read_archive(warc.write_archive(pages.limit(0))).collect() == []
     nulls = spark.createDataFrame([(None, "u", "a"), (None, "u", "a"), (1, "u", "a")], "page_id long, url string, html string")
     assert warc.read_archive(warc.write_archive(nulls)).count() == 3
+
+
+def test_archive_spreads_a_hot_digest_and_leaves_no_tables(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    tables = {t.name for t in spark.catalog.listTables()}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        html = F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("page "), F.col("id").cast("string")))
+        pages = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+        got = warc.replay_records(warc.write_archive(pages)).withColumn("task", F.spark_partition_id())
+        hot = got.where("record_type = 'revisit'").groupBy("task").agg(F.count("*").alias("n"), F.min("refers_to").alias("lo"), F.max("refers_to").alias("hi")).collect()
+        assert sum(r.n for r in hot) == 9_999 and len(hot) > 1 and max(r.n for r in hot) < 9_999 and {(r.lo, r.hi) for r in hot} == {(19_998, 19_998)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert {t.name for t in spark.catalog.listTables()} == tables
