@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ethoframe.functions.angles import affine
+from ethoframe.shared import materialize
 
 
 def box(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -183,7 +184,8 @@ def merge_boxes(boxes: DataFrame, ids: list[str], rounds: int = 20) -> DataFrame
             on = on & c
         grown = a.join(b, on).groupBy(*(F.col(f"a.{c}").alias(c) for c in ids), F.col("a.box").alias("_own")).agg(union_box(F.col("b.box")).cast(_BOX).alias("box"))
         changed = grown.where("_own <> box").limit(1).count()
-        current = grown.select(*ids, "box").distinct().checkpoint() if changed else grown.select(*ids, "box").distinct()
+        current = grown.select(*ids, "box").distinct() if changed else grown.select(*ids, "box").distinct()
         if not changed:
             return current
+        current = materialize(current, "boxes")
     raise RuntimeError(f"boxes still overlap after {rounds} rounds")

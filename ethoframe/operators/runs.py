@@ -6,10 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ethoframe.frames import FRAME, ordered
 
+#: A series without ids is cut at multiples of so many steps of its order column.
+FLAT_BLOCK = 1_000_000
+
 
 def run_starts(value: str, ids: Sequence[str], order: str = FRAME, break_on_gap: bool = False) -> Column:
     """True where a row differs from the row before it (null equals null); the first row of an id always starts a run."""
@@ -19,15 +23,43 @@ def run_starts(value: str, ids: Sequence[str], order: str = FRAME, break_on_gap:
     return change | (F.col(order) - F.lag(order).over(w) > 1) if break_on_gap else change
 
 
+def _numbered_runs(df: DataFrame, value: str, ids: Sequence[str], order: str, break_on_gap: bool) -> DataFrame:
+    """ids, _run (from 1 within an id), start_index, end_index, run_value."""
+    marked = df.select(*ids, F.col(order).alias("_at"), F.col(value).alias("_value"), run_starts(value, ids, order, break_on_gap).cast("long").alias("_new"))
+    numbered = marked.withColumn("_run", F.sum("_new").over(ordered(ids, "_at").rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*ids, "_run").agg(F.min("_at").alias("start_index"), F.max("_at").alias("end_index"), F.first("_value").alias("run_value"))
+
+
+def _flat_runs(df: DataFrame, value: str, order: str, break_on_gap: bool) -> DataFrame:
+    """Runs of one series, encoded block by block of the order column; only each block's first and last run can go on in another block.
+
+    One task sees these runs alone, at most two for every FLAT_BLOCK steps of the order column, and joins those that continue each other.
+    """
+    block = F.floor(F.col(order) / FLAT_BLOCK)
+    runs = _numbered_runs(df.select(F.col(order), F.col(value), block.alias("_block")), value, ["_block"], order, break_on_gap)
+    runs = runs.withColumn("_last", F.max("_run").over(Window.partitionBy("_block")))
+    edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
+    whole = Window.partitionBy(F.lit(0)).orderBy("_block", "_run")
+    before = lambda c: F.lag(c).over(whole)
+    fresh = (F.row_number().over(whole) == 1) | F.col("_block").eqNullSafe(before("_block")) | ~F.col("run_value").eqNullSafe(before("run_value"))
+    fresh = fresh | (F.col("start_index") - before("end_index") > 1) if break_on_gap else fresh
+    edges = runs.where(edge).withColumn("_new", fresh.cast("long"))
+    edges = edges.withColumn("_joined", F.sum("_new").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edges.groupBy("_joined").agg(F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.first("run_value").alias("run_value"))
+    columns = ["start_index", "end_index", "run_value"]
+    return runs.where(~edge).select(*columns).unionByName(joined.select(*columns))
+
+
 def run_length_encode(df: DataFrame, value: str, ids: Sequence[str] = (), order: str = FRAME, drop_values: Sequence = (), break_on_gap: bool = False) -> DataFrame:
     """ids, start_index, end_index, run_length, run_value.
 
     Neighbouring rows make a run, so a gap in the order column does not end one and counts in its length (unless break_on_gap). Rows that share an order value
-    belong to the run in which they sort.
+    belong to the run in which they sort. A series without ids whose order column holds whole numbers is encoded by blocks (_flat_runs).
     """
-    marked = df.select(*ids, F.col(order).alias("_at"), F.col(value).alias("_value"), run_starts(value, ids, order, break_on_gap).cast("long").alias("_new"))
-    numbered = marked.withColumn("_run", F.sum("_new").over(ordered(ids, "_at").rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy(*ids, "_run").agg(F.min("_at").alias("start_index"), F.max("_at").alias("end_index"), F.first("_value").alias("run_value"))
+    if not ids and isinstance(df.schema[order].dataType, T.IntegralType):
+        runs = _flat_runs(df, value, order, break_on_gap)
+    else:
+        runs = _numbered_runs(df, value, ids, order, break_on_gap)
     out = runs.select(*ids, "start_index", "end_index", (F.col("end_index") - F.col("start_index") + 1).alias("run_length"), "run_value")
     for v in drop_values:
         out = out.where(F.col("run_value").isNotNull()) if v is None else out.where(~F.col("run_value").eqNullSafe(F.lit(v)))

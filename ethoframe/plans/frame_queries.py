@@ -210,11 +210,11 @@ def get_full_frame_index(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 480000 GROUP BY ALL)
+    """WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)
     SELECT s.o_orderstatus, p.o_orderpriority, c.n FROM (SELECT DISTINCT o_orderstatus FROM c) s CROSS JOIN (SELECT DISTINCT o_orderpriority FROM c) p LEFT JOIN c ON c.o_orderstatus = s.o_orderstatus AND c.o_orderpriority = p.o_orderpriority"""
 )
 def reindex_df_to_col_product(spark, sf_dir):
-    counts = table(spark, sf_dir, "orders").where("o_totalprice > 480000").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
     return align.product_index(counts, ["o_orderstatus", "o_orderpriority"])
 
 
@@ -425,3 +425,31 @@ def linear_object_assignment(spark, sf_dir):
     """One small matching problem per user: event types to hours of their mean values; checked against permutations in the tests."""
     cells = events(spark, sf_dir).groupBy("user_id", "event_type", F.pmod(FRAME, F.lit(6)).alias("slot")).agg(F.avg("value").alias("cost"))
     return vectors.assign(cells, IDS, "event_type", "slot", "cost").withColumn("cost", r6("cost"))
+
+
+_TRAILING = "PARTITION BY user_id ORDER BY frame_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW"
+
+
+@query(sql(E, f"SELECT user_id, frame_index, CASE WHEN count(value) OVER f = 4 THEN round(sum(value) OVER f, 6) + 0.0 END AS value_sum, CASE WHEN count(y) OVER f = 4 THEN min(y) OVER f END AS y_min FROM e WINDOW f AS ({_TRAILING})"))
+def pd_rolling_df_factory(spark, sf_dir):
+    options = {"value": {"size": 4, "stat": "sum", "center": False}, "y": {"size": 4, "stat": "min", "center": False}}
+    out = smoothing.smooth_columns(events(spark, sf_dir), options, IDS)
+    return out.select("user_id", FRAME, r6("value_sum").alias("value_sum"), "y_min")
+
+
+@query(
+    sql(
+        E,
+        """, m AS (SELECT user_id, frame_index AS i, CASE WHEN event_id % 7 <> 0 THEN frame_index * 40 + event_id % 3 END AS x FROM e),
+        n AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i) AS p, first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM m),
+        g AS (SELECT n.user_id, n.i, CASE WHEN n.p = n.q THEN n.x ELSE a.x + (b.x - a.x) * (n.i - n.p) / (n.q - n.p) END AS y FROM n LEFT JOIN m a ON a.user_id = n.user_id AND a.i = n.p LEFT JOIN m b ON b.user_id = n.user_id AND b.i = n.q),
+        d AS (SELECT user_id, min(i) AS f, max(i) AS l FROM m WHERE x IS NOT NULL GROUP BY user_id)
+        SELECT g.user_id, g.i AS frame_index, round(CAST(CASE WHEN g.y IS NOT NULL THEN g.y WHEN g.i < f THEN f1.y + (g.i - f) * (f2.y - f1.y) ELSE l1.y + (g.i - l) * (l1.y - l2.y) END AS DOUBLE), 6) + 0.0 AS msec
+        FROM g LEFT JOIN d ON d.user_id = g.user_id LEFT JOIN g f1 ON f1.user_id = d.user_id AND f1.i = f LEFT JOIN g f2 ON f2.user_id = d.user_id AND f2.i = f + 1
+        LEFT JOIN g l1 ON l1.user_id = d.user_id AND l1.i = l LEFT JOIN g l2 ON l2.user_id = d.user_id AND l2.i = l - 1""",
+    )
+)
+def fix_frame_msec_series(spark, sf_dir):
+    msec = F.when(F.pmod("event_id", F.lit(7)) != 0, F.col(FRAME) * 40 + F.pmod("event_id", F.lit(3))).otherwise(F.lit(0))
+    fixed = smoothing.fix_timestamps(events(spark, sf_dir).withColumn("raw", msec), "raw", IDS, FRAME)
+    return fixed.select("user_id", FRAME, r6("msec").alias("msec"))

@@ -190,11 +190,11 @@ def scale_and_pad_bbox(spark, sf_dir):
     return _line_boxes(spark, sf_dir).select(*KEY, *_box_columns(geometry.scale_box(F.col("box"), 1.5, 0.5, 1, 2)))
 
 
-@query(sql(LINE_BOX, f"SELECT {BOX_KEY}, CASE WHEN x < 30 AND 10 < x + w AND y < 8 AND 2 < y + h THEN round(greatest(x, 10.0), 6) END AS x, CASE WHEN x < 30 AND 10 < x + w AND y < 8 AND 2 < y + h THEN round(least(x + w, 30.0) - greatest(x, 10.0), 6) END AS w FROM b"))
+@query(sql(LINE_BOX, f"SELECT {BOX_KEY}, CASE WHEN x < 30 AND 10 < x + w AND y < 8 AND 2 < y + h THEN round(greatest(x, 10.0), 6) END AS x, CASE WHEN x < 30 AND 10 < x + w AND y < 8 AND 2 < y + h THEN round(least(x + w, 30.0) - greatest(x, 10.0), 6) END AS w, CASE WHEN x < 30 AND 10 < x + w AND y < 8 AND 2 < y + h THEN round(greatest(y, 2.0), 6) END AS y, CASE WHEN x < 30 AND 10 < x + w AND y < 8 AND 2 < y + h THEN round(least(y + h, 8.0) - greatest(y, 2.0), 6) END AS h FROM b"))
 def get_bbox_intersection(spark, sf_dir):
     area = geometry.box(F.lit(10.0), F.lit(2.0), F.lit(20.0), F.lit(6.0))
     cut = geometry.box_intersection(F.col("box"), area)
-    return _line_boxes(spark, sf_dir).select(*KEY, r6(cut["x"]).alias("x"), r6(cut["w"]).alias("w"))
+    return _line_boxes(spark, sf_dir).select(*KEY, *_box_columns(cut))
 
 
 @query(sql(LINE_BOX, f"SELECT {BOX_KEY}, x BETWEEN 10 AND 30 AND round(y, 6) BETWEEN 2 AND 8 AS inside FROM b"))
@@ -227,10 +227,24 @@ def shapely_bbox_to_matplotlib_bbox(spark, sf_dir):
     return _line_boxes(spark, sf_dir).select(*KEY, *_box_columns(back))
 
 
-@query(sql(LINE_BOX, f"SELECT {BOX_KEY}, round(w * h, 4) + 0.0 AS area FROM b"))
+@query(sql(LINE_BOX, f"SELECT {BOX_KEY}, i AS corner, round(CASE WHEN i IN (1, 2) THEN x + w ELSE x END, 6) + 0.0 AS px, round(CASE WHEN i >= 2 THEN y + h ELSE y END, 6) + 0.0 AS py, round(w * h, 4) + 0.0 AS area FROM b, (SELECT CAST(unnest(range(4)) AS INTEGER) AS i)"))
 def bbox_to_polygon(spark, sf_dir):
-    area = F.abs(geometry.polygon_area(geometry.box_polygon(F.col("box"))))
-    return _line_boxes(spark, sf_dir).select(*KEY, (F.round(area, 4) + F.lit(0.0)).alias("area"))
+    rows = _line_boxes(spark, sf_dir).withColumn("polygon", geometry.box_polygon(F.col("box")))
+    rows = rows.withColumn("area", F.abs(geometry.polygon_area(F.col("polygon")))).select(*KEY, "area", F.posexplode("polygon").alias("corner", "p"))
+    return rows.select(*KEY, "corner", r6("p.x").alias("px"), r6("p.y").alias("py"), (F.round("area", 4) + F.lit(0.0)).alias("area"))
+
+
+@query(sql(LINE_BOX, f"SELECT {BOX_KEY}, i AS corner, round(x + a * w * cos(l_linenumber / 2.0) - c * h * sin(l_linenumber / 2.0), 6) + 0.0 AS px, round(y + a * w * sin(l_linenumber / 2.0) + c * h * cos(l_linenumber / 2.0), 6) + 0.0 AS py FROM b, (VALUES (0, 1, 1), (1, -1, 1), (2, -1, -1), (3, 1, -1)) s(i, a, c)"))
+def get_box_points(spark, sf_dir):
+    corners = geometry.rotated_corners(F.col("box.x"), F.col("box.y"), F.col("l_linenumber") / 2, F.col("box.w"), F.col("box.h"))
+    rows = _line_boxes(spark, sf_dir).select(*KEY, F.posexplode(corners).alias("corner", "p"))
+    return rows.select(*KEY, "corner", r6("p.x").alias("px"), r6("p.y").alias("py"))
+
+
+@query()
+def get_rois_from_bbox_list(spark, sf_dir):
+    """Boxes of each order's lines, overlapping ones merged; tests hold the operator against merging pairs one by one."""
+    return geometry.merge_boxes(_line_boxes(spark, sf_dir).select("l_orderkey", "box"), ["l_orderkey"]).select("l_orderkey", *_box_columns(F.col("box")))
 
 
 @query(sql(LINE_BOX, f"SELECT {BOX_KEY}, round(x + w / 2, 4) + 0.0 AS cx, round(y + h / 2, 4) + 0.0 AS cy FROM b"))
@@ -244,10 +258,11 @@ def apply_transform_to_bbox(spark, sf_dir):
     return _line_boxes(spark, sf_dir).select(*KEY, *_box_columns(geometry.transform_box(F.col("box"), MATRIX)))
 
 
-@query(sql(E, f"SELECT event_id, round(x + y * {math.cos(2 * math.pi / 8)}, 6) + 0.0 AS px, round(y * {math.sin(2 * math.pi / 8)}, 6) + 0.0 AS py FROM e"))
+@query(sql(E, f"SELECT event_id, i AS point, round(x + y * cos(i * {2 * math.pi / 8}), 6) + 0.0 AS px, round(y * sin(i * {2 * math.pi / 8}), 6) + 0.0 AS py FROM e, (SELECT CAST(unnest(range(8)) AS INTEGER) AS i)"))
 def get_circle(spark, sf_dir):
-    second = F.get(geometry.circle_polygon(F.col("x"), F.lit(0.0), F.col("y"), 8), F.lit(1))
-    return events(spark, sf_dir).select("event_id", r6(second["x"]).alias("px"), r6(second["y"]).alias("py"))
+    points = geometry.circle_polygon(F.col("x"), F.lit(0.0), F.col("y"), 8)
+    rows = events(spark, sf_dir).select("event_id", F.posexplode(points).alias("point", "p"))
+    return rows.select("event_id", "point", r6("p.x").alias("px"), r6("p.y").alias("py"))
 
 
 @query("SELECT o_orderkey, round((o_totalprice + 2 * o_custkey) / (0.001 * o_custkey + 1), 6) + 0.0 AS px, round((o_custkey + 5) / (0.001 * o_custkey + 1), 6) + 0.0 AS py FROM orders")
@@ -326,15 +341,22 @@ ISLANDS = E + """, g AS (SELECT user_id, frame_index, CAST(value > 100 AS INT) A
   frame_index - row_number() OVER (PARTITION BY user_id, value > 100 ORDER BY frame_index) AS part FROM e WHERE value IS NOT NULL)"""
 
 
-@query(sql(ISLANDS, "SELECT min(frame_index) AS start_index, max(frame_index) AS end_index, count(*) AS run_length, on_ AS run_value FROM g WHERE user_id = 7 GROUP BY part, on_"))
+def _flat(value):
+    """Runs of one series without ids: all events in the order of event_id."""
+    return f"""v AS (SELECT event_id, {value} AS v FROM events), g AS (SELECT event_id, v, sum(CASE WHEN n > 1 AND v IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT *, lag(v) OVER w AS before, row_number() OVER w AS n FROM v WINDOW w AS (ORDER BY event_id))),
+runs AS (SELECT min(event_id) AS start_index, max(event_id) AS end_index, CAST(max(event_id) - min(event_id) + 1 AS BIGINT) AS run_length, any_value(v) AS run_value FROM g GROUP BY run)"""
+
+
+@query(sql(_flat("CAST(value > 100 AS INT)"), "SELECT start_index, end_index, run_length, run_value FROM runs"))
 def rle_numeric_single_index_series(spark, sf_dir):
-    rows = events(spark, sf_dir).where("user_id = 7").withColumn("on_", (F.col("value") > 100).cast("int"))
-    return runs.run_length_encode(rows, "on_", ())
+    rows = table(spark, sf_dir, "events").withColumn("on_", (F.col("value") > 100).cast("int"))
+    return runs.run_length_encode(rows, "on_", (), "event_id")
 
 
-@query(sql(RUNS, "SELECT start_index, end_index, run_length, run_value FROM runs WHERE user_id = 7"))
+@query(sql(_flat("event_type"), "SELECT start_index, end_index, run_length, run_value FROM runs"))
 def rle_arbitrary_single_index_series(spark, sf_dir):
-    return runs.run_length_encode(events(spark, sf_dir).where("user_id = 7"), "event_type", ())
+    return runs.run_length_encode(table(spark, sf_dir, "events"), "event_type", (), "event_id")
 
 
 @query(sql(RUNS, CHUNK_ROWS))
@@ -342,9 +364,9 @@ def multi_index_series_to_value_chunks(spark, sf_dir):
     return runs.value_chunks(events(spark, sf_dir), "event_type", IDS).drop("grouped_index")
 
 
-@query(sql(RUNS, "SELECT start_index AS index_start, end_index AS index_end, run_value AS value, run_length AS length FROM runs WHERE user_id = 7"))
+@query(sql(_flat("event_type"), "SELECT start_index AS index_start, end_index AS index_end, run_value AS value, run_length AS length FROM runs"))
 def flat_index_series_to_value_chunks(spark, sf_dir):
-    return runs.value_chunks(events(spark, sf_dir).where("user_id = 7"), "event_type", ()).drop("grouped_index")
+    return runs.value_chunks(table(spark, sf_dir, "events"), "event_type", (), "event_id").drop("grouped_index")
 
 
 @query(sql(E, "SELECT user_id, frame_index AS \"index\", event_type AS value FROM e"))
@@ -352,9 +374,9 @@ def value_chunks_to_multi_index_series(spark, sf_dir):
     return runs.chunks_to_series(runs.value_chunks(events(spark, sf_dir), "event_type", IDS))
 
 
-@query(sql(E, "SELECT frame_index AS \"index\", event_type AS value FROM e WHERE user_id = 7"))
+@query(sql(_flat("event_type"), "SELECT unnest(range(start_index, end_index + 1)) AS \"index\", run_value AS value FROM runs"))
 def value_chunks_to_flat_index_series(spark, sf_dir):
-    return runs.chunks_to_series(runs.value_chunks(events(spark, sf_dir).where("user_id = 7"), "event_type", ()))
+    return runs.chunks_to_series(runs.value_chunks(table(spark, sf_dir, "events"), "event_type", (), "event_id"))
 
 
 @query(sql(RUNS, "SELECT user_id, start_index AS frame_index, run_value AS event_type FROM runs"))
@@ -455,3 +477,12 @@ BYTES = "s AS (SELECT o_orderkey, o_orderkey * 1000003 AS n FROM orders), i AS (
 @query(sql(BYTES, "SELECT o_orderkey, CASE WHEN n = 0 THEN '0B' ELSE CAST(round(n / pow(1024.0, i), 2) AS VARCHAR) || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][i + 1] END AS size FROM i"))
 def convert_bytes_to_string(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.readable_bytes(F.col("o_orderkey") * 1000003).alias("size"))
+
+
+@query("""WITH w AS (SELECT p_partkey, i AS start, substr(p_name, i + 1, 3) AS part FROM (SELECT p_partkey, p_name, CAST(unnest(range(0, length(p_name) - 2)) AS INTEGER) AS i FROM part WHERE length(p_name) >= 3)),
+m AS (SELECT *, CAST(part[1] <> 'r' AS INT) + CAST(part[2] <> 'e' AS INT) + CAST(part[3] <> 'd' AS INT) AS n_wrong FROM w) SELECT p_partkey, start, part, n_wrong FROM m WHERE n_wrong <= 1""")
+def apply_close_match(spark, sf_dir):
+    letters = F.filter(F.split("p_name", ""), lambda c: c != "")
+    found = arrays.hamming_matches(letters, F.array(*map(F.lit, "red")), 1)
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(found).alias("m"))
+    return rows.select("p_partkey", F.col("m.start").alias("start"), F.array_join("m.window", "").alias("part"), F.size("m.wrong").alias("n_wrong"))

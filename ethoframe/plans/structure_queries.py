@@ -243,3 +243,19 @@ def write_sqlite_table(spark, sf_dir):
     sqlite.write_sqlite_table(orders, path, "orders")
     sqlite.write_sqlite_table(orders.where("o_orderstatus = 'F'"), path, "orders", "append")
     return sqlite.read_sqlite_table(spark, path, "orders")
+
+
+@query("SELECT DISTINCT c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM customer")
+def build_file_df(spark, sf_dir):
+    """A folder of files in two levels, found again by their names."""
+    root = _scratch(spark, "customers")
+    table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey").write.partitionBy("c_mktsegment", "c_nationkey").csv(root)
+    found = files.file_table(spark, root, r"^c_mktsegment=([^/]+)/c_nationkey=(\d+)/part-[^/]+$", ["segment", "nation"])
+    return found.select("segment", "nation").distinct()
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def read_sqlite_table(spark, sf_dir):
+    path = urlparse(_scratch(spark, "all-orders")).path + ".db"
+    sqlite.write_sqlite_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), path, "orders")
+    return sqlite.read_sqlite_table(spark, path, "orders")

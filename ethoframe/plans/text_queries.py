@@ -130,16 +130,16 @@ def check_disjoint_sets(spark, sf_dir):
     return selection.are_disjoint(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_suppkey")
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding[1:8]::DOUBLE[], lambda x: x)), 5) AS total, CAST(len(embedding) AS INTEGER) AS n, CAST(ceil(len(embedding) / 2) - 1 AS BIGINT) AS middle FROM embeddings")
+@query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 5) + 0.0 AS total, CAST(len(embedding) AS INTEGER) AS n, CAST(ceil(len(embedding) / 2) - 1 AS BIGINT) AS middle FROM embeddings")
 def iter_cumsum(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", F.round(F.element_at(arrays.running_sum(F.slice("embedding", 1, 8)), -1), 5).alias("total"), F.size("embedding").alias("n"), arrays.middle_index(F.size("embedding")).alias("middle"))
+    return rows.select("vec_id", (F.round(F.element_at(arrays.running_sum(F.col("embedding")), -1), 5) + F.lit(0.0)).alias("total"), F.size("embedding").alias("n"), arrays.middle_index(F.size("embedding")).alias("middle"))
 
 
-@query("SELECT p_partkey, p_name[1:3] || '|' || p_name[4:6] AS parts FROM part WHERE length(p_name) >= 6")
+@query("SELECT p_partkey, array_to_string(list_transform(range(0, length(p_name), 3), lambda i: substr(p_name, i + 1, 3)), '|') AS parts FROM part WHERE length(p_name) > 0")
 def split_chunks(spark, sf_dir):
     letters = F.filter(F.split("p_name", ""), lambda c: c != "")
-    rows = table(spark, sf_dir, "part").where(F.char_length("p_name") >= 6).select("p_partkey", F.slice(letters, 1, 6).alias("letters"))
+    rows = table(spark, sf_dir, "part").where("p_name <> ''").select("p_partkey", letters.alias("letters"))
     return rows.select("p_partkey", F.array_join(F.transform(arrays.chunks(F.col("letters"), 3), lambda c: F.array_join(c, "")), "|").alias("parts"))
 
 

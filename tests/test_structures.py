@@ -271,3 +271,38 @@ def test_rows_drawn_without_replacement(spark):
     assert sum(r.k % 10 == 0 for r in got) > 70  # a tenth of the rows, 85 % of the weight
     assert {r.k for r in draws.sample_without_replacement(df, ["k"], "w", 5).collect()} == {r.k for r in draws.sample_without_replacement(df.repartition(2), ["k"], "w", 5).collect()}
     assert draws.sample_without_replacement(df, ["k"], "w", 5000, ["g"]).count() == 3000
+
+
+def test_runs_of_a_series_without_ids_by_blocks(spark, monkeypatch):
+    from ethoframe.operators import runs
+
+    rng = random.Random(11)
+    at = sorted(rng.sample(range(-300, 700), 500))
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]) if not 100 < i < 250 else "a") for i in at]
+    df = spark.createDataFrame(rows, "frame_index long, v string").repartition(5)
+    for gap in (False, True):
+        want = sorted((r.start_index, r.end_index, r.run_length, r.run_value) for r in runs.run_length_encode(df.selectExpr("1 AS k", "*"), "v", ["k"], break_on_gap=gap).collect())
+        for block in (7, 50, 10_000):
+            monkeypatch.setattr(runs, "FLAT_BLOCK", block)
+            assert sorted(tuple(r) for r in runs.run_length_encode(df, "v", (), break_on_gap=gap).collect()) == want
+    assert runs.run_length_encode(df.limit(0), "v", ()).count() == 0
+
+
+def test_merged_boxes_equal_merging_one_by_one(spark):
+    from ethoframe.functions import geometry
+
+    rng = random.Random(4)
+    boxes = [(k, float(rng.randrange(40)), float(rng.randrange(40)), float(rng.randint(1, 9)), float(rng.randint(1, 9))) for k in range(4) for _ in range(12)]
+    want = set()
+    for k in range(4):
+        left = list({b[1:] for b in boxes if b[0] == k})
+        while True:
+            met = next(((a, b) for i, a in enumerate(left) for b in left[i + 1 :] if a[0] < b[0] + b[2] and b[0] < a[0] + a[2] and a[1] < b[1] + b[3] and b[1] < a[1] + a[3]), None)
+            if met is None:
+                break
+            a, b = met
+            x, y = min(a[0], b[0]), min(a[1], b[1])
+            left = list({c for c in left if c not in met} | {(x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y)})
+        want |= {(k, *b) for b in left}
+    df = spark.createDataFrame(boxes, "k int, x double, y double, w double, h double").selectExpr("k", "named_struct('x', x, 'y', y, 'w', w, 'h', h) AS box")
+    assert {(r.k, *r.box) for r in geometry.merge_boxes(df, ["k"]).collect()} == want
