@@ -16,7 +16,7 @@ Everything runs as DataFrame expressions. Lines are named by a 64-bit hash (two
 n * n / 2**65).
 
 Nulls and edges: a null text has no lines and stays null; a null doc_id sorts first; equal lines are one node; rows are known by doc_id and a hash of the text, so
-rows that share a doc_id, or have none, are cut each by its own lines, and rows that share both keep their lines together; lines of any length are compared whole; an empty table gives an
+rows that share a doc_id, or have none, are cut each by its own lines, and of rows that share both one is judged by its lines and the others lose all of theirs; lines of any length are compared whole; an empty table gives an
 empty result. Columns of docs pass through; n_lines and n_removed are set.
 """
 
@@ -235,11 +235,34 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     if numbers <= REMOVED_LINES:
         gone = broadcast_up_to(gone, rows, BROADCAST_ROWS)
+    docs = _with_repeats(docs, slim)
     gone = gone.select(F.col("doc_id").alias("line_doc"), F.col("mark").alias("line_mark"), F.col("gone").alias("line_gone"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("line_doc")) & (F.xxhash64(text) == F.col("line_mark")), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("line_gone"), i))
-    text = F.when(F.col("line_gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
+    blank = F.array_join(F.filter(lines, lambda x: _trimmed(x) == ""), "\n")
+    text = F.when(F.col("line_again"), blank).when(F.col("line_gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(F.filter(lines, lambda x: _trimmed(x) != "")), F.lit(0))
-    computed = {"text": text, "n_lines": n_lines.cast("long"), "n_removed": F.coalesce(F.size("line_gone"), F.lit(0)).cast("long")}
-    return joined.select(*(computed.get(c, F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns), *(computed[c].alias(c) for c in ("n_lines", "n_removed")))
+    n_removed = F.when(F.col("line_again"), n_lines).otherwise(F.coalesce(F.size("line_gone"), F.lit(0)))
+    computed = {"n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long")}
+    passed = [c for c in docs.columns if c != "line_again"]
+    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in passed), *(computed[c].alias(c) for c in ("n_lines", "n_removed")))
+
+
+def _with_repeats(docs: DataFrame, slim: DataFrame) -> DataFrame:
+    """docs with line_again: true in all but one of the rows that share doc_id and text.
+
+    Only rows that repeat each other are written, with numbers of their own; a group of any size is a minimum, summed up before its shuffle.
+    """
+    named = lambda df: df.select(F.col("doc_id").alias("line_doc"), F.col("mark").alias("line_mark"), *(c for c in df.columns if c not in ("doc_id", "mark")))
+    repeated = named(materialize(slim.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "mark"), "lines-repeated"))
+    rows = repeated.count()
+    if not rows:
+        return docs.withColumn("line_again", F.lit(False))
+    repeated, mark = broadcast_up_to(repeated, rows), F.xxhash64(F.col("text").cast("string"))
+    same = F.col("doc_id").eqNullSafe(F.col("line_doc")) & (mark == F.col("line_mark"))
+    again = materialize(docs.join(repeated, same, "left_semi").withColumn("line_row", F.monotonically_increasing_id()), "lines-rows")
+    first = named(again.groupBy("doc_id", mark.alias("mark")).agg(F.min("line_row").alias("line_first")))
+    again = again.join(broadcast_up_to(first, rows), same).withColumn("line_again", F.col("line_row") != F.col("line_first"))
+    alone = docs.join(repeated, same, "left_anti").withColumn("line_again", F.lit(False))
+    return alone.unionByName(again.select(*docs.columns, "line_again"))

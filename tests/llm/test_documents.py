@@ -319,3 +319,10 @@ def test_quality_sample_is_cut_before_it_is_collected(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)], "doc_id long, text string")
     model = quality.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), sample=8)
     assert len(model.labels) == 8 and model.labels.all()
+
+
+def test_lines_of_repeated_rows_are_kept_once(spark):
+    text = "a line that stands in two rows\n\nand another one of them"
+    rows = [(7, text, "x"), (7, text, "y"), (None, "something else that nobody says", "x"), (None, "something else that nobody says", "x"), (9, text.split("\n")[0], "z"), (8, None, "x"), (8, None, "x"), (10, "alone", "x")]
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, line_root string")).collect()), key=repr)
+    assert got == sorted([(7, text, 2, 0), (7, "", 2, 2), (None, "something else that nobody says", 1, 0), (None, "", 1, 1), (9, "", 1, 1), (8, None, 0, 0), (8, None, 0, 0), (10, "alone", 1, 0)], key=repr)
