@@ -3,6 +3,7 @@
 Each text is encoded by both, and a transducer walks both sequences at once. Its state is the dangling suffix: the side that leads and its bytes that
 the other hasn't matched yet. The lagging side's next token either uses up part of the suffix, or all of it and becomes the leader, or
 leaves nothing, which closes a group. Transitions are memoised by (state, token); a suffix is always the end of one token, so there are finitely many.
+Walks from the empty state back to it over a unit (a word with the spaces before it) are memoised as a whole.
 All pairs of a token of A and one of B within a group are links.
 
 On the corpus a pair of ids counts the documents that hold it linked. Spark keeps one row per document with its distinct pairs (sorted, as compressed
@@ -22,7 +23,6 @@ from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,7 @@ class Side:
     encode: Callable[[str], list[int]]
     bytes_of: list[bytes]
     joined: Callable[[list[int]], bytes] | None = None
+    by_units: bool = True
 
 
 @cache
@@ -86,39 +87,15 @@ def side_a(path: str) -> Side:
     return Side(encoding.encode_ordinary, names, encoding.decode_bytes)
 
 
-#: Words whose pieces a task remembers.
-KNOWN_WORDS, LONG_WORD = 500_000, 32
-_WORDS = re.compile(" +[^ ]+")
-
-
 @cache
 def side_b(path: str) -> Side:
-    """A piece model that adds one space. No piece has a space after another character, so words with their spaces encode by themselves and are remembered."""
+    """A piece model that adds one space, and whether any of its pieces has a space after another character."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     names = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    whole = lambda texts: model.encode(texts, num_threads=1)
-    if any("▁" in p.lstrip("▁") for p in pieces):
-        return Side(whole, names)
-    known: dict[str, tuple[int, ...]] = {}
-
-    def encode(text: str) -> list[int]:
-        if text[-1:] in ("", " ") or "▁" in text:
-            return whole(text)
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        words = _WORDS.findall(" " + text)
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        known.update(zip(new, map(tuple, whole([w[1:] for w in new])), strict=True))
-        ids = list(chain.from_iterable(map(known.__getitem__, words)))
-        for w in new:
-            if len(w) >= LONG_WORD:
-                del known[w]
-        return ids
-
-    return Side(encode, names)
+    return Side(lambda texts: model.encode(texts, num_threads=1), names, by_units=not any("▁" in p.lstrip("▁") for p in pieces))
 
 
 class State(dict):
@@ -200,17 +177,21 @@ def groups_text(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.nda
     return names[at][used[at]].tobytes()[:-1]
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, links): the distinct id pairs linked in the text, ascending, and their links."""
-    in_a, in_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
-    small = in_a * in_b <= LARGE_GROUP
+def link_pairs(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, ends_b: np.ndarray, small: np.ndarray | None = None) -> np.ndarray:
+    """The id pair of every link, group by group, of the small groups or of all."""
     of_a = np.repeat(np.arange(len(in_a)), in_a)
-    pick = np.flatnonzero(small[of_a])
+    pick = np.arange(len(a)) if small is None else np.flatnonzero(small[of_a])
     width = in_b[of_a[pick]]
     start = (ends_b - in_b)[of_a[pick]]
     offset = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-    keys = [np.repeat(a[pick], width) << B_BITS | b[np.repeat(start, width) + offset]]
-    pairs, links = np.unique(keys[0], return_counts=True)
+    return np.repeat(a[pick], width) << B_BITS | b[np.repeat(start, width) + offset]
+
+
+def linked_pairs(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, links): the distinct id pairs linked in the text, ascending, and their links."""
+    in_a, in_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+    small = in_a * in_b <= LARGE_GROUP
+    pairs, links = np.unique(link_pairs(a, b, in_a, in_b, ends_b, small), return_counts=True)
     for g in np.flatnonzero(~small):  # distinct ids of each side, multiplied
         (x, nx), (y, ny) = (np.unique(t[e[g] - n[g] : e[g]], return_counts=True) for t, e, n in ((a, ends_a, in_a), (b, ends_b, in_b)))
         pairs = np.concatenate([pairs, (x[:, None] << B_BITS | y).ravel()])
@@ -276,6 +257,88 @@ def align_text(text: str | None, folder: str = TOKENIZERS) -> tuple[np.ndarray,
     return ends and (np.array(a), np.array(b), np.frombuffer(ends[0], np.int64), np.frombuffer(ends[1], np.int64))
 
 
+#: Units that a task remembers, if they are shorter than LONG_UNIT.
+KNOWN_UNITS, LONG_UNIT = 300_000, 32
+#: Units end before a space that follows anything but white space. No token of A reaches over such a place, and none of B if its pieces have spaces in front only.
+_UNIT_ENDS = re.compile(r"(?<=\S)(?= )")
+
+
+class Aligner:
+    """Texts aligned unit by unit: at the end of a unit the transducer is in its empty state, so its walks over whole units are memoised as well."""
+
+    def __init__(self, folder: str) -> None:
+        a, self.b, _ = _sides(folder)
+        self.folder, self.sizes = folder, np.array([len(x) for x in a.bytes_of])
+        #: unit without its first space, never one that ends in white space: (numbers of tokens, groups, linked pairs one by one), as bytes
+        self.known: dict[str, tuple[bytes, bytes, bytes]] = {}
+
+    def row(self, text: str | None) -> tuple[int, int, int, int, str, bytes | None]:
+        """n_a, n_b, n_groups, n_links, hash of the groups, packed pairs."""
+        if not text:
+            return 0, 0, 0, 0, "", None
+        if not self.b.by_units or text[-1] == " " or "▁" in text or not (met := self._units(text)):
+            return self._whole(text)
+        sizes, groups, links = zip(*met, strict=True)
+        n_a, n_b = np.frombuffer(b"".join(sizes), np.int32).reshape(-1, 2).sum(0).tolist()
+        joined = b";".join(groups)
+        pairs, n = np.unique(np.frombuffer(b"".join(links), np.int32), return_counts=True)
+        return n_a, n_b, joined.count(b"|"), int(n.sum()), hashlib.sha256(joined).hexdigest(), pack(pairs.astype(np.int64), n)
+
+    def _whole(self, text: str) -> tuple[int, int, int, int, str, bytes | None]:
+        found = align_text(text, self.folder)
+        if found is None:
+            return 0, 0, 0, 0, "", None
+        a, b, ends_a, ends_b = found
+        pairs, links = linked_pairs(a, b, ends_a, ends_b)
+        return len(a), len(b), len(ends_a), int(links.sum()), hashlib.sha256(groups_text(a, b, ends_a, ends_b)).hexdigest(), pack(pairs, links)
+
+    def _units(self, text: str) -> list[tuple[bytes, bytes, bytes]] | None:
+        """The walks over the units; None if new ones can't be told apart: a side changes their bytes, or a group is large."""
+        known = self.known
+        if len(known) > KNOWN_UNITS:
+            known.clear()
+        units = text.split(" ")
+        new = [u for u in dict.fromkeys(units) if u not in known]
+        odd = [u for u in new if not u or u[-1].isspace()]
+        if odd and (odd != units[-1:] or units.count(odd[0]) > 1):
+            units = [u[1:] for u in _UNIT_ENDS.split(" " + text)]
+            new = [u for u in dict.fromkeys(units) if u not in known]
+        if new and not self._learn(new):
+            return None
+        met = list(map(known.__getitem__, units))
+        for u in new:
+            if len(u) >= LONG_UNIT or u[-1].isspace():
+                del known[u]
+        return met
+
+    def _learn(self, new: list[str]) -> bool:
+        """One walk over the new units of a text, cut where they end. Only the last of them may end in white space, as in the text."""
+        found = align_text(" ".join(new), self.folder)
+        if found is None:
+            return False
+        a, b, ends_a, ends_b = found
+        in_a, in_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+        group_ends = np.cumsum(self.sizes[a])[ends_a - 1]
+        unit_ends = np.cumsum([len(u.encode()) + 1 for u in new])
+        last = np.searchsorted(group_ends, unit_ends)
+        if (in_a * in_b).max() > LARGE_GROUP or last[-1] >= len(group_ends) or (group_ends[last] != unit_ends).any():
+            return False
+        counts = np.stack([np.diff(e[last], prepend=0) for e in (ends_a, ends_b)], 1).astype(np.int32).tobytes()
+        groups = groups_text(a, b, ends_a, ends_b).split(b";")
+        links = link_pairs(a, b, in_a, in_b, ends_b).astype(np.int32).tobytes()
+        links_end = (np.cumsum(in_a * in_b)[last] * 4).tolist()
+        g = w = 0
+        for k, (u, to, end) in enumerate(zip(new, (last + 1).tolist(), links_end, strict=True)):
+            self.known[u] = counts[8 * k : 8 * k + 8], groups[g] if to == g + 1 else b";".join(groups[g:to]), links[w:end]
+            g, w = to, end
+        return True
+
+
+@cache
+def _aligner(folder: str) -> Aligner:
+    return Aligner(folder)
+
+
 def aligned_rows(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """One row per document: sizes, the hash of its groups, and its distinct linked pairs, packed."""
 
@@ -285,13 +348,7 @@ def aligned_rows(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
                 out, seen = [], {}
                 for text in part.column("text").to_pylist():
                     if text not in seen:
-                        found = align_text(text, folder)
-                        if found is None:
-                            seen[text] = (0, 0, 0, 0, "", None)
-                        else:
-                            a, b, ends_a, ends_b = found
-                            pairs, links = linked_pairs(a, b, ends_a, ends_b)
-                            seen[text] = (len(a), len(b), len(ends_a), int(links.sum()), hashlib.sha256(groups_text(a, b, ends_a, ends_b)).hexdigest(), pack(pairs, links))
+                        seen[text] = _aligner(folder).row(text)
                     out.append(seen[text])
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
                 made = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]

@@ -126,6 +126,20 @@ def test_the_walk_stops_where_bytes_differ():
     assert walk.cuts([0, 1], [0, 2]) is None and walk.cuts([0], [0]) is None and walk.cuts([0, 1], [0, 1, 2]) is None and [x.tolist() for x in walk.cuts([], [])] == [[], []]
 
 
+ODD_TEXTS = [
+    "a b a b", "  a", "a\n \nb c", "a \n b", "a\n b a\n", "a b\n", "q b\n c", "b\n", "foo\x1c bar  baz", "x\u00a0 y", "a ", "\u2581x y", "\n\n a\t b  c", "  ",
+    "\u65e5\u672c \u30c6\u30ad\u3000x", "x" * 5000 + " y", "a" * 70 + " " + "b" * 200, " ".join(["\u0301\U0001f600e"] * 50), "it's n't  'll 12 3.4,5",
+]
+
+
+def test_units_of_texts_equal_whole_walks():
+    walks = alignment.Aligner(alignment.TOKENIZERS)
+    for _ in range(2):  # the second time from memory
+        for text in ODD_TEXTS:
+            assert walks.row(text) == walks._whole(text), text
+    assert walks.known and not any(u[-1].isspace() or len(u) >= alignment.LONG_UNIT for u in walks.known)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert fim.fill_in_middle(empty).count() == 0 and alignment.align_tokenizers(empty).count() == 0
