@@ -71,3 +71,10 @@ def euclidean_distance(a: Column, b: Column) -> Column:
 def squared_error(a: Column, b: Column) -> Column:
     """Mean squared difference of the items."""
     return F.try_divide(F.pow(euclidean_distance(a, b), 2), F.size(a))
+
+
+def collapse_constant(items: Column) -> Column:
+    """The array, or its one element alone if all its elements are alike (null counts as a value); an empty array stays."""
+    first = F.get(items, F.lit(0))
+    alike = F.forall(items, lambda x: x.eqNullSafe(first))
+    return F.when(alike, F.slice(items, 1, 1)).otherwise(items)

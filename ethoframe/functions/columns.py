@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -92,3 +93,20 @@ def masked(value: Column, mask: Column, fill=None) -> Column:
 def group_names(df: DataFrame, groups: Sequence[str], template: str, name: str = "name") -> DataFrame:
     """Distinct groups with a name by a printf template."""
     return df.select(*groups).distinct().withColumn(name, F.format_string(template, *groups))
+
+
+def _flat(column: Column, kind: T.DataType, path: tuple[str, ...], separator: str) -> list[Column]:
+    if isinstance(kind, T.StructType):
+        return [c for f in kind.fields for c in _flat(column.getField(f.name), f.dataType, (*path, f.name), separator)]
+    return [column.alias(separator.join(path))]
+
+
+def flatten_columns(df: DataFrame, separator: str = "/") -> DataFrame:
+    """Nested columns as plain ones, named by their path."""
+    return df.select(*(c for f in df.schema.fields for c in _flat(F.col(f"`{f.name}`"), f.dataType, (f.name,), separator)))
+
+
+def flatten_keys(df: DataFrame, keys: Sequence[str], name: str = "key", separator: str = "/") -> DataFrame:
+    """All keys as one struct in front, and nested columns by their path."""
+    values = (c for f in df.schema.fields if f.name not in keys for c in _flat(F.col(f"`{f.name}`"), f.dataType, (f.name,), separator))
+    return df.select(F.struct(*keys).alias(name), *values)

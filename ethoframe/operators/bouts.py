@@ -95,3 +95,10 @@ def normalised_vectors(vectors: DataFrame, labels: Sequence[str], ids: Sequence[
 
 def _sum_if(column: str, condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0)).cast("long")
+
+
+def sampled_bouts(trajectories: DataFrame, ids: Sequence[str], label: str, onset: str) -> DataFrame:
+    """The bouts that sampled trajectories come from: an onset each, without end and length, which a sample doesn't know."""
+    unknown = F.lit(None).cast("long")
+    found = trajectories.select(*ids, F.col(onset).alias(FRAME), F.col(label).alias("behavior_name")).distinct()
+    return found.select(*ids, FRAME, unknown.alias("end_frame"), unknown.alias("bout_length"), "behavior_name")

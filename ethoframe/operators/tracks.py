@@ -130,3 +130,16 @@ def track_validity(track: DataFrame, ids: Sequence[str]) -> DataFrame:
     rows = track.agg(F.count("*").alias("rows"), F.count_if(null_key).alias("null_keys"), F.count_if(F.col("x").isNull() != F.col("y").isNull()).alias("half_points"))
     repeated = track.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_keys"))
     return rows.crossJoin(repeated)
+
+
+def skeleton_validity(edges: DataFrame, keypoints: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Checks of a skeleton table (ids, edge_index, node_0, node_1) per id, as counts: edges, edges without an index, repeated indices, loops, ends that are no keypoint of the id."""
+    known = keypoints.select(*ids, F.col(KEYPOINT).alias("_node"), F.lit(True).alias("_known")).distinct()
+    ends = edges.select(*ids, F.explode(F.array("node_0", "node_1")).alias("_node")).join(known, [*ids, "_node"], "left")
+    unknown = ends.groupBy(*ids).agg(F.count_if(F.col("_known").isNull()).alias("unknown_ends"))
+    counted = edges.groupBy(*ids, "edge_index").agg(F.count("*").alias("_n"), F.count_if(F.col("node_0").eqNullSafe(F.col("node_1"))).alias("_loops"))
+    checks = counted.groupBy(*ids).agg(
+        F.sum("_n").alias("edges"), F.sum(F.when(F.col("edge_index").isNull(), F.col("_n")).otherwise(0)).alias("null_indices"),
+        F.count_if(F.col("edge_index").isNotNull() & (F.col("_n") > 1)).alias("repeated_indices"), F.sum("_loops").alias("loops"),
+    )
+    return checks.join(unknown, list(ids))

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from ethoframe.plans import frame_queries, more_queries, run_queries, structure_queries, text_queries  # noqa: F401  they register themselves
+    from ethoframe.plans import frame_queries, more_queries, record_queries, run_queries, structure_queries, text_queries  # noqa: F401  they register themselves
 
     return _QUERIES
 
