@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ethoframe.frames import FRAME, ordered
+from ethoframe.frames import FRAME, ordered, same
 from ethoframe.functions.angles import affine, polar, rotate
 from ethoframe.operators.quantiles import medians, quantiles
 
@@ -92,7 +92,9 @@ def scale_for_display(points: DataFrame, target: float = 256, groups: Sequence[s
 
 def trajectory_medians(trajectories: DataFrame, label: str, step: str) -> DataFrame:
     """Median keypoints and their number per label and frame of the trajectory."""
-    return trajectories.groupBy(label, step, KEYPOINT).agg(median("x").alias("x"), median("y").alias("y"), F.count("*").alias("n"))
+    keys = [label, step, KEYPOINT]
+    counts, middles = trajectories.groupBy(*keys).agg(F.count("*").alias("n")), medians(trajectories, keys, ["x", "y"])
+    return counts.join(middles, same(counts, middles, keys), "left").select(*(counts[k] for k in keys), "x", "y", "n")
 
 
 def complete_medians(medians: DataFrame, label: str, step: str, keypoints: str = "any", steps: str = "all") -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ethoframe.functions import arrays, columns
-from ethoframe.operators import align, bouts, networks, records, smoothing, tracks
+from ethoframe.functions import arrays, columns, geometry, raster
+from ethoframe.operators import align, bouts, networks, patterns, records, smoothing, tracks
 from ethoframe.plans.frame_queries import _TRACK, _TWO, _Z, _track
 from ethoframe.plans.inputs import BOUTS, E, FRAME, IDS, event_bouts, events, r6, sql, table
 from ethoframe.plans.registry import query
+from ethoframe.plans.structure_queries import _scratch
+from ethoframe.sources import sqlite
 
 # maps: each order's quantities by line number, compared over the orders of a customer
 
@@ -193,3 +197,114 @@ def create_sleap_track_union(spark, sf_dir):
     """Rows of five frames at a time as tracks of one name, each event a track."""
     rows = events(spark, sf_dir).withColumns({"track_index": F.col("event_id"), FRAME: F.floor(F.col(FRAME) / 5)})
     return tracks.merge_tracks(rows, "event_type", IDS, ["sparse", "y"])
+
+
+# trajectories: the frames around every onset, with the events' number modulo 3 as keypoint
+
+_AROUND = """, j AS (SELECT b.behavior_name AS label, e.frame_index - b.frame_index AS step, e.event_id % 3 AS keypoint_name, e.x, e.y FROM b JOIN e ON e.user_id = b.user_id AND e.frame_index BETWEEN b.frame_index - 1 AND b.frame_index + 2),
+m AS (SELECT label, step, keypoint_name, quantile_cont(x, 0.5) AS x, quantile_cont(y, 0.5) AS y, count(*) AS n FROM j GROUP BY ALL)"""
+
+
+def _medians(spark, sf_dir):
+    onsets = event_bouts(spark, sf_dir).select("user_id", FRAME, F.col("behavior_name").alias("label"))
+    around = align.neighbourhoods(events(spark, sf_dir), onsets, IDS, ["event_id", "x", "y"], before=1, after=2).where("event_id IS NOT NULL")
+    labelled = around.join(onsets.withColumnRenamed(FRAME, "reference_frame_index"), [*IDS, "reference_frame_index"])
+    named = labelled.select("label", F.col("offset").cast("long").alias("step"), F.pmod("event_id", F.lit(3)).alias("keypoint_name"), "x", "y")
+    return tracks.trajectory_medians(named, "label", "step")
+
+
+@query(sql(BOUTS, _AROUND + " SELECT label, step, keypoint_name, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, n FROM m"))
+def trajectory_to_median_df(spark, sf_dir):
+    return _medians(spark, sf_dir).select("label", "step", "keypoint_name", r6("x").alias("x"), r6("y").alias("y"), "n")
+
+
+@query(
+    sql(
+        BOUTS,
+        _AROUND
+        + """, cells AS (SELECT l.label, s.step, k.keypoint_name, m.n IS NOT NULL AS seen FROM (SELECT DISTINCT label FROM m) l, (SELECT DISTINCT step FROM m) s, (SELECT DISTINCT keypoint_name FROM m) k
+             LEFT JOIN m ON m.label = l.label AND m.step = s.step AND m.keypoint_name = k.keypoint_name)
+        SELECT label, bool_and(seen) AS complete FROM cells GROUP BY label""",
+    )
+)
+def trajectory_median_full_index_check(spark, sf_dir):
+    return tracks.complete_medians(_medians(spark, sf_dir), "label", "step", keypoints="all", steps="all")
+
+
+# windows
+
+
+@query(sql(E, ", c AS (SELECT event_type = 'view' AND lead(event_type) OVER w = 'click' AS occurs, user_id, frame_index, event_type IS NOT NULL AND lead(event_type) OVER w IS NOT NULL AS whole FROM e WINDOW w AS (PARTITION BY user_id ORDER BY frame_index)) SELECT user_id, frame_index, occurs FROM c WHERE whole"))
+def get_single_sequence_occurrence_series(spark, sf_dir):
+    return patterns.sequence_occurrences(events(spark, sf_dir), "event_type", [["view", "click"]], IDS).select("user_id", FRAME, "occurs")
+
+
+@query(
+    sql(
+        E,
+        """, r AS (SELECT user_id, frame_index, CAST(unnest(range(-1, 4)) AS BIGINT) AS "offset" FROM e WHERE event_type = 'error')
+        SELECT r.user_id, r.frame_index AS reference_frame_index, r."offset", e.value FROM r LEFT JOIN e ON e.user_id = r.user_id AND e.frame_index = r.frame_index + r."offset" """,
+    )
+)
+def extract_series_neighbourhood_df(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return align.neighbourhoods(rows, rows.where("event_type = 'error'"), IDS, ["value"], before=1, after=3)
+
+
+@query(
+    sql(
+        E,
+        """, t AS (SELECT DISTINCT user_id, CAST(round_even(((frame_index * 2 - frame_index % 3) * 1000 / 30.0) / (1000 / 30.0), 0) AS BIGINT) AS f FROM e), u AS (SELECT user_id, CAST(unnest(range(1, max(f) + 1)) AS BIGINT) AS frame_index FROM t GROUP BY user_id)
+        SELECT u.user_id, u.frame_index, t.f IS NULL AS skipped FROM u LEFT JOIN t ON t.user_id = u.user_id AND t.f = u.frame_index""",
+    )
+)
+def get_frame_skipped_series(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("msec", (F.col(FRAME) * 2 - F.col(FRAME) % 3) * 1000 / F.lit(30.0))
+    return smoothing.frame_presence(rows, "msec", IDS, 30.0).select("user_id", FRAME, (~F.col("present")).alias("skipped"))
+
+
+# boxes and cells: lines of an order
+
+
+@query("""SELECT l_orderkey, l_linenumber, greatest(l_quantity, 10) AS x, greatest(l_linenumber, 2)::DOUBLE AS y, least(l_quantity + 20, 40) - greatest(l_quantity, 10) AS w, least(l_linenumber + 3, 6)::DOUBLE - greatest(l_linenumber, 2) AS h
+FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM lineitem) WHERE l_quantity + 20 > 10 AND l_quantity < 40 AND l_linenumber < 6 AND l_linenumber + 3 > 2""")
+def fit_bbox_to_limits(spark, sf_dir):
+    """Boxes cut to limits; those outside have no row here."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").distinct()
+    box = geometry.box(F.col("l_quantity"), F.col("l_linenumber").cast("double"), F.lit(20.0), F.lit(3.0))
+    limits = geometry.box(F.lit(10.0), F.lit(2.0), F.lit(30.0), F.lit(4.0))
+    cut = lines.where("l_quantity < 40 AND l_linenumber < 6").withColumn("b", geometry.clip_box(box, limits, error=False))
+    return cut.where("b IS NOT NULL").select("l_orderkey", "l_linenumber", *(F.col(f"b.{c}").alias(c) for c in "xywh"))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS r, l_suppkey % 7 AS c FROM lineitem), s AS (SELECT CAST(unnest(range(-1, 2)) AS BIGINT) AS d),
+    d AS (SELECT DISTINCT k, r + a.d AS r, c + b.d AS c FROM c, s a, s b), e AS (SELECT k, r + a.d AS r, c + b.d AS c, count(*) AS n FROM d, s a, s b GROUP BY ALL)
+    SELECT k AS l_orderkey, CAST(r AS BIGINT) AS "row", CAST(c AS BIGINT) AS col FROM e WHERE n = 9"""
+)
+def clean_raster(spark, sf_dir):
+    """A mask of an order's lines and suppliers, dilated and eroded."""
+    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("row"), F.pmod("l_suppkey", F.lit(7)).cast("long").alias("col")).distinct()
+    return raster.clean(cells, ["l_orderkey"])
+
+
+# databases
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000")
+def sqlite_between_query(spark, sf_dir):
+    """All orders written, those within limits read; the database gets the limits."""
+    path = urlparse(_scratch(spark, "priced-orders")).path + ".db"
+    sqlite.write_sqlite_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), path, "orders")
+    return sqlite.read_sqlite_table(spark, path, "orders").where(F.col("o_totalprice").between(100000.0, 200000.0))
+
+
+@query("SELECT n_nationkey, n_name, r_name, count(c_custkey) AS customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def read_sqlite(spark, sf_dir):
+    """Three tables written into one database and read back together."""
+    path = urlparse(_scratch(spark, "nations")).path + ".db"
+    of = lambda name, *columns: table(spark, sf_dir, name).select(*columns)
+    sqlite.write_sqlite({"nation": of("nation", "n_nationkey", "n_name", "n_regionkey"), "region": of("region", "r_regionkey", "r_name"), "customer": of("customer", "c_custkey", "c_nationkey")}, path)
+    found = sqlite.read_sqlite(spark, path)
+    named = found["nation"].join(found["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    return named.join(found["customer"], F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_name", "r_name").agg(F.count("c_custkey").alias("customers"))
