@@ -284,7 +284,7 @@ def fit_bbox_to_limits(spark, sf_dir):
 )
 def clean_raster(spark, sf_dir):
     """A mask of an order's lines and suppliers, dilated and eroded."""
-    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("row"), F.pmod("l_suppkey", F.lit(7)).cast("long").alias("col")).distinct()
+    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("row"), F.pmod("l_suppkey", F.lit(7)).cast("long").alias("col"))
     return raster.clean(cells, ["l_orderkey"])
 
 
