@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ethoframe.functions.arrays import cosine_distance, euclidean_distance
 from ethoframe.operators.quantiles import medians
+from ethoframe.shared import materialize
 
 METRICS = {"cosine": cosine_distance, "euclidean": euclidean_distance}
 
@@ -74,16 +75,56 @@ def confusion(df: DataFrame, expected: str, found: str) -> DataFrame:
     return grid.join(counts, [expected, found], "left").select(expected, found, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def silhouettes(df: DataFrame, key: str, vector: str, group: str, metric: str = "cosine") -> DataFrame:
-    """key, group, silhouette: (nearest other group's mean distance - own group's) / the larger one; 0 for a group of one. All pairs of rows are compared."""
-    named = df.select(F.col(key).alias("key_b"), F.col(group).alias("_gb"))
-    distances = pairwise_distances(df, df, key, vector, metric).where("key_a <> key_b").join(named, "key_b")
-    means = distances.groupBy("key_a", "_gb").agg(F.avg("distance").alias("_d"))
-    own = df.select(F.col(key).alias("key_a"), F.col(group))
-    joined = means.join(own, "key_a")
-    a = F.max(F.when(F.col("_gb") == F.col(group), F.col("_d")))
-    b = F.min(F.when(F.col("_gb") != F.col(group), F.col("_d")))
-    out = joined.groupBy("key_a", group).agg(a.alias("a"), b.alias("b"))
+def _unit_sums(df: DataFrame, keys: Sequence[str], vector: str, name: str) -> DataFrame:
+    """keys, the sum of the rows' unit vectors under the name, and their number: of rows whose vector has a length; others have no distance. Coordinates are rows: no group is gathered."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    units = df.select(*keys, F.transform(vector, lambda v: v.cast("double")).alias("_v"), norm.alias("_norm")).where("_norm > 0")
+    parts = units.select(*keys, F.posexplode(F.transform("_v", lambda v: v / F.col("_norm"))).alias("_i", "_x"))
+    sums = parts.groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"), F.count("*").alias("_n"))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda p: p["_x"])
+    return sums.groupBy(*keys).agg(packed.alias(name), F.max("_n").alias(f"{name}_n"))
+
+
+def silhouettes(df: DataFrame, key: str, vector: str, group: str, metric: str = "cosine", max_groups: int = 10_000) -> DataFrame:
+    """key, group, silhouette: (nearest other group's mean distance - own group's) / the larger one; 0 for a group of one.
+
+    A mean of cosine distances to a group is 1 - the product with the mean of its unit vectors, so rows meet groups, not each other; the rows of the key itself
+    are taken out of the sums. Other metrics compare all pairs of rows.
+    """
+    df = df.where(F.col(key).isNotNull())
+    own = df.select(F.col(key).alias("key_a"), F.col(group)).distinct()
+    width = F.when(F.size(vector) > 0, F.size(vector))
+    seen = df.agg(F.min(width).alias("least"), F.max(width).alias("most"), F.min(key).alias("first"), F.max(key).alias("last")).first()
+    if seen["first"] == seen["last"]:  # no row has another one to be compared with
+        own = own.limit(0)
+    if metric == "cosine" and seen["least"] == seen["most"]:
+        named = df.select(F.col(key).alias("key_a"), F.col(group), vector)
+        rows = materialize(_unit_sums(named, ["key_a", group], vector, "_a"), "unit-sums")
+        sums = _unit_sums(df.select(F.col(group).alias("_gb"), vector), ["_gb"], vector, "_s")
+        if sums.limit(max_groups + 1).count() <= max_groups:
+            sums = F.broadcast(sums)
+        # what a key has in a group, if it has rows in several
+        held = rows.select("key_a", F.struct(F.col(group).alias("g"), F.col("_a").alias("v"), F.col("_a_n").alias("n")).alias("h")).groupBy("key_a").agg(F.collect_list("h").alias("_held"))
+        pairs = rows.join(held, "key_a").crossJoin(sums)
+        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+        mine = F.filter("_held", lambda h: h["g"].eqNullSafe(F.col("_gb")))
+        own_dot = F.aggregate(mine, F.lit(0.0), lambda s, h: s + dot(F.col("_a"), h["v"]))
+        own_n = F.aggregate(mine, F.lit(0).cast("long"), lambda s, h: s + h["n"])
+        others = F.col("_s_n") - own_n
+        mean = 1 - (dot(F.col("_a"), F.col("_s")) - own_dot) / (F.col("_a_n") * others)
+        joined = pairs.where(others > 0).select("key_a", group, "_gb", mean.alias("_d"))
+        a = F.max(F.when(F.col("_gb") == F.col(group), F.col("_d")))
+        b = F.min(F.when(F.col("_gb") != F.col(group), F.col("_d")))
+        scored = joined.groupBy("key_a", group).agg(a.alias("a"), b.alias("b"))
+        out = own.alias("o").join(scored.alias("s"), F.col("o.key_a").eqNullSafe(F.col("s.key_a")) & F.col(f"o.{group}").eqNullSafe(F.col(f"s.{group}")), "left").select("o.key_a", f"o.{group}", "a", "b")
+    else:
+        named = df.select(F.col(key).alias("key_b"), F.col(group).alias("_gb"))
+        distances = pairwise_distances(df, df, key, vector, metric).where("key_a <> key_b").join(named, "key_b")
+        means = distances.groupBy("key_a", "_gb").agg(F.avg("distance").alias("_d"))
+        joined = means.join(own, "key_a")
+        a = F.max(F.when(F.col("_gb") == F.col(group), F.col("_d")))
+        b = F.min(F.when(F.col("_gb") != F.col(group), F.col("_d")))
+        out = joined.groupBy("key_a", group).agg(a.alias("a"), b.alias("b"))
     return out.select(F.col("key_a").alias(key), group, F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("silhouette"))
 
 

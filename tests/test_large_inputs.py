@@ -1,10 +1,13 @@
 """Steps that were mended for large tables, against plain Python and against bounds of the rows they shuffle."""
 
+import math
 import random
+import statistics
 
 import pytest
 
 from ethoframe.functions import raster
+from ethoframe.operators import vectors
 
 
 def shuffled(spark, run) -> int:
@@ -46,3 +49,43 @@ def test_clean_keeps_null_coordinates(spark):
 def test_clean_shuffles_lines_not_cells(spark):
     cells = spark.range(0, 4000, 1, 1).selectExpr("id DIV 40 AS k", "id % 40 DIV 8 AS row", "id % 8 AS col")
     assert shuffled(spark, raster.clean(cells, ["k"]).collect) < 4000  # nine times as many cells before
+
+
+def cosine(a, b):
+    if a is None or b is None or len(a) != len(b) or None in a or None in b or not any(a) or not any(b):
+        return None
+    return 1 - sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b))
+
+
+def odd_vectors(sizes):
+    """Rows (key, vector, group): copies, keys in several groups, vectors without a length, groups of one, null groups."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(rng.choice(sizes))], rng.choice("abc")) for i in range(40)]
+    return [*rows, (3, rows[0][1], "a"), (3, rows[1][1], "b"), (50, rows[0][1], "a"), (51, [0.0] * 4, "a"), (52, None, "b"), (53, [1.0, None, 2.0, 0.0], "c"), (54, [1.0, 2.0, 3.0, 4.0], "alone"), (55, [1.0, 2.0, 0.0, 4.0], None)]
+
+
+def near(a, b):
+    return a is None and b is None or a is not None and b is not None and abs(a - b) < 1e-9
+
+
+def test_silhouettes_of_odd_rows(spark):
+    rows = odd_vectors((4,))
+    want = {}
+    for key, g in {(k, g) for k, _, g in rows}:
+        mean = {}
+        for other in {g for _, _, g in rows}:
+            d = [cosine(a, b) for k, a, own in rows if (k, own) == (key, g) for j, b, og in rows if og == other and j != key]
+            mean[other] = statistics.fmean(x for x in d if x is not None) if any(x is not None for x in d) else None
+        a = mean[g] if g is not None else None
+        b = min((m for o, m in mean.items() if m is not None and None not in (o, g) and o != g), default=None)
+        want[key, g] = 0.0 if a is None else None if b is None else (b - a) / max(a, b)
+    df = spark.createDataFrame(rows, "k int, v array<double>, g string")
+    got = {(r.k, r.g): r.silhouette for r in vectors.silhouettes(df, "k", "v", "g").collect()}
+    assert set(got) == set(want) and all(near(got[k], want[k]) for k in want), [(k, got[k], want[k]) for k in want if not near(got[k], want[k])]
+    assert vectors.silhouettes(df.where("k = 1"), "k", "v", "g").count() == 0
+
+
+def test_silhouettes_do_not_pair_rows(spark):
+    df = spark.range(3000).selectExpr("id k", "array(sin(id), cos(id)) v", "id % 3 g")
+    plan = vectors.silhouettes(df, "k", "v", "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "key_b" not in plan
