@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ethoframe.functions.arrays import cosine_distance, euclidean_distance
@@ -57,6 +58,70 @@ def distances_by_group(distances: DataFrame, groups: DataFrame, key: str, group:
     return group_aggregate(named, ["key_a", group], ["distance"], stat, small=True)
 
 
+def distances_to_groups(df: DataFrame, key: str, vector: str, group: str, block: int = 4_096, cells: int = 4_000_000) -> DataFrame:
+    """key_a, group, distance: the median cosine distance of each key's rows to all rows of each group, null if none has one.
+
+    All pairs are compared, as exact medians need, but none is a row: rows are dealt to blocks by their key, and a task multiplies the matrices of a block and a group, some
+    rows at a time (at most ``cells`` distances, or those of one key). It holds a group's vectors; they are shuffled once for each block. Vectors without a length, with nulls or
+    of another size have no distance.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = df.select(F.col(key).alias("key_a"), F.col(group), F.col(vector).cast("array<double>" if dict(df.dtypes)[vector] != "array<float>" else "array<float>").alias("_v"))
+    blocks = max(1, -(-rows.count() // block))
+    left = rows.select("key_a", "_v", F.pmod(F.xxhash64("key_a"), F.lit(blocks)).cast("int").alias("_b")).crossJoin(rows.select(group).distinct())
+    right = rows.select(F.col(group).alias("_h"), F.col("_v").alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_c"))
+
+    def matrices(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By size of the vectors: their places and themselves, over their lengths."""
+        lists = column.combine_chunks()
+        offsets, flat = lists.offsets.to_numpy(), lists.values
+        bad = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+        values = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+        whole = (bad[offsets[1:]] == bad[offsets[:-1]]) & lists.is_valid().to_numpy(zero_copy_only=False)
+        sizes, out = np.diff(offsets), {}
+        for size in set(sizes[whole].tolist()) - {0}:
+            places = np.flatnonzero(whole & (sizes == size))
+            m = values[offsets[places][:, None] + np.arange(size)]
+            with np.errstate(all="ignore"):
+                length = np.sqrt((m * m).sum(1))
+                keep = length != 0
+                out[size] = places[keep], m[keep] / length[keep, None]
+        return out
+
+    def middle(d: np.ndarray) -> np.ndarray:
+        low, high = (d.shape[1] - 1) // 2, d.shape[1] // 2
+        d = np.partition(d, (low, high, d.shape[1] - 1), axis=1)  # NaN stands last
+        return d[:, low] * 0.5 + d[:, high] * 0.5 if low < high else d[:, low]
+
+    schema = T.StructType([rows.schema["key_a"], rows.schema[group], T.StructField("distance", T.DoubleType())])
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        keys = a["key_a"].combine_chunks().dictionary_encode("encode")
+        codes = keys.indices.to_numpy()
+        best, of = [None] * len(keys.dictionary), matrices(b["_w"])
+        several: dict[int, list[np.ndarray]] = {}
+        repeated = np.bincount(codes) > 1
+        for size, (places, m) in matrices(a["_v"]).items():
+            if size not in of or not len(of[size][0]):
+                continue
+            other = of[size][1].T
+            step = max(1, cells // other.shape[1])
+            single = np.flatnonzero(~repeated[codes[places]])
+            for at in range(0, len(single), step):
+                some = single[at : at + step]
+                for code, value in zip(codes[places[some]].tolist(), middle(1 - m[some] @ other).tolist(), strict=True):
+                    best[code] = value
+            for i in np.flatnonzero(repeated[codes[places]]):
+                several.setdefault(int(codes[places[i]]), []).append(1 - m[i] @ other)
+        for code, parts in several.items():
+            best[code] = float(middle(np.concatenate(parts)[None, :])[0])
+        return pa.table({"key_a": keys.dictionary, group: pa.array([a[group][0].as_py()] * len(best), a.schema.field(group).type), "distance": pa.array(best, pa.float64())})
+
+    return left.groupBy("_b", group).cogroup(right.groupBy("_c", "_h")).applyInArrow(compare, schema)
+
+
 def closest_centroids(df: DataFrame, vector: str, group: str, metric: str = "cosine", max_groups: int = 10_000) -> DataFrame:
     """df with closest (the group whose median vector is nearest; ties: the smallest group) and distance. The medians are broadcast: one row per group."""
     centroids = vector_medians(df, vector, [group]).select(F.col(group).alias("_g"), "centroid")

@@ -89,3 +89,15 @@ def test_silhouettes_do_not_pair_rows(spark):
     df = spark.range(3000).selectExpr("id k", "array(sin(id), cos(id)) v", "id % 3 g")
     plan = vectors.silhouettes(df, "k", "v", "g")._jdf.queryExecution().optimizedPlan().toString()
     assert "key_b" not in plan
+
+
+@pytest.mark.parametrize(("sizes", "block", "cells"), [((4,), 4096, 4_000_000), ((4, 3), 7, 20)])
+def test_distances_to_groups(spark, sizes, block, cells):
+    rows = odd_vectors(sizes)
+    df = spark.createDataFrame(rows, "k int, v array<double>, g string")
+    got = {(r.key_a, r.g): r.distance for r in vectors.distances_to_groups(df, "k", "v", "g", block, cells).collect()}
+    want = {}
+    for key, other in {(k, g) for k, _, _ in rows for _, _, g in rows}:
+        d = [x for k, a, _ in rows if k == key for _, b, g in rows if g == other if (x := cosine(a, b)) is not None]
+        want[key, other] = statistics.median(d) if d else None
+    assert set(got) == set(want) and all(near(got[k], want[k]) for k in want)
