@@ -1,7 +1,7 @@
 """Nested values as tables of paths: JSON and XML trees of any depth, their leaves, values set by path, trees rebuilt from leaves, JSON inside texts.
 
 A tree is a VARIANT. A path is an array of steps (key, pos): key is null for an element of an array, pos for a member of an object. Objects have no order; members come
-by key. Trees are walked level by level: each level is one plan over all trees, so the number of plans is the depth of the deepest tree.
+by key. Trees are walked level by level over all trees, six levels in a plan; trees are rebuilt with a plan per level.
 """
 
 from __future__ import annotations
@@ -32,23 +32,27 @@ def xml_tree(text: Column, attributes: str = "@", content: str = "#text", types:
     return F.transform(F.array(text), lambda t: F.from_xml(t, "variant", options))[0]
 
 
-def _is_branch(value: Column) -> Column:
-    return F.regexp_like(F.schema_of_variant(value), F.lit("^(OBJECT|ARRAY)")) & ~F.to_json(value).isin("{}", "[]")
+LEVELS = 6
 
 
 def leaf_paths(df: DataFrame, ids: Sequence[str], tree: str) -> DataFrame:
-    """ids, path, depth, json: every leaf with its value as JSON text. Empty objects and arrays are leaves; a null tree has none."""
+    """ids, path, depth, json: every leaf with its value as JSON text. Empty objects and arrays are leaves; a null tree has none.
+
+    A plan walks six levels: a node is replaced by its children, one without children stays. Only what may have more children is read again.
+    """
     level = df.select(*ids, F.expr(f"CAST(array() AS array<{STEP}>)").alias("path"), F.col(tree).alias("value")).where(F.col("value").isNotNull())
     found = []
     while True:
-        level = materialize(level.withColumn("branch", _is_branch(F.col("value"))), "tree-level")
-        found.append(level.where(~F.col("branch")).select(*ids, "path", F.size("path").alias("depth"), F.to_json("value").alias("json")))
-        branches = level.where("branch")
-        if branches.isEmpty():
+        for _ in range(LEVELS):
+            spread = level.select(*ids, "path", "value").lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("value").outer()).toDF("_pos", "_key", "_value"))
+            whole = F.col("_pos").isNull()
+            step = F.struct(F.col("_key").alias("key"), F.when(F.col("_key").isNull(), F.col("_pos")).alias("pos")).cast(STEP)
+            level = spread.select(*ids, F.when(whole, F.col("path")).otherwise(F.array_append("path", step)).alias("path"), F.when(whole, F.col("value")).otherwise(F.col("_value")).alias("value"), whole.alias("_leaf"))
+        level = materialize(level.withColumns({"json": F.when(F.col("_leaf"), F.to_json("value")), "value": F.when(~F.col("_leaf"), F.col("value"))}), "tree-level")
+        found.append(level.where("_leaf").select(*ids, "path", F.size("path").alias("depth"), "json"))
+        level = level.where(~F.col("_leaf"))
+        if level.isEmpty():
             return reduce(DataFrame.unionByName, found)
-        children = branches.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("_pos", "_key", "_value"))
-        step = F.struct(F.col("_key").alias("key"), F.when(F.col("_key").isNull(), F.col("_pos")).alias("pos")).cast(STEP)
-        level = children.select(*ids, F.array_append("path", step).alias("path"), F.col("_value").alias("value"))
 
 
 def path_text(path: Column) -> Column:

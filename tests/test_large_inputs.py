@@ -5,8 +5,9 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
-from ethoframe.functions import raster
+from ethoframe.functions import raster, trees
 from ethoframe.operators import vectors
 
 
@@ -101,3 +102,13 @@ def test_distances_to_groups(spark, sizes, block, cells):
         d = [x for k, a, _ in rows if k == key for _, b, g in rows if g == other if (x := cosine(a, b)) is not None]
         want[key, other] = statistics.median(d) if d else None
     assert set(got) == set(want) and all(near(got[k], want[k]) for k in want)
+
+
+@pytest.mark.parametrize(("depth", "stored"), [(5, 1), (9, 2)])
+def test_trees_are_walked_six_levels_at_a_time(spark, monkeypatch, depth, stored):
+    calls, real = [], trees.materialize
+    monkeypatch.setattr(trees, "materialize", lambda df, label: calls.append(label) or real(df, label))
+    text = '{"a":' * depth + "[]" + "}" * depth
+    df = spark.createDataFrame([(1, text), (2, "3"), (3, "null"), (4, "{}"), (5, None)], "k int, t string").withColumn("tree", trees.json_tree(F.col("t")))
+    got = {(r.k, r.depth, r.json) for r in trees.leaf_paths(df, ["k"], "tree").collect()}
+    assert got == {(1, depth, "[]"), (2, 0, "3"), (3, 0, "null"), (4, 0, "{}")} and len(calls) == stored
