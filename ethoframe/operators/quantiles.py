@@ -44,8 +44,13 @@ def _narrowed(cells: DataFrame, wanted: DataFrame, limit: int) -> tuple[DataFram
         cells = materialize(binned.select("_g", "_c", deeper.alias("_part"), "_v").join(parts, _PART, "left_semi"), "quantile-cells")
 
 
-def quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], at: Sequence[float] = (0.5,), limit: int = LIMIT) -> DataFrame:
-    """groups and, under the name of each column, the array of its quantiles; one row for each group of df, or one row without groups."""
+def quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], at: Sequence[float] = (0.5,), limit: int = LIMIT, stored: bool = False) -> DataFrame:
+    """groups and, under the name of each column, the array of its quantiles; one row for each group of df, or one row without groups.
+
+    Every round reads the rows several times, so they are written once, unless df is a stored table already.
+    """
+    if not stored:
+        df = materialize(df.select(*dict.fromkeys([*groups, *columns])), "quantile-rows")
     key = F.struct(*groups).alias("_g") if groups else F.struct(F.lit(0).alias("all")).alias("_g")
     items = F.array(*(F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)))
     cells = df.select(key, F.inline(items)).where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_part", F.lit(""))
@@ -69,6 +74,6 @@ def quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], at:
     return wide.select(*(F.col("_g")[g].alias(g) for g in groups), *full)
 
 
-def medians(df: DataFrame, groups: Sequence[str], columns: Sequence[str], limit: int = LIMIT) -> DataFrame:
+def medians(df: DataFrame, groups: Sequence[str], columns: Sequence[str], limit: int = LIMIT, stored: bool = False) -> DataFrame:
     """groups and the median of each column."""
-    return quantiles(df, groups, columns, (0.5,), limit).select(*groups, *(F.col(c)[0].alias(c) for c in columns))
+    return quantiles(df, groups, columns, (0.5,), limit, stored).select(*groups, *(F.col(c)[0].alias(c) for c in columns))

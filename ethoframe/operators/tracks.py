@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ethoframe.frames import FRAME, ordered, same
 from ethoframe.functions.angles import affine, polar, rotate
 from ethoframe.operators.quantiles import medians, quantiles
+from ethoframe.shared import materialize
 
 KEYPOINT = "keypoint_name"
 
@@ -93,7 +94,8 @@ def scale_for_display(points: DataFrame, target: float = 256, groups: Sequence[s
 def trajectory_medians(trajectories: DataFrame, label: str, step: str) -> DataFrame:
     """Median keypoints and their number per label and frame of the trajectory."""
     keys = [label, step, KEYPOINT]
-    counts, middles = trajectories.groupBy(*keys).agg(F.count("*").alias("n")), medians(trajectories, keys, ["x", "y"])
+    rows = materialize(trajectories.select(*keys, "x", "y"), "trajectories")
+    counts, middles = rows.groupBy(*keys).agg(F.count("*").alias("n")), medians(rows, keys, ["x", "y"], stored=True)
     return counts.join(middles, same(counts, middles, keys), "left").select(*(counts[k] for k in keys), "x", "y", "n")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ethoframe.functions import raster, trees
-from ethoframe.operators import vectors
+from ethoframe.operators import tracks, vectors
 
 
 def shuffled(spark, run) -> int:
@@ -112,3 +112,16 @@ def test_trees_are_walked_six_levels_at_a_time(spark, monkeypatch, depth, stored
     df = spark.createDataFrame([(1, text), (2, "3"), (3, "null"), (4, "{}"), (5, None)], "k int, t string").withColumn("tree", trees.json_tree(F.col("t")))
     got = {(r.k, r.depth, r.json) for r in trees.leaf_paths(df, ["k"], "tree").collect()}
     assert got == {(1, depth, "[]"), (2, 0, "3"), (3, 0, "null"), (4, 0, "{}")} and len(calls) == stored
+
+
+def test_medians_compute_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x)
+
+    rows = spark.range(60).select((F.col("id") % 3).alias("label"), F.lit(0).alias("step"), F.lit("a").alias("keypoint_name"), counted("id").alias("x"), F.lit(1.0).alias("y"))
+    got = {(r.label, r.x, r.n) for r in tracks.trajectory_medians(rows, "label", "step").collect()}
+    assert got == {(0, 28.5, 20), (1, 29.5, 20), (2, 30.5, 20)} and seen.value == 60
