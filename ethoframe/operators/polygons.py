@@ -6,33 +6,101 @@ Null points and polygons of fewer than three points have no cells.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Crossings of edges and raster rows that a task holds at once.
+CROSSINGS = 1_000_000
+
+
+def _crossings(ax, ay, bx, by, of, n, clip):
+    """(polygon, row, col_from, col_to) arrays of n polygons whose edges (a, b) belong to polygon ``of``, at most about CROSSINGS crossings at a time."""
+    up = (ay <= by) | np.isnan(by)  # NaN is the largest number, as in Spark
+    px, py, qx, qy = np.where(up, ax, bx), np.where(up, ay, by), np.where(up, bx, ax), np.where(up, by, ay)
+    whole = lambda y: np.clip(np.nan_to_num(np.ceil(y), nan=0.0, posinf=2.0**62, neginf=-(2.0**62)), -(2.0**62), 2.0**62).astype(np.int64)
+    first, last = whole(py), whole(qy) - 1
+    if clip is not None:
+        first, last = np.maximum(first, 0), np.minimum(last, clip[0] - 1)
+    used = first <= last
+    px, py, qx, qy, of, first, last = (v[used] for v in (px, py, qx, qy, of, first, last))
+    total = np.concatenate([[0], np.cumsum(np.bincount(of, last - first + 1.0, minlength=n))])
+    edges = np.searchsorted(of, np.arange(n + 1))
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(total, total[at] + CROSSINGS, side="right")) - 1)
+        e = slice(edges[at], edges[end])
+        at = end
+        if e.start == e.stop:
+            continue
+        low, high = int(first[e].min()), int(last[e].max())
+        if high - low >= 2**31:
+            raise ValueError("a polygon without limits has too many rows")
+        # a polygon with more crossings is cut by rows
+        step = high - low + 1 if total[end] - total[end - 1] <= CROSSINGS else max(1, CROSSINGS // (e.stop - e.start))
+        for top in range(low, high + 1, step):
+            lo, hi = np.maximum(first[e], top), np.minimum(last[e], top + step - 1)
+            k = np.maximum(hi - lo + 1, 0)
+            i = np.repeat(np.arange(e.start, e.stop), k)
+            row = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo, k)
+            with np.errstate(invalid="ignore", over="ignore"):
+                x = px[i] + (row - py[i]) * (qx[i] - px[i]) / (qy[i] - py[i])
+            order = np.lexsort((x, row, of[i]))
+            x, row, polygon = x[order], row[order], of[i][order]
+            begins = np.concatenate([[True], (row[1:] != row[:-1]) | (polygon[1:] != polygon[:-1])])[: len(x)]
+            place = np.arange(len(x)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+            left = np.flatnonzero((place % 2 == 0)[:-1] & ~begins[1:])
+            col_from, col_to = whole(x[left]), whole(x[left + 1]) - 1
+            if clip is not None:
+                col_from, col_to = np.maximum(col_from, 0), np.minimum(col_to, clip[1] - 1)
+            kept = col_from <= col_to
+            yield polygon[left][kept], row[left][kept], col_from[kept], col_to[kept]
+
+
+def scanline_rows(df: DataFrame, ids: Sequence[str], points: str, shape: tuple[int, int] | None = None) -> DataFrame:
+    """ids, row, spans (array of (col_from, col_to), ascending): the cells inside each polygon (array of (x, y)) as closed intervals, clipped to rows and columns of shape.
+
+    Every row of df is a polygon of its own and is worked on where it lies: nothing is shuffled, gathered or sorted over polygons.
+    """
+    ring = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    axis = lambda c: F.transform("_ring", lambda p: p[c].cast("double")).alias(f"_{c}")
+    rings = df.select(*ids, ring.alias("_ring")).where(F.size("_ring") >= 3).select(*ids, axis("x"), axis("y"))
+    span = T.StructType([T.StructField("col_from", T.LongType()), T.StructField("col_to", T.LongType())])
+    schema = T.StructType([*rings.select(*ids).schema.fields, T.StructField("row", T.LongType()), T.StructField("spans", T.ArrayType(span))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("_x"), batch.column("_y")
+            size = np.asarray(pc.list_value_length(x), dtype=np.int64)
+            x, y = (np.asarray(v.flatten(), dtype=np.float64) for v in (x, y))
+            start = np.cumsum(size) - size
+            following = np.arange(1, len(x) + 1)
+            following[start + size - 1] = start
+            for polygon, row, col_from, col_to in _crossings(x, y, x[following], y[following], np.repeat(np.arange(len(size)), size), len(size), shape):
+                if not len(row):
+                    continue
+                begins = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (polygon[1:] != polygon[:-1])]))
+                values = pa.StructArray.from_arrays([pa.array(col_from), pa.array(col_to)], ["col_from", "col_to"])
+                spans = pa.ListArray.from_arrays(pa.array(np.append(begins, len(row)), pa.int32()), values)
+                keys = [batch.column(c).take(pa.array(polygon[begins])) for c in ids]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(row[begins]), spans], schema.names)
+
+    return rings.mapInArrow(cut, schema)
 
 
 def scanline_intervals(df: DataFrame, ids: Sequence[str], points: str, shape: tuple[int, int] | None = None) -> DataFrame:
-    """ids, row, col_from, col_to: the cells inside each polygon (array of (x, y)) as closed intervals, clipped to rows and columns of shape.
+    """ids, row, col_from, col_to: scanline_rows(), an interval a row."""
+    return scanline_rows(df, ids, points, shape).select(*ids, "row", F.inline("spans"))
 
-    One row of crossings per polygon and raster row is grouped at a time: as many as edges that cross it.
-    """
-    ring = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    ends = F.arrays_zip(F.transform(ring, lambda p: p).alias("a"), F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)).alias("b"))
-    edges = df.where(F.size(ring) >= 3).select(*ids, F.explode(ends).alias("e")).select(*ids, "e.a", "e.b")
-    up = F.col("a.y") <= F.col("b.y")
-    edges = edges.select(*ids, F.when(up, F.col("a")).otherwise(F.col("b")).alias("p"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("q"))
-    first, last = F.ceil("p.y"), F.ceil("q.y") - 1
-    if shape is not None:
-        first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(shape[0] - 1))
-    crossed = edges.withColumns({"_first": first, "_last": last}).where("_first <= _last").select(*ids, "p", "q", F.explode(F.sequence("_first", "_last")).alias("row"))
-    x = F.col("p.x") + (F.col("row") - F.col("p.y")) * (F.col("q.x") - F.col("p.x")) / (F.col("q.y") - F.col("p.y"))
-    lines = crossed.select(*ids, "row", x.alias("x")).groupBy(*ids, "row").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda k: F.struct(F.ceil(F.get("xs", 2 * k)).alias("col_from"), (F.ceil(F.get("xs", 2 * k + 1)) - 1).alias("col_to")))
-    spans = lines.where(F.size("xs") >= 2).select(*ids, "row", F.inline(pairs))
-    if shape is not None:
-        spans = spans.withColumns({"col_from": F.greatest("col_from", F.lit(0)), "col_to": F.least("col_to", F.lit(shape[1] - 1))})
-    return spans.where("col_from <= col_to")
+
+def span_cells(spans: Column) -> Column:
+    """The columns of a row's spans as one array, ascending."""
+    return F.flatten(F.transform(spans, lambda s: F.sequence(s["col_from"], s["col_to"])))
 
 
 def interval_cells(spans: DataFrame, ids: Sequence[str]) -> DataFrame:

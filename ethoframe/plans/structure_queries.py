@@ -173,8 +173,9 @@ g AS (SELECT l_orderkey, r, c FROM (SELECT DISTINCT l_orderkey FROM e) CROSS JOI
 h AS (SELECT g.l_orderkey, r, c FROM g JOIN e ON e.l_orderkey = g.l_orderkey AND py <= r AND r < qy AND px + (r - py) * (qx - px) / (qy - py) > c GROUP BY ALL HAVING count(*) % 2 = 1)
 SELECT l_orderkey, CAST(r AS BIGINT) AS "row", count(*) AS n_cells, CAST(min(c) AS BIGINT) AS first_col, CAST(max(c) AS BIGINT) AS last_col, CAST(sum(c * c) AS BIGINT) AS squares FROM h GROUP BY l_orderkey, r""")
 def create_boolean_polygon_mask(spark, sf_dir):
-    cells = polygons.interval_cells(polygons.scanline_intervals(_polygons(spark, sf_dir), ["l_orderkey"], "points", (24, 21)), ["l_orderkey"])
-    return cells.groupBy("l_orderkey", "row").agg(F.count("*").alias("n_cells"), F.min("col").alias("first_col"), F.max("col").alias("last_col"), F.sum(F.col("col") * F.col("col")).alias("squares"))
+    rows = polygons.scanline_rows(_polygons(spark, sf_dir), ["l_orderkey"], "points", (24, 21)).select("l_orderkey", "row", polygons.span_cells(F.col("spans")).alias("c"))
+    squares = F.aggregate("c", F.lit(0).cast("long"), lambda s, c: s + c * c)
+    return rows.select("l_orderkey", "row", F.size("c").cast("long").alias("n_cells"), F.element_at("c", 1).alias("first_col"), F.element_at("c", -1).alias("last_col"), squares.alias("squares"))
 
 
 # draws

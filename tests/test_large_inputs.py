@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ethoframe.functions import raster, trees
-from ethoframe.operators import tracks, vectors
+from ethoframe.operators import polygons, tracks, vectors
 
 
 def shuffled(spark, run) -> int:
@@ -125,3 +125,14 @@ def test_medians_compute_their_rows_once(spark):
     rows = spark.range(60).select((F.col("id") % 3).alias("label"), F.lit(0).alias("step"), F.lit("a").alias("keypoint_name"), counted("id").alias("x"), F.lit(1.0).alias("y"))
     got = {(r.label, r.x, r.n) for r in tracks.trajectory_medians(rows, "label", "step").collect()}
     assert got == {(0, 28.5, 20), (1, 29.5, 20), (2, 30.5, 20)} and seen.value == 60
+
+
+def test_polygons_are_cut_where_they_lie(spark, monkeypatch):
+    square = "transform(array(array(0.5, 0.5), array(9.5, 0.5), array(9.5, 9.5), array(0.5, 9.5)), p -> named_struct('x', p[0] + id % 3, 'y', p[1]))"
+    df = spark.range(0, 2000, 1, 2).selectExpr("id", f"{square} AS points")
+    want = {(i, r, 1 + i % 3, 9 + i % 3) for i in range(2000) for r in range(1, 10)}
+    for most in (polygons.CROSSINGS, 7):
+        monkeypatch.setattr(polygons, "CROSSINGS", most)
+        out = []
+        assert shuffled(spark, lambda out=out: out.extend(tuple(r) for r in polygons.scanline_intervals(df, ["id"], "points", (16, 20)).collect())) == 0  # one row a polygon and raster row before
+        assert len(out) == len(want) and set(out) == want
