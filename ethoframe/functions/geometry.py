@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ethoframe.functions.angles import affine
 from ethoframe.shared import materialize
@@ -169,12 +174,120 @@ def label_points(points: DataFrame, areas: DataFrame, n_areas: int, mode: str =
     return joined.withColumn("area", F.coalesce(F.get(names, F.lit(0)), other)).drop("_areas")
 
 
+#: A group of more boxes is merged by joins.
+GROUP = 512
+#: Pairs of boxes that a task holds at once.
+PAIRS = 2_000_000
+
+
+def _merged(group: np.ndarray, boxes: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group, boxes): the distinct boxes of each group (ascending), overlapping ones replaced by their union round by round, all groups at once."""
+    done = []
+    for _ in range(rounds):
+        order = np.lexsort((*boxes.T[::-1], group))
+        group, boxes = group[order], boxes[order]
+        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (boxes[1:] != boxes[:-1]).any(axis=1)])
+        group, boxes = group[fresh], boxes[fresh]
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(first, len(group)))
+        mates = np.repeat(size, size)
+        own = np.repeat(np.arange(len(group)), mates)
+        other = np.arange(len(own)) - np.repeat(np.cumsum(mates) - mates, mates) + np.repeat(np.repeat(first, size), mates)
+        x, y, w, h = boxes.T
+        right, top = x + w, y + h
+        met = (own == other) | ((x[own] < right[other]) & (x[other] < right[own]) & (y[own] < top[other]) & (y[other] < top[own]))
+        own, other = own[met], other[met]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        x, y = np.minimum.reduceat(x[other], starts), np.minimum.reduceat(y[other], starts)
+        grown = np.stack([x, y, np.maximum.reduceat(right[other], starts) - x, np.maximum.reduceat(top[other], starts) - y], axis=1)
+        open_ = np.repeat(np.logical_or.reduceat((grown != boxes).any(axis=1), first), size)
+        done.append((group[~open_], boxes[~open_]))
+        group, boxes = group[open_], grown[open_]
+        if not len(group):
+            group, boxes = (np.concatenate(v) for v in zip(*done, strict=True))
+            order = np.argsort(group, kind="stable")
+            return group[order], boxes[order]
+    raise RuntimeError(f"boxes still overlap after {rounds} rounds")
+
+
 def merge_boxes(boxes: DataFrame, ids: list[str], rounds: int = 20) -> DataFrame:
     """Boxes per id (columns of ids, box), overlapping ones replaced by their union until none overlap.
 
-    Each round groups the boxes that overlap with a box of smaller rank, within the id; it ends when a round changes nothing.
+    Each round groups the boxes that overlap within the id; it ends when a round changes nothing. Boxes are dealt by id once, and tasks merge the ids that have at most GROUP rows,
+    many of them at a time. Ids with more, or with a null or NaN in a box, pass through to _joined(), which holds no id at once.
     """
-    current = boxes.select(*ids, F.col("box").cast(_BOX).alias("box")).distinct()
+    plain = boxes.select(*ids, F.col("box").cast(_BOX).alias("box"))
+    if not ids:
+        return _joined(plain, ids, rounds)
+    place = F.row_number().over(Window.partitionBy(*ids).orderBy("box"))
+    dealt = plain.withColumn("_place", place).select(*ids, *(F.col(f"box.{c}").alias(f"_{c}") for c in "xywh"), "_place")
+    schema = T.StructType([*dealt.drop("_place").schema.fields, T.StructField("_open", T.BooleanType())])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            place = np.asarray(rows["_place"])
+            first = np.flatnonzero(place == 1)
+            group = np.cumsum(place == 1) - 1
+            size = np.diff(np.append(first, len(place)))
+            values = np.stack([np.asarray(rows[f"_{c}"].cast(pa.float64()).fill_null(np.nan)) for c in "xywh"], axis=1)
+            apart = (size > GROUP) | np.logical_or.reduceat(np.isnan(values).any(axis=1), first)
+            passed = rows.filter(pa.array(apart[group])).drop_columns("_place")
+            yield from passed.append_column("_open", pa.array(np.ones(passed.num_rows, bool))).to_batches()
+            small = ~apart[group]
+            if small.any():
+                at, found = _merged(group[small], values[small], rounds)
+                keys = [rows[c].take(pa.array(first[at])) for c in ids]
+                yield from pa.table([*keys, *(pa.array(v) for v in found.T), pa.array(np.zeros(len(at), bool))], names=schema.names).to_batches()
+
+        # held: rows from a first row of an id on; a long id is let go in pieces, whose later ones have no first row
+        held, rows, long_ = [], 0, False
+
+        def passing(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from part.drop_columns("_place").append_column("_open", pa.array(np.ones(part.num_rows, bool))).to_batches()
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            starts = np.flatnonzero(np.asarray(batch.column("_place")) == 1)
+            if long_:
+                end = int(starts[0]) if len(starts) else table.num_rows
+                yield from passing(table.slice(0, end))
+                table, starts = table.slice(end), starts - end
+                long_ = not len(starts)
+            if not table.num_rows:
+                continue
+            if len(starts):
+                cut = int(starts[-1])
+                whole = pa.concat_tables([*held, table.slice(0, cut)]) if held or cut else None
+                if whole is not None:
+                    firsts = np.append(np.flatnonzero(np.asarray(whole["_place"]) == 1), whole.num_rows)
+                    pairs = np.cumsum(np.minimum(np.diff(firsts), GROUP) ** 2)
+                    a = 0
+                    while a < len(pairs):
+                        b = max(a + 1, int(np.searchsorted(pairs, (pairs[a - 1] if a else 0) + PAIRS, side="right")))
+                        yield from merged(whole.slice(int(firsts[a]), int(firsts[b] - firsts[a])))
+                        a = b
+                held, rows = [table.slice(cut)], table.num_rows - cut
+            else:
+                held, rows = [*held, table], rows + table.num_rows
+            if rows > GROUP:
+                for part in held:
+                    yield from passing(part)
+                held, rows, long_ = [], 0, True
+        if held:
+            yield from merged(pa.concat_tables(held))
+
+    found = materialize(dealt.mapInArrow(merge, schema), "boxes-merged")
+    back = lambda rows: rows.select(*ids, F.struct(*(F.col(f"_{c}").alias(c) for c in "xywh")).cast(_BOX).alias("box"))
+    apart = found.where("_open")
+    closed = back(found.where("NOT _open"))
+    if not apart.limit(1).count():
+        return closed
+    return closed.unionByName(_joined(back(apart), ids, rounds))
+
+
+def _joined(boxes: DataFrame, ids: list[str], rounds: int) -> DataFrame:
+    """merge_boxes() with a join of all boxes of an id a round."""
+    current = boxes.distinct()
     for _ in range(rounds):
         a, b = current.alias("a"), current.alias("b")
         same_id = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ids]
@@ -184,7 +297,7 @@ def merge_boxes(boxes: DataFrame, ids: list[str], rounds: int = 20) -> DataFrame
             on = on & c
         grown = a.join(b, on).groupBy(*(F.col(f"a.{c}").alias(c) for c in ids), F.col("a.box").alias("_own")).agg(union_box(F.col("b.box")).cast(_BOX).alias("box"))
         changed = grown.where("_own <> box").limit(1).count()
-        current = grown.select(*ids, "box").distinct() if changed else grown.select(*ids, "box").distinct()
+        current = grown.select(*ids, "box").distinct()
         if not changed:
             return current
         current = materialize(current, "boxes")

@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from ethoframe.functions import raster, trees
+from ethoframe.functions import geometry, raster, trees
 from ethoframe.operators import polygons, tracks, vectors
 
 
@@ -136,3 +136,30 @@ def test_polygons_are_cut_where_they_lie(spark, monkeypatch):
         out = []
         assert shuffled(spark, lambda out=out: out.extend(tuple(r) for r in polygons.scanline_intervals(df, ["id"], "points", (16, 20)).collect())) == 0  # one row a polygon and raster row before
         assert len(out) == len(want) and set(out) == want
+
+
+def merged_one_by_one(boxes):
+    left = set(boxes)
+    while True:
+        met = next(((a, b) for a in left for b in left if a < b and a[0] < b[0] + b[2] and b[0] < a[0] + a[2] and a[1] < b[1] + b[3] and b[1] < a[1] + a[3]), None)
+        if met is None:
+            return left
+        (ax, ay, aw, ah), (bx, by, bw, bh) = met
+        x, y = min(ax, bx), min(ay, by)
+        left = left - set(met) | {(x, y, max(ax + aw, bx + bw) - x, max(ay + ah, by + bh) - y)}
+
+
+@pytest.mark.parametrize(("group", "pairs"), [(512, 2_000_000), (10, 30)])
+def test_boxes_are_dealt_once(spark, monkeypatch, group, pairs):
+    rng = random.Random(8)
+    monkeypatch.setattr(geometry, "GROUP", group), monkeypatch.setattr(geometry, "PAIRS", pairs)
+    rows = [(k if k else None, *(float(rng.randrange(n)) for n in (60, 60)), *(float(rng.randint(1, 9)) for _ in "wh")) for k in range(300) for _ in range(rng.choice((1, 3, 12)))]
+    rows += [(1000, 3.0 * i, 0.0, 4.0, 1.0) for i in range(8)] + rows[:40]  # a chain, copies
+    df = spark.createDataFrame(rows, "k int, x double, y double, w double, h double").selectExpr("k", "named_struct('x', x, 'y', y, 'w', w, 'h', h) AS box")
+    out, by = [], {}
+    for k, *box in rows:
+        by.setdefault(k, set()).add(tuple(box))
+    sent = shuffled(spark, lambda: out.extend((r.k, *r.box) for r in geometry.merge_boxes(df, ["k"]).collect()))
+    want = {(k, *b) for k, boxes in by.items() for b in merged_one_by_one(boxes)}
+    assert len(out) == len(want) and set(out) == want
+    assert group == 10 or sent <= len(rows) + 50  # several times in every round before
