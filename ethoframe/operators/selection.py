@@ -144,11 +144,14 @@ def joined_sets(members: DataFrame, set_id: str, member: str) -> DataFrame:
     spread = materialize(members.select(set_id, member).distinct(), "sets-members")
     named = spread.where(F.col(member).isNotNull() & F.col(set_id).isNotNull())
     first = named.groupBy(member).agg(F.min(set_id).alias("b"))
-    roots = components(named.join(first, member).select(F.col(set_id).alias("a"), "b"))
+    roots = components(named.join(first, member).where(F.col(set_id) != F.col("b")).select(F.col(set_id).alias("a"), "b"))
     # a set that shares no member has no link and stays its own group
-    groups = named.select(set_id).distinct().join(roots.select(F.col("id").alias(set_id), "component"), set_id, "left")
-    groups = groups.select(set_id, F.coalesce("component", F.col(set_id)).alias("group"))
-    return spread.join(groups, set_id).select(member, "group").distinct()
+    rooted = lambda df: df.join(roots.withColumnRenamed("id", set_id), set_id, "left").select(member, F.coalesce("component", F.col(set_id)).alias("group"))
+    groups = rooted(named)
+    unnamed = spread.where(F.col(member).isNull() & F.col(set_id).isNotNull())
+    if unnamed.limit(1).count():  # a null member joins no sets
+        groups = groups.unionByName(rooted(unnamed.join(named.select(set_id).distinct(), set_id, "left_semi")))
+    return groups.distinct()
 
 
 def are_disjoint(members: DataFrame, set_id: str, member: str) -> DataFrame:

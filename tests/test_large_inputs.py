@@ -7,6 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from ethoframe import graph
 from ethoframe.functions import geometry, raster, trees
 from ethoframe.operators import polygons, tracks, vectors
 from ethoframe.plans import registry
@@ -177,3 +178,29 @@ def test_track_files_are_opened_once(spark, tmp_path, monkeypatch):
     assert "Scan text" not in got._jdf.queryExecution().executedPlan().toString()  # three scans of all files before
     assert len(stored[0].select("file_path").distinct().collect()) == 40
     assert len({p.split("part-")[1].split("-")[0] for (p,) in stored[0].select("file_path").distinct().collect()}) > 8  # parts joined by size wrote them all before
+
+
+@pytest.mark.parametrize(("hot", "small"), [(200_000, 500_000), (3, 0)])
+def test_components_with_hot_ids(spark, monkeypatch, hot, small):
+    monkeypatch.setattr(graph, "HOT", hot), monkeypatch.setattr(graph, "SMALL", small)
+    rng = random.Random(12)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1000 + rng.randrange(60)) for i in range(60)]
+    order = rng.sample(range(2000, 2100), 100)
+    links += list(zip(order, order[1:])) + [(3000, i) for i in range(2900, 2960)] + [(3100, 3100 + i) for i in range(1, 60)] + [(5, None), (7, 7), (None, None)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = [tuple(r) for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert len(got) == len(root) and dict(got) == {x: find(x) for x in root}
+
+
+def test_settled_links_are_not_looked_up(spark):
+    star = spark.range(1, 3001, 1, 2).selectExpr("id AS a", "0L AS b")
+    assert shuffled(spark, lambda: graph.components(star).count()) < 3 * 3000 + 100  # over 15 times before
