@@ -118,6 +118,27 @@ def test_condense_disjoint(spark, set_rows):
         assert [sorted(got[p][k]) for k in sorted(got[p])] == [sorted(c) for c in choices]
 
 
+def test_disjoint_sets_of_packed_and_cut_problems(spark, set_rows, monkeypatch):
+    rows, sets = set_rows
+    df = spark.createDataFrame([*rows, *((None, s, m) for p, s, m in rows if p == 3)], "p int, s int, m int")
+    for float_members in (False, True):
+        given = df.withColumn("m", df.m.cast("double")) if float_members else df
+        found = []
+        for packed in (4096, 8, 0):
+            monkeypatch.setattr(disjoint, "PACKED", packed)
+            found.append(sorted(map(tuple, disjoint.max_disjoint_sets(given, ["p"], "s", "m", alternatives=True).collect()), key=repr))
+        assert found[0] == found[1] == found[2]
+        assert sorted(r[3] for r in found[0] if r[0] is None and r[2] == 0) == sorted(exhaustive(sets[3])[1][0])
+
+
+def test_condensing_makes_no_rows_of_pairs(spark, set_rows, monkeypatch):
+    monkeypatch.setattr(disjoint, "conflicts", None)
+    monkeypatch.setattr(disjoint, "materialize", None)
+    rows, sets = set_rows
+    found = disjoint.condense_disjoint(spark.createDataFrame(rows, "p int, s int, m int"), ["p"], "s", "m")
+    assert sorted((r.p, r.set) for r in found.collect()) == sorted((p, s) for p in sets for s in sets[p])
+
+
 def random_tree(rng, depth):
     if depth == 0 or rng.random() < 0.2:
         return rng.choice([None, True, False, 0, -7, 12.5, "", "text", 'q"\\u', "é<&>", {}, []])
