@@ -3,7 +3,7 @@
 A line is what stands between line ends, without blanks at its ends; blank lines are never judged. Its shingles are its runs of ``SHINGLE``
 UTF-16 units (a shorter line is one shingle). Signatures are minima of a shingle hash under BANDS * ROWS masks; lines that agree on all ROWS minima
 of a band are candidates. Long lines take the minima over the quarter of shingles whose hash ends in 00, which is the same choice of
-shingles in all lines; lines near the border, and long ones whose sample shows few distinct shingles (rulers, repeated phrases), have both signatures, so
+shingles in all lines; lines near the border, and longer ones whose head, or sample and head, show few distinct shingles (rulers, repeated phrases), have both signatures, so
 that two lines whose numbers of distinct shingles allow the threshold have one of the same kind.
 
 First candidates of a bucket are its lines with the bucket's smallest and largest line, so a bucket of any size gives two per line; components
@@ -37,6 +37,8 @@ SHORT = 128
 FEW_BITS = 50
 #: So many shingles more than that at the head of such a line are looked at to see that it has more distinct ones.
 SPARE = 24
+#: The heads of lines with up to so many shingles are looked at in any case: the sample of one with more sets few bits only if shingles repeat.
+LONG = 384
 #: Masks of the permutations, an arithmetic progression on the golden ratio, so that their leading bits differ.
 MASKS = [(0x9E3779B9 * (i + 1)) % 2**32 - 2**31 for i in range(BANDS * ROWS)]
 REMOVED_LINES = 5_000_000
@@ -79,30 +81,31 @@ def _shingle(units: Column, place: Column) -> Column:
 
 
 def _minima(rows: DataFrame, *more: Column) -> DataFrame:
-    """id, kind, bands (a key for each band; null if no shingle is in the sample) and more, summed up before and after one shuffle; rows: id, units, size, kinds."""
+    """id, kind (0: all shingles, 1 and 2: the sample), bands (a key for each band; null if no shingle is in the sample) and more, summed up before and after one shuffle; rows: id, units, size, kinds."""
     rows = rows.select("id", "units", "size", F.explode_outer("kinds").alias("kind"))
     at = rows.select("id", "kind", "units", F.explode_outer(_places(F.col("size"))).alias("i"))
     hashed = at.select("id", "kind", "i", F.hash(_shingle(F.col("units"), F.col("i"))).alias("h"))
     taken = hashed.withColumn("h", F.when((F.col("kind") == 0) | (F.col("h").bitwiseAND(3) == 0), F.col("h"))).where("h IS NOT NULL OR i = 1")
     minima = taken.groupBy("id", "kind").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)), *more)
-    keys = F.array(*(F.xxhash64(F.lit(b), "kind", *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
+    keys = F.array(*(F.xxhash64(F.lit(b), F.least("kind", F.lit(1)), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     return minima.select("id", "kind", F.when(F.col("m0").isNotNull(), keys).alias("bands"), *(c for c in minima.columns if c.startswith("seen")))
 
 
 def _signatures(docs: DataFrame, threshold: float) -> DataFrame:
-    """id, bands of each distinct line and kind. Long lines whose sample sets few of 128 bits, and whose head shows few distinct shingles, get the full signature, too."""
+    """id, bands of each distinct line and kind. Long lines whose head shows few distinct shingles get the full signature, too; beyond LONG only if the sample sets few of 128 bits."""
     named = _lines(docs).select(F.xxhash64("line").alias("id"), "line")
-    sized = lambda lines: lines.select("id", _units(F.col("line")).alias("units")).withColumn("size", _size(F.col("units")))
+    sized = lambda lines: lines.select("id", "line", _units(F.col("line")).alias("units")).withColumn("size", _size(F.col("units")))
     rows = sized(named)
     border = int(SHORT / threshold) + 1
-    kinds = F.when(F.col("size") <= SHORT, F.array(F.lit(0))).when(F.col("size") <= border, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    few_ahead = F.size(_shingles(F.col("line"), border + SPARE)) <= border
+    kinds = F.when(F.col("size") <= SHORT, F.array(F.lit(0))).when(F.col("size") > LONG, F.array(F.lit(2))).when((F.col("size") <= border) | few_ahead, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
     bit = F.expr("shiftleft(1L, shiftrightunsigned(h, 3) & 63)")
     seen = [F.bit_or(F.when(F.col("h").bitwiseAND(4) == 4 * k, bit).otherwise(F.lit(0).cast("long"))).alias(f"seen{k}") for k in range(2)]
     first = materialize(_minima(rows.withColumn("kinds", kinds), *seen), "lines-signatures")
-    few = materialize(first.where((F.col("kind") == 1) & (F.bit_count("seen0") + F.bit_count("seen1") <= FEW_BITS)).select("id"), "lines-few")
+    few = materialize(first.where((F.col("kind") == 2) & (F.bit_count("seen0") + F.bit_count("seen1") <= FEW_BITS)).select("id"), "lines-few")
     # a table, so that heads are looked at after the join
     again = materialize(named.join(broadcast_up_to(few, few.count()), "id", "left_semi"), "lines-again")
-    again = sized(again.where(F.size(_shingles(F.col("line"), border + SPARE)) <= border)).where(F.col("size") > border)
+    again = sized(again.where(few_ahead))
     full = materialize(_minima(again.withColumn("kinds", F.array(F.lit(0)))).select("id", "bands"), "lines-full")
     return first.select("id", "bands").unionByName(full)
 
@@ -110,9 +113,13 @@ def _signatures(docs: DataFrame, threshold: float) -> DataFrame:
 def _buckets(signatures: DataFrame) -> DataFrame:
     """band, id, lo, hi: lines of buckets with several lines, with the smallest and largest line of the bucket."""
     banded = signatures.select("id", F.explode("bands").alias("band"))
-    # a hot bucket is two sums before the shuffle, and its join is one that adaptive execution can split
-    buckets = banded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    return banded.join(buckets, "band")
+    # a hot bucket is three sums before the shuffle, and its join is one that adaptive execution can split; most buckets have one line or two and need no join
+    buckets = banded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    buckets = materialize(buckets, "lines-shared")
+    ends = buckets.select("band", F.explode(F.array("lo", "hi")).alias("id"), "lo", "hi")
+    many = buckets.where("n > 2").select("band", "lo", "hi")
+    inner = banded.join(broadcast_up_to(many, many.count()), "band").where("id <> lo AND id <> hi")
+    return ends.unionByName(inner)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -125,13 +132,6 @@ def _shingles(line: Column, most: int | None = None) -> Column:
     return bound(_units(line), lambda u: F.array_distinct(F.transform(_places(size(u)), lambda i: F.xxhash64(_shingle(u, i)))))
 
 
-def _single(texts: DataFrame) -> DataFrame:
-    """id, s: the distinct shingles of each line. Lines are dealt by id first, so shingles are not shuffled."""
-    rows = texts.select("id", _units(F.col("line")).alias("units")).repartition("id")
-    at = rows.select("id", "units", F.explode(_places(_size(F.col("units")))).alias("i"))
-    return at.select("id", F.xxhash64(_shingle(F.col("units"), F.col("i"))).alias("s")).distinct()
-
-
 def _alike(threshold: float) -> Column:
     """Whether sizes and sketches of lines a and b allow the threshold."""
     sizes = F.col("n_a") + F.col("n_b")
@@ -160,14 +160,17 @@ def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def _crossed(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """a, b: lines of different components that a shared shingle, their sizes, its places and their sketches allow to reach the threshold."""
     some = mixed.count()
-    single = _single(materialize(texts.join(broadcast_up_to(mixed, some), "id", "left_semi"), "lines-open"))
+    opened = materialize(texts.join(broadcast_up_to(mixed, some), "id", "left_semi"), "lines-open")
+    # lines are dealt by id first, so shingles are not shuffled to be put together
+    single = opened.repartition("id").select("id", F.explode(_shingles(F.col("line"))).alias("s"))
     often = materialize(single.groupBy("s").agg(F.count("*").alias("often")).where(F.col("often") >= HOT), "lines-often")
     known = single.join(broadcast_up_to(often, often.count()), "s", "left")
     # rare shingles are negative and come first by hash; the others follow by frequency, then hash
     place = F.when(F.col("often").isNull(), F.col("s").bitwiseOR(-(2**63))).otherwise(F.shiftleft(F.least("often", F.lit(2**20)), 42).bitwiseOR(F.col("s").bitwiseAND(2**42 - 1)))
     bit = F.expr("shiftleft(1L, cast(shiftright(s, 20) & 63 AS int))")
     parities = [F.bit_xor(F.when(F.pmod("s", F.lit(SKETCH)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(SKETCH)]
-    sets = known.groupBy("id").agg(F.sort_array(F.collect_list(place)).alias("x"), *parities).withColumn("n", F.size("x"))
+    # parities apart from the lists, as generated code
+    sets = known.groupBy("id").agg(F.sort_array(F.collect_list(place)).alias("x")).join(single.groupBy("id").agg(*parities), "id").withColumn("n", F.size("x"))
     first = F.slice("x", 1, F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)
     sets = materialize(sets.select("id", "n", first.alias("x"), F.array(*(f"p{k}" for k in range(SKETCH))).alias("sketch")).join(broadcast_up_to(mixed, some), "id"), "lines-sets")
     prefix = sets.select("id", "component", F.posexplode("x").alias("at", "s"))

@@ -98,6 +98,25 @@ def test_line_dedup_counts_distinct_shingles(spark):
     assert {d: bool(v[0]) for d, v in got.items()} == {d: not kept[(d, 0)] for d, _ in rows} and sum(not k for k in kept.values()) == 7
 
 
+def test_lines_of_middle_length_are_not_read_again(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    rows = [(n, "x" + text(178 + n % 200) + "x") for n in range(120)]
+    rows += [(1000 + n, line[:-8] + text(7) + "z") for n, line in rows[:30]]
+    counts, keep = {}, lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df, label: [out := keep(df, label), counts.update({label: out.count()})][0])
+    got, kept = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")), "n_removed"), brute.line_keepers(rows)
+    assert {d: bool(v[0]) for d, v in got.items()} == {d: not kept[(d, 0)] for d, _ in rows} and sum(not k for k in kept.values()) == 30
+    assert counts["lines-few"] == 0
+
+
+def test_line_buckets_of_any_size(spark):
+    held = {1: [5], 2: [7, 3], 3: [4, -9, 8], 4: [2, 9, 1, 6, 5]}  # band: lines
+    bands = {i: [b for b, ids in held.items() if i in ids] for i in sum(held.values(), [])}
+    got = lines._buckets(spark.createDataFrame([*bands.items(), (11, None)], "id long, bands array<long>")).select("band", "id", "lo", "hi").collect()
+    assert sorted(map(tuple, got)) == sorted((b, i, min(ids), max(ids)) for b, ids in held.items() if len(ids) > 1 for i in ids)
+
+
 def test_substring_dedup(docs, documents):
     got = by_id(substrings.remove_repeats(docs).withColumn("sha", F.sha2("text", 256)), "n_words", "n_removed", "sha")
     assert got == brute.repeats(pairs(documents))
