@@ -22,6 +22,9 @@ empty result. Columns of docs pass through; n_lines and n_removed are set.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from ethoframe.llm.common import BROADCAST_ROWS, bound, broadcast_up_to, materia
 from ethoframe.llm.graph import components
 
 SHINGLE = 10
+#: What is no part of a line at its ends.
+BLANKS = " \t\r\f\x0b"
 BANDS, ROWS = 8, 3
 THRESHOLD = 0.75
 #: Lines with more shingles than this have a signature over every fourth; up to SHORT / THRESHOLD distinct ones they have the full one, too.
@@ -42,7 +47,7 @@ LONG = 384
 #: Masks of the permutations, an arithmetic progression on the golden ratio, so that their leading bits differ.
 MASKS = [(0x9E3779B9 * (i + 1)) % 2**32 - 2**31 for i in range(BANDS * ROWS)]
 REMOVED_LINES = 5_000_000
-#: Shingles of at least this many lines of mixed buckets stand last in the order of the exact join.
+#: Shingles of about this many lines of mixed buckets, and more, stand last in the order of the exact join.
 HOT = 16
 #: Sketches (of about 100 bytes) that may be broadcast.
 SKETCH_ROWS = 100_000
@@ -53,7 +58,12 @@ LARGE, ROUNDS, CENTRES = 32, 1, 3
 
 
 def _trimmed(line: Column) -> Column:
-    return F.trim(line, F.lit(" \t\r\f\x0b"))
+    """Most lines have no blanks at their ends, and trim() looks at every character to cut the right end."""
+    return F.when(reduce(or_, (end(line, F.lit(c)) for c in BLANKS for end in (F.startswith, F.endswith))), F.trim(line, F.lit(BLANKS))).otherwise(line)
+
+
+def _is_blank(line: Column) -> Column:
+    return F.ltrim(line, F.lit(BLANKS)) == ""
 
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
@@ -126,10 +136,15 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _shingles(line: Column, most: int | None = None) -> Column:
-    """64-bit hashes of the distinct ones of the first ``most`` shingles (sets of longs are hashed, sets of binaries compared one by one)."""
+def _hashes(line: Column, most: int | None = None) -> Column:
+    """64-bit hashes of the first ``most`` shingles, repeats included (sets of longs are hashed, sets of binaries compared one by one)."""
     size = (lambda u: _size(u)) if most is None else (lambda u: F.least(_size(u), F.lit(most)))
-    return bound(_units(line), lambda u: F.array_distinct(F.transform(_places(size(u)), lambda i: F.xxhash64(_shingle(u, i)))))
+    return bound(_units(line), lambda u: F.transform(_places(size(u)), lambda i: F.xxhash64(_shingle(u, i))))
+
+
+def _shingles(line: Column, most: int | None = None) -> Column:
+    """The distinct ones of these hashes."""
+    return F.array_distinct(_hashes(line, most))
 
 
 def _alike(threshold: float) -> Column:
@@ -143,9 +158,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float, label: str) ->
     """The pairs whose shingle sets reach the threshold."""
     side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.select("a", "b", _shingles(F.col("line_a")).alias("x"), _shingles(F.col("line_b")).alias("y"))
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("overlap"), (F.size("x") + F.size("y")).alias("sizes"))
-    return materialize(both.where(F.col("overlap") >= threshold * (F.col("sizes") - F.col("overlap"))).select("a", "b"), label)
+    both = both.select("a", "b", _hashes(F.col("line_a")).alias("x"), _hashes(F.col("line_b")).alias("y")).withColumn("most", F.size("x") + F.size("y"))
+    both = both.select("a", "b", "most", "x", "y", F.size(F.array_union("x", "y")).alias("union"))
+    # what both have is at most what they have in all less the union, so most pairs below the threshold need no intersection
+    may = (1 + threshold) * F.col("union") <= F.col("most") + 1e-6
+    both = both.select("a", "b", "union", F.when(may, F.size(F.array_intersect("x", "y"))).alias("overlap"))
+    return materialize(both.where(F.col("overlap") >= threshold * F.col("union")).select("a", "b"), label)
 
 
 def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -163,7 +181,9 @@ def _crossed(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     opened = materialize(texts.join(broadcast_up_to(mixed, some), "id", "left_semi"), "lines-open")
     # lines are dealt by id first, so shingles are not shuffled to be put together
     single = opened.repartition("id").select("id", F.explode(_shingles(F.col("line"))).alias("s"))
-    often = materialize(single.groupBy("s").agg(F.count("*").alias("often")).where(F.col("often") >= HOT), "lines-often")
+    # every order gives the same links, so how often shingles stand is estimated: from every fourth line, by its hash
+    fourth = opened.where(F.pmod("id", F.lit(4)) == 0).select(F.explode(_shingles(F.col("line"))).alias("s"))
+    often = materialize(fourth.groupBy("s").agg((F.count("*") * 4).alias("often")).where(F.col("often") >= HOT), "lines-often")
     known = single.join(broadcast_up_to(often, often.count()), "s", "left")
     # rare shingles are negative and come first by hash; the others follow by frequency, then hash
     place = F.when(F.col("often").isNull(), F.col("s").bitwiseOR(-(2**63))).otherwise(F.shiftleft(F.least("often", F.lit(2**20)), 42).bitwiseOR(F.col("s").bitwiseAND(2**42 - 1)))
@@ -197,13 +217,17 @@ def _centred(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(_ordered(others.select(F.col("id").alias("a"), F.explode(F.array(*(f"lead.c{k}" for k in range(CENTRES)))).alias("b"))), "lines-centred")
 
 
-def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """id, component: lines with a link, and the smallest line that they reach."""
+def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(id, component): lines with a link, and the smallest line that they reach; (doc_id, mark, line_no, id): where all lines stand."""
     rows = materialize(_buckets(_signatures(docs, threshold)), "lines-buckets")
     pairs = materialize(_ordered(rows.select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))), "lines-pairs")
     wanted = materialize(rows.select("id").distinct(), "lines-wanted")
-    texts = _lines(docs).withColumn("id", F.xxhash64("line")).join(broadcast_up_to(wanted, wanted.count()), "id", "left_semi")
-    texts = materialize(texts.groupBy("id").agg(F.min("line").alias("line")), "lines-texts")
+    # one pass over the texts for both
+    wanted = wanted.withColumn("wanted", F.lit(True))
+    places = _lines(docs, "doc_id", "mark").withColumn("id", F.xxhash64("line")).join(broadcast_up_to(wanted, wanted.count()), "id", "left")
+    places = materialize(places.select("doc_id", "mark", "line_no", "id", F.when(F.col("wanted"), F.col("line")).alias("line")), "lines-places")
+    texts = materialize(places.where("line IS NOT NULL").groupBy("id").agg(F.min("line").alias("line")), "lines-texts")
+    places = places.drop("line")
     links = _linked(pairs, texts, threshold, "lines-links")
     roots = materialize(components(links), "lines-roots")
     for _ in range(ROUNDS):
@@ -216,8 +240,8 @@ def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if mixed.limit(1).count():
         found = _linked(_crossed(mixed, texts, threshold), texts, threshold, "lines-crosslinks")
         if found.limit(1).count():
-            return materialize(components(links.unionByName(found)), "lines-all-roots")
-    return roots
+            roots = materialize(components(links.unionByName(found)), "lines-all-roots")
+    return roots, places
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -225,8 +249,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")
     text = F.col("text").cast("string")
     slim = docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
-    roots = line_components(slim, threshold).withColumnRenamed("component", "root")
-    places = materialize(_lines(slim, "doc_id", "mark").select("doc_id", "mark", "line_no", F.xxhash64("line").alias("id")), "lines-places")
+    roots, places = line_components(slim, threshold)
+    roots = roots.withColumnRenamed("component", "root")
     place = F.struct("doc_id", "mark", "line_no")
     known = places.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, "id", "left").where("n > 1 OR root IS NOT NULL")
     known = materialize(known.select("id", F.coalesce("root", "id").alias("root"), "first"), "lines-known")
@@ -243,9 +267,9 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("line_doc")) & (F.xxhash64(text) == F.col("line_mark")), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("line_gone"), i))
-    blank = F.array_join(F.filter(lines, lambda x: _trimmed(x) == ""), "\n")
+    blank = F.array_join(F.filter(lines, _is_blank), "\n")
     text = F.when(F.col("line_again"), blank).when(F.col("line_gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: _trimmed(x) != "")), F.lit(0))
+    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: ~_is_blank(x))), F.lit(0))
     n_removed = F.when(F.col("line_again"), n_lines).otherwise(F.coalesce(F.size("line_gone"), F.lit(0)))
     computed = {"n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long")}
     passed = [c for c in docs.columns if c != "line_again"]

@@ -110,6 +110,19 @@ def test_lines_of_middle_length_are_not_read_again(spark, monkeypatch):
     assert counts["lines-few"] == 0
 
 
+def test_line_texts_are_cut_twice_and_blanks_at_their_ends_do_not_count(spark, monkeypatch):
+    base = ["one line of prose that stands here", "another one, which has not much in common with it", "zwölf Boxkämpfer jagen Viktor über den großen Deich"]
+    ends = [("", ""), (" ", "\t"), ("\x0b", ""), ("", "\r"), ("\f \t", " \x0b\r"), ("\u00a0", "")]
+    rows = [(n, "\n".join(a + line + b for line in base) + "\n \t\r\x0b\f\n") for n, (a, b) in enumerate(ends)] + [(9, " \t"), (10, None), (11, "tab\tinside"), (12, "tab inside")]
+    calls, cut = [], lines._lines
+    monkeypatch.setattr(lines, "_lines", lambda *a: calls.append(a) or cut(*a))
+    got, kept = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")), "n_lines", "n_removed"), brute.line_keepers(rows)
+    for d, text in rows:
+        judged = [n for n, line in enumerate((text or "").split("\n")) if line.strip(" \t\r\f\x0b")]
+        assert got[d] == (len(judged), sum(not kept[(d, n)] for n in judged))
+    assert len(calls) == 2
+
+
 def test_line_buckets_of_any_size(spark):
     held = {1: [5], 2: [7, 3], 3: [4, -9, 8], 4: [2, 9, 1, 6, 5]}  # band: lines
     bands = {i: [b for b, ids in held.items() if i in ids] for i in sum(held.values(), [])}
