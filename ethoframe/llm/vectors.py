@@ -5,8 +5,9 @@ the distance of two unit vectors at the threshold's cosine. Sequence intervals o
 only if their cells can lie within epsilon, and a pair of blocks is halved again and again, dropping every pair of halves whose boxes are
 further apart than epsilon. What is left is compared by exact cosines in double precision.
 
-A block comparison returns, for each of its vectors, how many links it found and one link to the smallest vector of its local component:
-as many rows as the blocks have vectors, however dense the links. Components come from the distributed union-find.
+Blocks are dealt into tiles and shuffled once; a pair of tiles is a task of a cartesian product, so disk grows with the vectors, not with the pairs.
+A task returns, for each of its vectors, how many links it found and one link to the smallest vector of its local component: as many rows as
+the two tiles have vectors, however dense the links. Components come from the distributed union-find.
 
 Nulls and edges: a vector that is null, zero, empty, or holds a null or non-finite component links with nothing; vectors of different
 lengths never link; copies link with each other; rows that share a vec_id are vectors of their own whose links are reported together;
@@ -32,14 +33,16 @@ THRESHOLD = 0.95
 AXES = 8
 BLOCK_ROWS = 4096
 LEAF_ROWS = 1024
+#: Bytes of the blocks that a task holds while it reads those of another tile.
+TILE_BYTES = 32 << 20
+#: Links of pairs of blocks are joined whenever a task has so many new rows of them.
+JOIN_ROWS = 1 << 18
 #: Components that enter the second moments.
 MOMENT_DIMS = 256
 #: Added to epsilon wherever a distance only prunes, far above rounding errors.
 SLACK = 1e-6
 
 
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1 in double precision; scaled first, so that no square leaves the range of doubles."""
     x = x.astype(np.float64)
@@ -157,16 +160,25 @@ def _blocks(rows: DataFrame, axes: dict[int, np.ndarray], epsilon: float, width:
     return ranged.mapInArrow(packed, "block long, dim int, rows int, lo array<double>, hi array<double>, ids binary, x binary")
 
 
+def _tiles(blocks: DataFrame, parallelism: int) -> DataFrame:
+    """The blocks dealt into tiles of TILE_BYTES, or into more while all pairs of them leave cores idle."""
+    rows, size = blocks.agg(F.count("*"), F.sum(F.octet_length("x") + F.octet_length("ids"))).first()
+    return blocks.repartition(max(1, -(-(size or 0) // TILE_BYTES), min(rows, math.isqrt(4 * parallelism))))
+
+
 def _pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """Pairs of blocks (a <= b) whose boxes are within epsilon: an equi-join on grid cells of the first axis, then the exact box distance."""
-    meta = blocks.select("block", "dim", "lo", "hi")
-    cell = lambda c, by: F.floor(F.col(c)[0] / epsilon).cast("long") + by
-    left = meta.select(F.col("block").alias("a"), "dim", F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(cell("lo", -1), cell("hi", 1))).alias("cell"))
-    right = meta.select(F.col("block").alias("b"), "dim", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence(cell("lo", 0), cell("hi", 0))).alias("cell"))
-    met = left.join(right, ["dim", "cell"]).where("a <= b")
+    """Every pair of blocks whose boxes are within epsilon, once (a = b too), with its vectors.
+
+    A cartesian product: each pair of partitions is a task, which reads both from the one shuffle of the blocks; no pair is written.
+    Which of the two blocks is a alternates, so that all tasks get pairs.
+    """
+    a, b = (blocks.select(*(F.col(c).alias(f"{c}_{side}") for c in blocks.columns)) for side in "ab")
+    first, second = F.col("block_a"), F.col("block_b")
+    once = (first == second) | (((first + second) % 2 == 0) == (first < second))
     gap = F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     apart = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g)
-    return met.where(apart <= (epsilon + SLACK) ** 2).select("a", "b").distinct()
+    met = a.join(b.hint("shuffle_replicate_nl"), (F.col("dim_a") == F.col("dim_b")) & once & (apart <= (epsilon + SLACK) ** 2))
+    return met.select("block_a", "block_b", F.col("dim_a").alias("dim"), "ids_a", "x_a", "ids_b", "x_b")
 
 
 def _gap(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray) -> float:
@@ -213,48 +225,50 @@ def _compare(xa: np.ndarray, xb: np.ndarray, ya: np.ndarray, yb: np.ndarray, sam
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
+def _joined(links: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, n and root of several pairs of blocks as one: n added up, root the smallest vector that all of them reach together."""
+    ids, n, root = (np.concatenate(c) for c in zip(*links, strict=True))
+    known, at = np.unique(np.concatenate([ids, root]), return_inverse=True)
+    return known, np.bincount(at[: len(ids)], n, len(known)).astype(np.int64), _local_roots(known, at[: len(ids)], at[len(ids) :])
+
+
 def link_counts(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n (links found in one pair of blocks), root (a vector that it reaches there), for vectors with links."""
+    """vec_id, n (links found in one pair of tiles), root (a vector that it reaches there), for vectors with links."""
     epsilon = math.sqrt(max(0.0, 2 - 2 * threshold))
     width = 4 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else 8
     rows = materialize(_usable_rows(vectors), "ego-rows")
     dims = [r["dim"] for r in rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(4).collect()]
     axes = _axes(rows, dims, width)
     blocks = materialize(_blocks(rows, axes, epsilon, width), "ego-blocks")
-    pairs = materialize(_pairs(blocks, epsilon).withColumn("pair", F.monotonically_increasing_id()), "ego-pairs")
-    sides = pairs.select("pair", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("block"))
-    n = max(1, -(-pairs.count() // 4))
-    dealt = sides.join(blocks.select("block", "dim", "ids", "x"), "block").repartition(n, "pair").sortWithinPartitions("pair", "block")
+    pairs = _pairs(_tiles(blocks, vectors.sparkSession.sparkContext.defaultParallelism), epsilon)
     limit = (epsilon + SLACK) ** 2
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(sides: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch | None:
-            parts = []
-            for dim, ids, x in sides:
-                u = _unit(np.frombuffer(x, np.float32 if width == 4 else np.float64).reshape(-1, dim))
-                parts.append((np.frombuffer(ids, np.int64), u, _project(u, axes.get(dim))))
-            (ia, xa, ya), (ib, xb, yb) = parts[0], parts[-1]
-            same = len(parts) == 1
-            i, j = _compare(xa, xb, ya, yb, same, threshold, limit)
-            if not len(i):
-                return None
-            ids, j = (ia, j) if same else (np.concatenate([ia, ib]), j + len(ia))
-            n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-            root, some = _local_roots(ids, i, j), n > 0
-            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(root[some])], ["vec_id", "n", "root"])
-
-        at, held = None, []
+        def side(dim: int, ids: pa.Scalar, x: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            u = _unit(np.frombuffer(x.as_buffer(), np.float32 if width == 4 else np.float64).reshape(-1, dim))
+            return np.frombuffer(ids.as_buffer(), np.int64).copy(), u, _project(u, axes.get(dim))
+
+        at, held, waiting = None, [], 0
         for batch in batches:
-            for pair, dim, ids, x in zip(*(batch.column(c) for c in ("pair", "dim", "ids", "x")), strict=True):
-                if at is not None and pair.as_py() != at and (out := finish(held)) is not None:
-                    yield out
-                if pair.as_py() != at:
-                    at, held = pair.as_py(), []
-                held.append((dim.as_py(), ids.as_py(), x.as_py()))
-        if held and (out := finish(held)) is not None:
-            yield out
-
-    return materialize(dealt.mapInArrow(compared, "vec_id long, n long, root long"), "ego-links")
+            for row in zip(*(batch.column(c) for c in ("block_a", "block_b", "dim", "ids_a", "x_a", "ids_b", "x_b")), strict=True):
+                a, b, dim = (v.as_py() for v in row[:3])
+                if a != at:  # pairs come by their first block
+                    at, (ia, xa, ya) = a, side(dim, *row[3:5])
+                same = a == b
+                ib, xb, yb = (ia, xa, ya) if same else side(dim, *row[5:])
+                i, j = _compare(xa, xb, ya, yb, same, threshold, limit)
+                if not len(i):
+                    continue
+                ids, j = (ia, j) if same else (np.concatenate([ia, ib]), j + len(ia))
+                n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+                some = n > 0
+                held, waiting = [*held, (ids[some], n[some], _local_roots(ids, i, j)[some])], waiting + int(some.sum())
+                if waiting > JOIN_ROWS:
+                    held, waiting = [_joined(held)], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _joined(held)], ["vec_id", "n", "root"])
+
+    return materialize(pairs.mapInArrow(compared, "vec_id long, n long, root long"), "ego-links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

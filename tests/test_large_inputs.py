@@ -4,11 +4,13 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ethoframe import graph
 from ethoframe.functions import geometry, raster, trees
+from ethoframe.llm import vectors as embeddings
 from ethoframe.operators import polygons, tracks, vectors
 from ethoframe.plans import registry
 from ethoframe.sources import files
@@ -204,3 +206,24 @@ def test_components_with_hot_ids(spark, monkeypatch, hot, small):
 def test_settled_links_are_not_looked_up(spark):
     star = spark.range(1, 3001, 1, 2).selectExpr("id AS a", "0L AS b")
     assert shuffled(spark, lambda: graph.components(star).count()) < 3 * 3000 + 100  # over 15 times before
+
+
+@pytest.mark.parametrize(("tile", "join"), [(32 << 20, 1 << 18), (40_000, 30)])
+def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch, tile, join):
+    for name, value in (("BLOCK_ROWS", 25), ("LEAF_ROWS", 8), ("TILE_BYTES", tile), ("JOIN_ROWS", join)):
+        monkeypatch.setattr(embeddings, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 16))
+    x[700:1100] = x[rng.integers(0, 700, 400)] + rng.normal(size=(400, 16)) * 0.02  # near copies
+    x[1100:1200] = x[5]  # one large group, over several blocks
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    root = np.arange(len(u))
+    while (new := np.minimum(root, np.where(linked, root, len(u)).min(axis=1))).tolist() != root.tolist():
+        root = new
+    got, df = {}, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sent = shuffled(spark, lambda: got.update({r.vec_id: (r.n, r.root) for r in embeddings.link_counts(df).groupBy("vec_id").agg(F.sum("n").alias("n"), F.min("root").alias("root")).collect()}))
+    assert {i: n for i, (n, _) in got.items()} == {i: int(n) for i, n in enumerate(linked.sum(axis=1)) if n}
+    assert tile < 1 << 20 or sent < 3 * len(u)  # two records of each pair of blocks before
+    classes = {r.vec_id: r.component_id for r in embeddings.near_duplicates(df).collect()}
+    assert classes == dict(enumerate(root.tolist()))
