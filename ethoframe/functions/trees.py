@@ -1,12 +1,12 @@
 """Nested values as tables of paths: JSON and XML trees of any depth, their leaves, values set by path, trees rebuilt from leaves, JSON inside texts.
 
 A tree is a VARIANT. A path is an array of steps (key, pos): key is null for an element of an array, pos for a member of an object. Objects have no order; members come
-by key. Trees are walked level by level over all trees, six levels in a plan; trees are rebuilt with a plan per level.
+by key. A tree stays in its row: it is walked six levels in a plan, and its text is written leaf by leaf in the order of their paths.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,26 +35,56 @@ def xml_tree(text: Column, attributes: str = "@", content: str = "#text", types:
 LEVELS = 6
 
 
-def leaf_paths(df: DataFrame, ids: Sequence[str], tree: str) -> DataFrame:
-    """ids, path, depth, json: every leaf with its value as JSON text. Empty objects and arrays are leaves; a null tree has none.
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use() names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _spread(nodes: Column) -> Column:
+    """Nodes (path, value, leaf) replaced by their children; one without children becomes a leaf."""
+
+    def node(path: Column, value: Column, leaf: bool) -> Column:
+        return F.struct(path.alias("path"), value.alias("value"), F.lit(leaf).alias("leaf"))
+
+    def below(n: Column, key: Column, pos: Column, value: Column) -> Column:
+        return node(F.array_append(n["path"], F.struct(key.cast("string").alias("key"), pos.cast("int").alias("pos"))), value, False)
+
+    def children(n: Column) -> Column:
+        members, elements = (F.try_variant_get(n["value"], "$", t) for t in ("map<string,variant>", "array<variant>"))
+        # an element is looked for only in what is no object
+        listed = _bound(elements, lambda x: F.when(F.size(x) > 0, F.transform(x, lambda v, i: below(n, F.lit(None), i, v))).otherwise(F.array(node(n["path"], n["value"], True))))
+        return _bound(members, lambda x: F.when(F.size(x) > 0, F.transform(F.map_entries(x), lambda e: below(n, e["key"], F.lit(None), e["value"]))).otherwise(listed))
+
+    return F.flatten(F.transform(nodes, lambda n: F.when(n["leaf"], F.array(n)).otherwise(children(n))))
+
 
-    A plan walks six levels: a node is replaced by its children, one without children stays. Only what may have more children is read again.
+def from_leaves(df: DataFrame, ids: Sequence[str], tree: str, make: Callable[[Column], Column], name: str) -> DataFrame:
+    """ids and make(leaves) of each tree, leaves being an array of (path, json), in any order. A null tree has no row.
+
+    A tree stays in its row. A plan walks six levels; of deeper trees what was reached is stored and walked on.
     """
-    level = df.select(*ids, F.expr(f"CAST(array() AS array<{STEP}>)").alias("path"), F.col(tree).alias("value")).where(F.col("value").isNotNull())
-    found = []
+    root = F.array(F.struct(F.expr(f"CAST(array() AS array<{STEP}>)").alias("path"), F.col(tree).alias("value"), F.lit(False).alias("leaf")))
+    todo, found = df.where(F.col(tree).isNotNull()).select(*ids, root.alias("_nodes")), []
     while True:
+        nodes = F.col("_nodes")
         for _ in range(LEVELS):
-            spread = level.select(*ids, "path", "value").lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("value").outer()).toDF("_pos", "_key", "_value"))
-            whole = F.col("_pos").isNull()
-            step = F.struct(F.col("_key").alias("key"), F.when(F.col("_key").isNull(), F.col("_pos")).alias("pos")).cast(STEP)
-            level = spread.select(*ids, F.when(whole, F.col("path")).otherwise(F.array_append("path", step)).alias("path"), F.when(whole, F.col("value")).otherwise(F.col("_value")).alias("value"), whole.alias("_leaf"))
-        level = materialize(level.withColumns({"json": F.when(F.col("_leaf"), F.to_json("value")), "value": F.when(~F.col("_leaf"), F.col("value"))}), "tree-level")
-        found.append(level.where("_leaf").select(*ids, "path", F.size("path").alias("depth"), "json"))
-        level = level.where(~F.col("_leaf"))
-        if level.isEmpty():
+            nodes = _spread(nodes)
+        walked = todo.select(*ids, nodes.alias("_nodes")).withColumn("_open", F.exists("_nodes", lambda n: ~n["leaf"]))
+        leaves = F.transform("_nodes", lambda n: F.struct(n["path"].alias("path"), F.to_json(n["value"]).alias("json")))
+        made = F.when(~F.col("_open"), make(leaves))
+        stored = materialize(walked.select(*ids, "_open", made.alias(name), F.when(F.col("_open"), F.col("_nodes")).alias("_nodes")), "tree-leaves")
+        found.append(stored.where("NOT _open").select(*ids, name))
+        todo = stored.where("_open").select(*ids, "_nodes")
+        if todo.isEmpty():
             return reduce(DataFrame.unionByName, found)
 
 
+def leaf_paths(df: DataFrame, ids: Sequence[str], tree: str) -> DataFrame:
+    """ids, path, depth, json: every leaf with its value as JSON text. Empty objects and arrays are leaves; a null tree has none."""
+    found = from_leaves(df, ids, tree, lambda leaves: leaves, "_leaves")
+    return found.select(*ids, F.inline("_leaves")).select(*ids, "path", F.size("path").alias("depth"), "json")
+
+
 def path_text(path: Column) -> Column:
     """``orders[0].lines[2].price``"""
     steps = F.transform(path, lambda s: F.when(s["key"].isNull(), F.concat(F.lit("["), s["pos"].cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), s["key"])))
@@ -70,30 +100,70 @@ def path_of(*steps: str | int) -> Column:
 def _quoted(text: Column) -> Column:
     """A text as a JSON string."""
     whole = F.to_json(F.struct(text.alias("k")))
-    return F.substr(whole, F.lit(6), F.char_length(whole) - 6)
+    return F.when(F.regexp_like(text, F.lit(r"^[ !#-\[\]-~]*$")), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.substr(whole, F.lit(6), F.char_length(whole) - 6))
+
+
+def _bare(json: Column) -> Column:
+    """The text of a JSON scalar; null has none."""
+    plain = json.startswith('"') & ~F.contains(json, F.lit("\\"))
+    return F.when(plain, F.substr(json, F.lit(2), F.char_length(json) - 2)).otherwise(F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), json, F.lit("}")), "$.v"), F.lit("")))
+
 
+def _shared(path: Column, other: Column) -> Column:
+    """How many steps two paths of leaves share: the last step of either isn't one, as a leaf holds nothing."""
+    first = F.array_position(F.zip_with(path, other, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int") - 1
+    least = F.least(F.size(path), F.size(other)) - 1
+    return F.when(first < 0, least).otherwise(F.least(first, least))
 
-def _gather(leaves: DataFrame, ids: Sequence[str], value: str, node) -> DataFrame:
-    """Bottom up, a plan per level: node(children, is_array) makes a parent's value of its children (key, pos, value), which are sorted."""
-    deepest = leaves.agg(F.max(F.size("path"))).first()[0] or 0
-    current = leaves.select(*ids, "path", value)
-    for depth in range(deepest, 0, -1):
-        low = current.where(F.size("path") == depth).withColumns({"_step": F.element_at("path", -1), "path": F.slice("path", 1, depth - 1)})
-        children = F.array_sort(F.collect_list(F.struct(F.col("_step.key").alias("key"), F.col("_step.pos").alias("pos"), F.col(value).alias("value"))))
-        grown = low.groupBy(*ids, "path").agg(children.alias("_c")).select(*ids, "path", node(F.col("_c")).alias(value))
-        current = materialize(current.where(F.size("path") < depth).unionByName(grown), "tree-grown")
-    return current.select(*ids, value)
+
+def _placed(leaves: Column, use: Callable[[Column], Column]) -> Column:
+    """use() of the leaves, which have a path, in their order, each with shared, the steps that it shares with the leaf before it, and after, those with the next (-1: none)."""
+    shared = lambda of: F.transform(of, lambda x, i: F.when(i == 0, F.lit(-1)).otherwise(_shared(x["path"], F.get(of, i - 1)["path"])))
+    zipped = lambda of, c: F.transform(of, lambda x, i: F.struct(x.alias("leaf"), F.get(c, i).alias("shared"), F.coalesce(F.get(c, i + 1), F.lit(-1)).alias("after")))
+    return _bound(F.sort_array(leaves), lambda of: _bound(shared(of), lambda c: _bound(zipped(of, c), use)))
+
+
+def json_of(leaves: Column) -> Column:
+    """The JSON text of a tree whose leaves (path, json) are given, members by key, elements by position.
+
+    A leaf writes what its path opens beyond the leaf before it, its value, and what it closes before the next one.
+    """
+
+    def text(of: Column) -> Column:
+        # a container that has both elements and members is an array: elements come first
+        switched = lambda x, i: (x["shared"] >= 0) & F.get(x["leaf"]["path"], x["shared"])["key"].isNotNull() & F.get(F.get(of, i - 1)["leaf"]["path"], x["shared"])["key"].isNull()
+        return _bound(F.transform(F.filter(of, switched), lambda x: F.slice(x["leaf"]["path"], F.lit(1), x["shared"])), lambda mixed: F.array_join(F.transform(of, lambda x: piece(x, mixed)), ""))
+
+    def piece(x: Column, mixed: Column) -> Column:
+        path, n, new, shut = x["leaf"]["path"], F.size(x["leaf"]["path"]), F.greatest(x["shared"], F.lit(0)), x["after"] + 1
+        element = lambda step, d: step["key"].isNull() | ((F.size(mixed) > 0) & F.array_contains(mixed, F.slice(path, F.lit(1), d)))
+        comma = lambda k: (k == 0) & (x["shared"] >= 0)
+        opened = lambda step, k: F.when(element(step, new + k), F.when(comma(k), F.lit(",")).otherwise(F.lit("["))).otherwise(F.concat(F.when(comma(k), F.lit(",")).otherwise(F.lit("{")), _quoted(step["key"]), F.lit(":")))
+        closed = lambda step, k: F.when(element(step, shut + k), F.lit("]")).otherwise(F.lit("}"))
+        opens = F.transform(F.slice(path, new + 1, n - new), opened)
+        closes = F.when(n > shut, F.array_join(F.reverse(F.transform(F.slice(path, shut + 1, n - shut), closed)), "")).otherwise(F.lit(""))
+        return F.concat(F.array_join(opens, ""), x["leaf"]["json"], closes)
+
+    return _placed(F.transform(leaves, lambda x: F.struct(x["path"].alias("path"), x["json"].alias("json"))), text)
+
+
+def _gathered(leaves: DataFrame, ids: Sequence[str], make: Callable[[Column], Column], name: str) -> DataFrame:
+    """ids and make(leaves) of rows of leaves."""
+    return leaves.groupBy(*ids).agg(F.collect_list(F.struct("path", "json")).alias("_leaves")).select(*ids, make(F.col("_leaves")).alias(name))
 
 
 def tree_text(leaves: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """ids, json: the trees whose leaves (ids, path, json) are given, members by key, elements by position."""
+    """ids, json: the trees whose leaves (ids, path, json) are given as rows, see json_of()."""
+    return _gathered(leaves, ids, json_of, "json")
+
+
+def with_values(leaves: Column, values: Column) -> Column:
+    """The leaves of a tree with the values, both arrays of (path, json), set as in set_values()."""
 
-    def node(children: Column) -> Column:
-        members = F.transform(children, lambda c: F.concat(_quoted(c["key"]), F.lit(":"), c["value"]))
-        whole = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
-        return F.when(children[0]["key"].isNull(), F.concat(F.lit("["), F.array_join(F.transform(children, lambda c: c["value"]), ","), F.lit("]"))).otherwise(whole)
+    def goes(path: Column) -> Column:
+        return F.exists(values, lambda v: (F.slice(path, F.lit(1), F.size(v["path"])) == v["path"]) | (F.slice(v["path"], F.lit(1), F.size(path)) == path))
 
-    return _gather(leaves, ids, "json", node)
+    return F.concat(F.filter(leaves, lambda x: ~goes(x["path"])), values)
 
 
 def set_values(leaves: DataFrame, ids: Sequence[str], values: DataFrame) -> DataFrame:
@@ -112,26 +182,69 @@ def _escaped(text: Column, quotes: bool = False) -> Column:
     return text
 
 
-def xml_text(leaves: DataFrame, ids: Sequence[str], tag: str, attributes: str = "@", content: str = "#text") -> DataFrame:
-    """ids, xml: an element ``tag`` for each tree of leaves (ids, path, json). Members with the prefix are attributes, the content member is text, arrays repeat their element.
+def xml_of(leaves: Column, tag: str, attributes: str = "@", content: str = "#text") -> Column:
+    """An element ``tag`` of a tree whose leaves (path, json) are given. Members with the prefix are attributes, the content member is text, arrays repeat their element.
 
-    Inside, a node is its attributes and its content, apart; the parent knows its tag.
+    A leaf writes the start tags that its path has beyond the leaf before it, its text, and the end tags before the next one. Attributes come first in their element, whose start tag
+    they leave open. Of an array in an attribute or content the first value counts; an object in an attribute has no text, the attributes of one in a content have no place.
     """
-    bare = F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), F.col("json"), F.lit("}")), "$.v"), F.lit(""))
-    parts = leaves.withColumn("parts", F.array(F.struct(F.lit("").alias("attributes"), _escaped(bare).alias("body"), bare.alias("raw"))))
-
-    def element(name: Column, part: Column) -> Column:
-        return F.when(part["body"] == "", F.concat(F.lit("<"), name, part["attributes"], F.lit("/>"))).otherwise(F.concat(F.lit("<"), name, part["attributes"], F.lit(">"), part["body"], F.lit("</"), name, F.lit(">")))
+    attribute = lambda step: F.coalesce(step["key"].startswith(attributes), F.lit(False))
+    is_content = lambda key: F.coalesce(key == content, F.lit(False))
+
+    def known(x: Column) -> Column:
+        """at: the step that is an attribute or the content that the leaf is in, its element being the path up to there; otherwise all steps."""
+        path, n = x["path"], F.size(x["path"])
+        spot = F.array_position(F.transform(path, attribute), F.lit(True)).cast("int") - 1
+        keyed = F.array_position(F.reverse(F.transform(path, lambda s: s["key"].isNotNull())), F.lit(True)).cast("int")  # the last step with a key, from the end
+        in_content = (keyed > 0) & is_content(F.get(path, n - keyed)["key"])
+        named = F.when(F.exists(F.slice(path, F.greatest(spot, F.lit(0)) + 2, n), lambda s: s["key"].isNotNull()), F.lit("")).otherwise(_bare(x["json"]))
+        at = F.when(spot >= 0, spot).when(in_content, n - keyed).otherwise(n)
+        text = F.when((spot >= 0) & (spot < n - 1), named).otherwise(_bare(x["json"]))
+        return F.struct(path.alias("path"), text.alias("text"), at.alias("at"), (spot >= 0).alias("attribute"))
+
+    def element(path: Column, at: Column) -> Column:
+        """(at, name) of the elements that a leaf is in, from the root."""
+        last = lambda m: F.coalesce(F.get(path, m - 1)["key"], F.element_at(F.filter(F.transform(F.slice(path, F.lit(1), m), lambda s: s["key"]), lambda k: k.isNotNull()), -1))
+        name = lambda m: F.when(m == 0, F.lit(tag)).otherwise(F.coalesce(F.get(path, m - 1)["key"], F.when(F.size(F.filter(F.slice(path, F.lit(1), m), lambda s: s["key"].isNotNull())) > 0, last(m)), F.lit(tag)))
+        whole = F.filter(F.sequence(F.lit(0), at), lambda m: (m == F.size(path)) | F.get(path, m)["key"].isNotNull())
+        return F.filter(F.transform(whole, lambda m: F.struct(m.alias("m"), name(m).alias("name"))), lambda e: (e["m"] == 0) | ~is_content(e["name"]))
+
+    def ready(x: Column) -> Column:
+        opens = x["attribute"] | ((x["at"] < F.size(x["path"])) & (x["text"] == ""))  # leaves the start tag open
+        order = F.transform(x["path"], lambda s, i: F.struct(F.when(opens & (i == x["at"]), F.lit(0)).otherwise(F.lit(1)).alias("rank"), s["key"].alias("key"), s["pos"].alias("pos")))
+        return F.struct(order.alias("order"), x["path"].alias("path"), x["text"].alias("text"), x["at"].alias("at"), x["attribute"].alias("attribute"), opens.alias("opens"), element(x["path"], x["at"]).alias("elements"))
+
+    def counts(x: Column) -> Column:
+        """A later value of an array in an attribute or content doesn't."""
+        follows = F.get(x["path"], x["at"] + 1)
+        in_body = F.exists(F.slice(x["path"], F.lit(1), F.greatest(x["at"], F.lit(0))), lambda s: is_content(s["key"])) & x["attribute"]
+        return ~in_body & (follows.isNull() | follows["key"].isNotNull() | (follows["pos"] == 0))
+
+    def piece(of: Column, x: Column, i: Column) -> Column:
+        leaf, before = x["leaf"], F.get(of, i - 1)["leaf"]
+        whole = leaf["at"] == F.size(leaf["path"])
+        new = F.transform(F.filter(leaf["elements"], lambda e: e["m"] > x["shared"]), lambda e: e["name"])
+        begins = F.size(new) > 0
+        ends = F.when((x["shared"] >= 0) & before["opens"] & (before["at"] == x["shared"]) & (begins | ~leaf["opens"]), F.lit(">")).otherwise(F.lit(""))
+        tags = F.when(begins, F.concat(F.lit("<"), F.array_join(new, "><"))).otherwise(F.lit(""))
+        named = F.concat(F.lit(" "), F.substr(F.get(leaf["path"], leaf["at"])["key"], F.lit(len(attributes) + 1)), F.lit('="'), _escaped(leaf["text"], quotes=True), F.lit('"'))
+        text = (
+            F.when(leaf["attribute"], F.when(x["shared"] <= leaf["at"], named).otherwise(F.lit("")))
+            .when(leaf["opens"], F.lit(""))
+            .when(whole & (leaf["text"] == ""), F.lit("/>"))
+            .otherwise(F.concat(F.when(begins, F.lit(">")).otherwise(F.lit("")), _escaped(leaf["text"]), F.when(whole, F.concat(F.lit("</"), F.element_at(leaf["elements"], -1)["name"], F.lit(">"))).otherwise(F.lit(""))))
+        )
+        shut = F.filter(leaf["elements"], lambda e: (e["m"] > x["after"]) & ~(whole & (e["m"] == leaf["at"])))
+        closes = F.array_join(F.reverse(F.transform(shut, lambda e: F.when(leaf["opens"] & (e["m"] == leaf["at"]), F.lit("/>")).otherwise(F.concat(F.lit("</"), e["name"], F.lit(">"))))), "")
+        return F.concat(ends, tags, text, closes)
+
+    made = F.transform(F.filter(F.transform(leaves, known), counts), ready)
+    return _placed(made, lambda of: F.array_join(F.transform(of, lambda x, i: piece(of, x, i)), ""))
 
-    def node(children: Column) -> Column:
-        is_attribute = lambda c: c["key"].startswith(attributes)
-        named = F.transform(F.filter(children, is_attribute), lambda c: F.concat(F.lit(" "), F.substr(c["key"], F.lit(len(attributes) + 1)), F.lit('="'), _escaped(c["value"][0]["raw"], quotes=True), F.lit('"')))
-        inner = F.transform(F.filter(children, lambda c: ~is_attribute(c)), lambda c: F.when(c["key"] == content, c["value"][0]["body"]).otherwise(F.array_join(F.transform(c["value"], lambda p: element(c["key"], p)), "")))
-        one = F.array(F.struct(F.array_join(named, "").alias("attributes"), F.array_join(inner, "").alias("body"), F.lit("").alias("raw")))
-        return F.when(children[0]["key"].isNull(), F.flatten(F.transform(children, lambda c: c["value"]))).otherwise(one)
 
-    whole = _gather(parts, ids, "parts", node)
-    return whole.select(*ids, F.array_join(F.transform("parts", lambda p: element(F.lit(tag), p)), "").alias("xml"))
+def xml_text(leaves: DataFrame, ids: Sequence[str], tag: str, attributes: str = "@", content: str = "#text") -> DataFrame:
+    """ids, xml: the elements of trees whose leaves (ids, path, json) are given as rows, see xml_of()."""
+    return _gathered(leaves, ids, lambda x: xml_of(x, tag, attributes, content), "xml")
 
 
 def json_spans(df: DataFrame, ids: Sequence[str], text: str) -> DataFrame:

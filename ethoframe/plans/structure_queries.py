@@ -115,10 +115,9 @@ def nested_dict_walk(spark, sf_dir):
 FROM o LEFT JOIN (SELECT l_orderkey, string_agg('{"part":' || l_partkey || ',"quantity":' || q || '}', ',' ORDER BY j) AS x FROM l GROUP BY l_orderkey) ON l_orderkey = o_orderkey GROUP BY o_custkey"""))
 def set_dict_value_by_graph(spark, sf_dir):
     """The first order's lines are replaced by a text, and a member is added three steps deep; then each tree is rebuilt."""
-    leaves = _leaves(spark, sf_dir)
-    customers = leaves.select("o_custkey").distinct()
-    values = [customers.select("o_custkey", trees.path_of("orders", 0, "lines").alias("path"), F.lit('"hidden"').alias("json")), customers.select("o_custkey", trees.path_of("audit", "by", 0).alias("path"), F.lit('"nobody"').alias("json"))]
-    return trees.tree_text(trees.set_values(leaves, ["o_custkey"], values[0].unionByName(values[1])), ["o_custkey"])
+    values = F.array(*(F.struct(path.alias("path"), F.lit(json).alias("json")) for path, json in ((trees.path_of("orders", 0, "lines"), '"hidden"'), (trees.path_of("audit", "by", 0), '"nobody"'))))
+    customers = _customers(spark, sf_dir).withColumn("tree", trees.json_tree(F.col("json")))
+    return trees.from_leaves(customers, ["o_custkey"], "tree", lambda leaves: trees.json_of(trees.with_values(leaves, values)), "json")
 
 
 def _xml(spark, sf_dir):
@@ -143,8 +142,8 @@ def etree_to_simplified_dict(spark, sf_dir):
   || string_agg(printf('<line part="%d"><box><size><q>%d</q></size></box></line>', l_partkey, q), '' ORDER BY j) || '<note>a &amp; b &lt;' || any_value(o_orderpriority) || '&gt;</note></order>' AS xml FROM p GROUP BY o_orderkey"""))
 def dict_to_etree(spark, sf_dir):
     """Elements to trees to leaves, and back to the same text."""
-    leaves = trees.leaf_paths(_xml(spark, sf_dir).withColumn("tree", trees.xml_tree(F.col("xml"), types=False)), ["o_orderkey"], "tree")
-    return trees.xml_text(leaves, ["o_orderkey"], "order")
+    elements = _xml(spark, sf_dir).withColumn("tree", trees.xml_tree(F.col("xml"), types=False))
+    return trees.from_leaves(elements, ["o_orderkey"], "tree", lambda leaves: trees.xml_of(leaves, "order"), "xml")
 
 
 _NOISE = """SELECT event_id, '<' || event_type || '> "' || props || ' [' || event_id || ', {"p": ' || props || ', "q": ["]}", null]}] tail ] {' || user_id || '}' AS t FROM events"""

@@ -227,3 +227,22 @@ def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch, tile, join):
     assert tile < 1 << 20 or sent < 3 * len(u)  # two records of each pair of blocks before
     classes = {r.vec_id: r.component_id for r in embeddings.near_duplicates(df).collect()}
     assert classes == dict(enumerate(root.tolist()))
+
+
+def test_values_are_set_inside_of_rows(spark, monkeypatch):
+    stored, real = [], trees.materialize
+    monkeypatch.setattr(trees, "materialize", lambda df, label: stored.append(label) or real(df, label))
+    sf_dir = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    sent = shuffled(spark, lambda: registry.queries()["set_dict_value_by_graph"](spark, sf_dir).count())
+    assert sent < 2 * lines and len(stored) == 1  # leaves were shuffled several times before, and stored for every level
+
+
+@pytest.mark.parametrize("depth", [3, 8, 40])
+def test_deep_trees_keep_their_text(spark, depth):
+    text = '{"a":' * depth + '[1,{"b":null}]' + "}" * depth
+    df = spark.createDataFrame([(1, text), (2, '{"a":2}'), (3, None)], "k int, t string").withColumn("tree", trees.json_tree(F.col("t")))
+    new = F.array(F.struct(trees.path_of(*["a"] * depth, "x").alias("path"), F.lit("7").alias("json")))
+    got = {r.k: r.json for r in trees.from_leaves(df, ["k"], "tree", lambda leaves: trees.json_of(trees.with_values(leaves, new)), "json").collect()}
+    assert got[1] == '{"a":' * depth + '[1,{"b":null},7]' + "}" * depth  # an element comes to an array that gets a member, as in tree_text()
+    assert got[2] == '{"a":' * depth + '{"x":7}' + "}" * depth and set(got) == {1, 2}
