@@ -234,9 +234,8 @@ def get_sleap_tracking_df(spark, sf_dir):
     """A folder of delimited files, one or more for each user, with a track for each kind of event."""
     root = _scratch(spark, "tracks")
     rows = events(spark, sf_dir).select("user_id", F.col("event_type").alias("track"), F.col("frame_index").alias("frame_idx"), F.col("value").alias("body.score"), F.col("y").alias("body.y"))
-    # many small files: dealt by count, as parts joined by their size leave most cores idle, and moved to their place by the tasks, not one by one in the driver
-    dealt = rows.repartition(max(FILE_TASKS, spark.sparkContext.defaultParallelism), F.xxhash64("user_id"))
-    dealt.write.partitionBy("user_id").option("header", True).option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(root)
+    # many small files: dealt by count, as parts joined by their size leave most cores idle
+    files.write_recordings(rows, root, "user_id", max(FILE_TASKS, spark.sparkContext.defaultParallelism))
     return files.track_folder(spark, root, recording=r"user_id=(\d+)").select("recording", "frame_index", F.col("`body.score`").alias("value"), F.col("`body.y`").alias("y"))
 
 

@@ -246,3 +246,13 @@ def test_deep_trees_keep_their_text(spark, depth):
     got = {r.k: r.json for r in trees.from_leaves(df, ["k"], "tree", lambda leaves: trees.json_of(trees.with_values(leaves, new)), "json").collect()}
     assert got[1] == '{"a":' * depth + '[1,{"b":null},7]' + "}" * depth  # an element comes to an array that gets a member, as in tree_text()
     assert got[2] == '{"a":' * depth + '{"x":7}' + "}" * depth and set(got) == {1, 2}
+
+
+def test_track_files_lie_side_by_side(spark, tmp_path):
+    rows = [(7, "a", 1, 0.5, None), (7, 'b,"', 2, None, 1.0), (12, "a", 1, 1e-7, 2.0)]
+    df = spark.createDataFrame(rows, "user_id long, track string, frame_idx long, `body.score` double, `body.y` double")
+    files.write_recordings(df, f"{tmp_path}/x.y/.z", "user_id", 16)
+    made = sorted(p.name.split(",")[0] for p in (tmp_path / "x.y" / ".z").iterdir() if p.suffix == ".csv" and not p.name.startswith("."))
+    assert made == ["user_id=12", "user_id=7"]  # a folder for each before, which a task had to list
+    back = spark.read.option("header", True).option("escape", "\\").csv(f"{tmp_path}/x.y/.z")
+    assert sorted((r.track, r.frame_idx, r["body.score"], r["body.y"]) for r in back.collect()) == [("a", "1", "0.5", None), ("a", "1", "1.0E-7", "2.0"), ('b,"', "2", None, "1.0")]
